@@ -26,9 +26,9 @@ from .codec import pack, pack_sorted, unpack, unpack_sorted
 from .words import pieces, split_words
 
 #: Text bytes of a chunk; bounds the working memory of every later step.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 #: Items of a shard, about.
-SHARD_ITEMS = 3_000_000
+SHARD_ITEMS = 2_000_000
 
 #: Makes from (word hashes, where each row's begin) the items of a chunk: any order, repeats count.
 Items = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -42,7 +42,7 @@ class Chunk:
         self.id, self.row = col("chunk").as_py(), col("row").as_py()
         self.keys = col("keys").values
         self.first = np.concatenate([[0], np.cumsum(unpack(col("counts").as_py()).astype(np.int64))])
-        self.hash = unpack_sorted(col("vocab").as_py())[unpack(col("ids").as_py()).astype(np.int64)]
+        self.hash = unpack(col("vocab").as_py())[unpack(col("ids").as_py()).astype(np.int64)]
 
 
 def chunked(docs: DataFrame, key: str, text: str, word_bytes: np.ndarray, limit: int = CHUNK_BYTES) -> DataFrame:
@@ -62,13 +62,17 @@ def chunked(docs: DataFrame, key: str, text: str, word_bytes: np.ndarray, limit:
         def flush() -> pa.RecordBatch:
             nonlocal keys, counts, hashes, size, rows, seq
             k, n = pa.concat_arrays(keys), np.concatenate(counts)
-            vocab, ids = np.unique(np.concatenate(hashes), return_inverse=True)
+            vocab, ids, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")  # frequent words get small numbers, which pack well
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            vocab, ids = vocab[order], rank[ids]
             out = pa.RecordBatch.from_arrays(
                 [
                     pa.array([(part << 32) + seq], pa.int64()),
                     pa.array([(part << 40) + rows], pa.int64()),
                     pa.ListArray.from_arrays(pa.array([0, len(k)], pa.int32()), k),
-                    *(pa.array([x], pa.binary()) for x in (pack(n), pack_sorted(vocab), pack(ids))),
+                    *(pa.array([x], pa.binary()) for x in (pack(n), pack(vocab), pack(ids))),
                     pa.array([int(n.sum())], pa.int64()),
                 ],
                 names=["chunk", "row", "keys", "counts", "vocab", "ids", "n_words"],
