@@ -1,7 +1,7 @@
 """Embedding near-dedup: pairs of vectors whose cosine reaches a threshold, by spherical-cap filters.
 
-A filter is a direction; a vector belongs to it if its inner product with it reaches `alpha`.
-Two similar vectors share some filter with high probability.  The directions form random product
+A filter is a direction; a vector belongs to it if its inner product with it reaches `alpha`
+(or nearly that of its best direction).  Two similar vectors share some filter with high probability.  The directions form random product
 codes: a rotated vector is cut into blocks, each block has a small random code, and a direction
 is one code word of each block.  So a vector's filters are list-decoded block by block: partial
 sums that can no longer reach `alpha` are cut off, and all directions beyond it are found without
@@ -29,7 +29,9 @@ from .graph import Forest, components
 
 THRESHOLD = 0.9
 #: Independent product codes, and filters that a vector has in each, on average.
-CODES, FILTERS = 3, 8
+CODES, FILTERS = 4, 4
+#: A vector also takes the directions that fall short of its best one by this at most.
+SLACK = 0.015
 #: Vectors of a tile.
 TILE = 1024
 #: Heavy filters that the driver may tell all tasks of (others are joined).
@@ -70,10 +72,12 @@ class Code:
         y = x @ self.rotation
         dots = [y[:, a:b] @ c.T for a, b, c in self.parts]
         best = np.cumsum([d.max(axis=1) for d in dots][::-1], axis=0)[::-1]  # the most that blocks i.. can add
+        # a vector between the directions takes those near its best, so none is left out
+        reach = np.minimum(self.alpha, best[0] - SLACK)
         row, code, total = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
         for i, d in enumerate(dots):
             rest = best[i + 1] if i + 1 < len(dots) else np.zeros(len(x))
-            need = self.alpha - rest[row] - total
+            need = reach[row] - rest[row] - total
             r, c = np.nonzero(d[row] >= need[:, None])
             code = code[r] * self.size + c
             total = total[r] + d[row[r], c]
