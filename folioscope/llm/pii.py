@@ -200,14 +200,14 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     raise ValueError("more entities of a kind than surrogates of their format")
 
 
-def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """docs with every entity of `text` replaced, and columns n_entities, entity_kinds after the others.
+def replace(docs: DataFrame, text: str = "text", key: str = KEY, report: bool = True) -> DataFrame:
+    """docs with every entity of `text` replaced; with `report`, columns n_entities and entity_kinds follow.
 
     entity_kinds: sorted, distinct, joined by commas.  A null text stays null and has none; rows
-    without entities stay as they are, repeated rows get the same text.  Columns of those names
-    that docs already has are replaced.
+    without entities stay as they are, repeated rows get the same text.  With `report`,
+    columns of those names that docs already has are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("n_entities", "entity_kinds")]
+    kept = [c for c in docs.columns if not report or c not in ("n_entities", "entity_kinds")]
     rows = docs.select(F.struct(*kept).alias("__row"), F.col(text).alias("__t"))
     some = F.coalesce(F.col("__t"), F.lit("")).rlike(HINT)
     found = F.when(some, F.regexp_extract_all("__t", F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
@@ -224,7 +224,7 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     changed = joined.select("__row", merged.alias("__t"), F.size("__e").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct(F.transform("__e", lambda x: x["kind"]))), ",").alias("entity_kinds"))
     plain = none.select("__row", "__t", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("entity_kinds"))
     both = plain.unionByName(changed)
-    return both.select(*[F.col("__t").alias(c) if c == text else F.col("__row")[c].alias(c) for c in kept], "n_entities", "entity_kinds")
+    return both.select(*[F.col("__t").alias(c) if c == text else F.col("__row")[c].alias(c) for c in kept], *(["n_entities", "entity_kinds"] if report else []))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
