@@ -17,7 +17,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from .words import pieces
 
 NONE = np.int64(1) << np.int64(62)
 #: Words that are kept between batches.
-CACHE = 250_000
+CACHE = 100_000
 #: Symbols of the longest words that are merged many at a time.
 ROW = 64
 #: What \s stands for (fixed values, Unicode White_Space).
@@ -231,11 +230,15 @@ def encode_words(v: Vocabulary, words: list[str]) -> list[list[int]]:
     return out
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, dtype=np.int32).tobytes()
+
+
 class Encoder:
     """Encodes texts; keeps the words of recent batches."""
 
-    def __init__(self, v: Vocabulary, ids: bool, digests: bool) -> None:
-        self.v, self.split, self.want_ids, self.want_digests = v, Splitter(), ids, digests
+    def __init__(self, v: Vocabulary, digests: bool) -> None:
+        self.v, self.split, self.want_digests = v, Splitter(), digests
         self.marks = re.compile("(" + "|".join(map(re.escape, v.special)) + ")") if v.special else None
         self.known: dict[str, tuple] = {}
 
@@ -243,14 +246,14 @@ class Encoder:
         if len(self.known) + len(words) > CACHE:
             self.known = {}
         for mark, i in self.v.special.items():
-            self.known[f" {mark}"] = (str(i), mark, (i,))
+            self.known[f" {mark}"] = (str(i), mark, _packed([i]))
         new = [w for w in words if w not in self.known]
         if new:
             for w, ids in zip(new, encode_words(self.v, new), strict=True):
-                self.known[w] = (" ".join(map(str, ids)) if self.want_digests else "", self.v.decode(ids) if self.want_digests else "", tuple(ids))
+                self.known[w] = (" ".join(map(str, ids)), self.v.decode(ids), _packed(ids)) if self.want_digests else ("", "", _packed(ids))
 
     def batch(self, texts: list[str | None]) -> list[tuple]:
-        """Of each text the joined ids, the decoded text and the ids, as far as wanted, and their number."""
+        """Of each text the number of ids, the ids (32 bits each), and, for digests, joined ids and decoded text."""
         split = []
         for text in texts:
             if self.marks and text and "<|" in text and len(parts := self.marks.split(text)) > 1:
@@ -264,11 +267,10 @@ class Encoder:
         out = []
         for ws in split:
             got = [self.known[w] for w in ws]
-            ids = list(chain.from_iterable([g[2] for g in got])) if self.want_ids else None
+            ids = b"".join([g[2] for g in got])
             joined = " ".join([g[0] for g in got]) if self.want_digests else None
             decoded = " ".join([g[1] for g in got]) if self.want_digests else None
-            n = len(ids) if self.want_ids else joined.count(" ") + 1 if joined else 0
-            out.append((n, ids, joined, decoded))
+            out.append((len(ids) // 4, ids, joined, decoded))
         return out
 
 
@@ -288,13 +290,14 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     schema = T.StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, ids, digests)
+        encoder = Encoder(shared.value, digests)
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         for piece in pieces(batches, "t", 1 << 20):
             got = encoder.batch(piece.column(1).to_pylist())
             columns = [piece.column(0), pa.array([g[0] for g in got], pa.int64())]
             if ids:
-                columns.append(pa.array([g[1] for g in got], pa.list_(pa.int32())))
+                ends = np.cumsum([0] + [g[0] for g in got]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([g[1] for g in got]), dtype=np.int32))))
             if digests:
                 columns += [pa.array([sha(g[2]) for g in got]), pa.array([sha(g[3]) for g in got])]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)

@@ -23,10 +23,10 @@ from pyspark.sql import types as T
 
 from .cluster import cut
 from .codec import pack, pack_sorted, unpack, unpack_sorted
-from .words import pieces, split_words
+from .words import pieces, split_words, tidy
 
 #: Text bytes of a chunk; bounds the working memory of every later step.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 #: Items of a shard, about.
 SHARD_ITEMS = 2_000_000
 
@@ -128,6 +128,7 @@ def totals(chunks: DataFrame, items: Items, n_words: int, per_word: float = 1.0)
                     ],
                     names=["chunk", "shard", "values", "counts"],
                 )
+        tidy()
 
     def answer(table: pa.Table) -> pa.Table:
         values = [unpack_sorted(x.as_py()) for x in table.column("values")]
@@ -136,6 +137,7 @@ def totals(chunks: DataFrame, items: Items, n_words: int, per_word: float = 1.0)
         total = np.bincount(place, weights=counts)[place].astype(np.uint64)
         at = np.concatenate([[0], np.cumsum([len(x) for x in values])])
         packed = [pack(total[at[i] : at[i + 1]]) for i in range(len(values))]
+        tidy()
         return pa.table([table.column("chunk"), table.column("shard"), pa.array(packed, pa.binary())], names=["chunk", "shard", "totals"])
 
     asked = chunks.mapInArrow(ask, "chunk bigint, shard int, values binary, counts binary")
@@ -148,6 +150,8 @@ def per_chunk(chunks: DataFrame, answers: DataFrame, use: Callable[[Chunk, np.nd
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right.column("shard").to_numpy())
         got = [unpack(right.column("totals")[int(i)].as_py()) for i in order]
-        return use(Chunk(left), np.concatenate([np.zeros(0, np.uint64), *got]))
+        out = use(Chunk(left), np.concatenate([np.zeros(0, np.uint64), *got]))
+        tidy()
+        return out
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)

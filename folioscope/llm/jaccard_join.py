@@ -188,7 +188,7 @@ def near_sets(docs: DataFrame, key: str, text: str, words: int, percent: int, wo
         .select("*", F.explode(F.expr("sequence(0L, tiles - 1)")).alias("other"))
         .select("rid", "n", "items", "component", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
     )
-    found = placed.groupBy("component", "lo", "hi").applyInArrow(_search(percent), "src bigint, dst bigint")
+    found = cut(placed.groupBy("component", "lo", "hi").applyInArrow(_search(percent), "src bigint, dst bigint"))
     return rows, components(found.union(copies))
 
 

@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .cluster import cut
-from .words import LETTERS, SPACED, Words, mix, pieces, split_words
+from .words import LETTERS, SPACED, Words, mix, pieces, split_words, tidy
 
 #: Words of a window, and from one window to the next.
 LENGTH, STRIDE = 32, 16
 #: Bounds of the training sample: labelled rows of each label, windows of each row.
-TRAIN_DOCS, TRAIN_WINDOWS = 1200, 24
+TRAIN_DOCS, TRAIN_WINDOWS = 1200, 16
 #: Hidden units of a direction, sizes of word and trigram embeddings, trigram buckets.
 HIDDEN, WORD_DIM, CHAR_DIM, BUCKETS = 8, 12, 8, 1 << 13
 #: Words of the sample with an embedding of their own: the most frequent, from so many rows on.
@@ -319,6 +319,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     y = rows.column("y").to_numpy() > 0
     weight = np.where(y, there.get(True, 1) / max(1, y.sum()), there.get(False, 1) / max(1, (~y).sum()))
     calibrate(net, rows.column("m").to_numpy(), y, weight)
+    tidy()
     return net
 
 

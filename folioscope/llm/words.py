@@ -10,6 +10,7 @@ avalanche mix.  They are equal on every executor and in every run.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,11 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 U64 = np.uint64
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):
+    _LIBC = None
 #: Bytes that are hashed at once; bounds the working arrays to some tens of MB.
 SEGMENT = 1 << 20
 
@@ -171,6 +177,13 @@ def shingles(h: np.ndarray, first: np.ndarray, n: int, short: bool = True) -> tu
     return out, out_first
 
 
+def tidy() -> None:
+    """Gives memory that a task no longer uses back to the machine: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about `limit` bytes of text or one row."""
     for batch in batches:
@@ -184,3 +197,4 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
             stop = max(at + 1, int(np.searchsorted(total, done + limit, side="right")))
             yield batch.slice(at, stop - at)
             at = stop
+    tidy()
