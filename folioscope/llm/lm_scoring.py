@@ -24,10 +24,15 @@ from .exchange import Chunk, chunked, per_chunk, totals
 from .words import LETTERS, shingles
 
 ALPHA, ORDER, MIN_COUNT = 0.4, 3, 2
+#: N-grams are told apart by 56 bits: some 10^8 different ones have less than one collision among
+#: them; of 10^13, one in 10^4 would share its count with another.
+BITS = ~np.uint64(0xFF)
+#: Text bytes of a chunk: the larger it is, the fewer bytes an n-gram takes.
+CHUNK = 8 << 20
 
 
 def _grams(h: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
-    return [shingles(h, first, n, short=False)[0] for n in range(1, order + 1)]
+    return [shingles(h, first, n, short=False)[0] & BITS for n in range(1, order + 1)]
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
@@ -36,7 +41,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     A null or empty text has no words: log_score 0, mean_log_score null.  Repeated rows count
     as often as they occur, and a null key is kept.  An empty table gives no rows.
     """
-    chunks = chunked(docs, key, text, LETTERS)
+    chunks = chunked(docs, key, text, LETTERS, CHUNK)
     n_total = chunks.agg(F.sum("n_words")).first()[0] or 0
     log_alpha, log_total = np.log(alpha), np.log(max(n_total, 1))
     answers = totals(chunks, lambda h, first: np.concatenate(_grams(h, first, order)), n_total, order)
