@@ -32,7 +32,7 @@ TRAIN_DOCS, TRAIN_WINDOWS = 1200, 16
 HIDDEN, WORD_DIM, CHAR_DIM, BUCKETS = 8, 12, 8, 1 << 13
 #: Words of the sample with an embedding of their own: the most frequent, from so many rows on.
 VOCABULARY, LEAST_ROWS = 20_000, 3
-EPOCHS, STEPS, BATCH, RATE = (4, 16), 900, 256, 0.01
+EPOCHS, STEPS, BATCH, RATE = (4, 16), 900, 256, 0.02
 F4 = np.float32
 
 
