@@ -32,7 +32,7 @@ TRAIN_DOCS, TRAIN_WINDOWS = 1200, 16
 HIDDEN, WORD_DIM, CHAR_DIM, BUCKETS = 8, 12, 8, 1 << 13
 #: Words of the sample with an embedding of their own: the most frequent, from so many rows on.
 VOCABULARY, LEAST_ROWS = 20_000, 3
-EPOCHS, STEPS, BATCH, RATE = (4, 16), 900, 256, 0.02
+EPOCHS, STEPS, BATCH, RATE = (4, 16), 900, 256, 0.01
 F4 = np.float32
 
 
@@ -201,6 +201,7 @@ def train(doc: np.ndarray, toxic: np.ndarray, texts: list[str]) -> Network:
     weight = even(y) / F4(2)
     per_epoch = -(-len(texts) // BATCH)
     epochs = int(np.clip(-(-STEPS // per_epoch), *EPOCHS))  # small samples are seen more often
+    top_rate = RATE * float(np.clip((STEPS / (epochs * per_epoch)) ** 0.5, 1, 2))  # and in larger steps
     step = 0
     for epoch in range(epochs):
         if epoch:
@@ -223,7 +224,7 @@ def train(doc: np.ndarray, toxic: np.ndarray, texts: list[str]) -> Network:
             d = ((_sigmoid(logit) - y[of]) * weight[of] / len(of)).astype(F4)
             grads = net.backward(part, x, len(used), mask, saved, d)
             step += 1
-            rate = RATE * (1 - 0.95 * step / (epochs * per_epoch))
+            rate = top_rate * (1 - 0.95 * step / (epochs * per_epoch))
             for k, g in grads.items():
                 m, v = moments[k]
                 m += (g - m) * F4(0.1)
