@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from .cluster import cut
 from .graph import Forest, components
+from .words import tidy
 
 THRESHOLD = 0.9
 #: Independent product codes, and filters that a vector has in each, on average.
@@ -34,6 +35,8 @@ CODES, FILTERS = 4, 4
 SLACK = 0.015
 #: Vectors of a tile.
 TILE = 1024
+#: Members up to which groups are verified many at a time.
+SMALL = 16
 #: Heavy filters that the driver may tell all tasks of (others are joined).
 HEAVY = 100_000
 
@@ -104,6 +107,16 @@ def _spanning(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list[int]
     return [*a[on_a].tolist(), *b[on_b].tolist()], [*left[on_a].tolist(), *right[on_b].tolist()]
 
 
+def _groups(table: pa.Table) -> np.ndarray:
+    """Where groups begin in a table sorted by group."""
+    new = np.zeros(table.num_rows, dtype=bool)
+    new[0] = True
+    for c in ("dim", "fid", "lo", "hi"):
+        v = table.column(c).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
 def _usable(x: list | None) -> bool:
     if not x or any(v is None for v in x):
         return False
@@ -200,6 +213,49 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", th
         has_any = np.flatnonzero([int(r) in forest.parent for r in rep])
         return pa.table([pa.array(rep[has_any]), pa.array(count[has_any]), pa.array([forest.find(int(r)) for r in rep[has_any]], pa.int64())], names=["rep", "n", "root"])
 
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups of rows sorted by group: those of up to SMALL members together, larger ones by matrix."""
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, table]) if held is not None and held.num_rows else table
+            if held.num_rows >= 20_000:
+                done = _groups(held)[-1]
+                if done:
+                    yield from work(held.slice(0, done))
+                held = held.slice(done)
+        if held is not None and held.num_rows:
+            yield from work(held)
+        tidy()
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        at = np.concatenate([_groups(table), [table.num_rows]])
+        size = np.diff(at)
+        whole = table.column("lo").to_numpy() == table.column("hi").to_numpy()
+        for g in np.flatnonzero((size > SMALL) | ((size > 1) & ~whole[at[:-1]])).tolist():
+            yield from verify(table.slice(at[g], size[g])).to_batches()
+        small = np.repeat((size > 1) & (size <= SMALL) & whole[at[:-1]], size)
+        table, group = table.filter(pa.array(small)), np.repeat(np.arange(len(size)), size)[small]
+        for dim in np.unique(table.column("dim").to_numpy()).tolist():
+            of = table.column("dim").to_numpy() == dim
+            rows, mine = table.filter(pa.array(of)), group[of]
+            x = _unit(rows.column("v").to_pylist(), kind)
+            rep, w, fid, fs = rows.column("rep").to_numpy(), rows.column("w").to_numpy(), rows.column("fid").to_numpy(), rows.column("fs")
+            forest, count = Forest(), np.zeros(len(rep), dtype=np.int64)
+            for k in range(1, SMALL):
+                i = np.flatnonzero(mine[:-k] == mine[k:])
+                if not len(i):
+                    break
+                for i in i[np.einsum("ij,ij->i", x[i], x[i + k]) >= threshold].tolist():
+                    j = i + k
+                    forest.join(int(rep[i]), int(rep[j]))
+                    shared = np.intersect1d(np.frombuffer(fs[i].as_py(), dtype=np.int64), np.frombuffer(fs[j].as_py(), dtype=np.int64))
+                    if shared[0] == fid[i]:
+                        count[i] += w[j]
+                        count[j] += w[i]
+            hit = np.flatnonzero([int(r) in forest.parent for r in rep])
+            yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(count[hit]), pa.array([forest.find(int(r)) for r in rep[hit]], pa.int64())], names=["rep", "n", "root"])
+
     sizes = classes.select("v", "rep", "w").mapInArrow(filters(None), "dim bigint, fid bigint").groupBy("dim", "fid").count().where(F.col("count") > TILE)
     heavy = cut(sizes.select("dim", "fid", F.ceil(F.col("count") / TILE).alias("tiles")))
     schema = "dim bigint, fid bigint, lo bigint, hi bigint, tile bigint, rep bigint, w bigint, v binary, fs binary"
@@ -210,7 +266,9 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", th
         members = members.drop("lo", "hi", "tile").join(heavy, ["dim", "fid"], "left").withColumn("tile", tile)
         members = members.withColumn("o", F.explode(F.expr("sequence(0L, coalesce(tiles, 1L) - 1)")))
         members = members.select("dim", "fid", F.least("tile", "o").alias("lo"), F.greatest("tile", "o").alias("hi"), "tile", "rep", "w", "v", "fs")
-    found = cut(members.groupBy("dim", "fid", "lo", "hi").applyInArrow(verify, "rep bigint, n bigint, root bigint"))
+    group = ["dim", "fid", "lo", "hi"]
+    dealt = members.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *group).sortWithinPartitions(*group)
+    found = cut(dealt.mapInArrow(in_order, "rep bigint, n bigint, root bigint"))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     of_class = classes.select("v", "rep", "w").join(counts, "rep", "left").join(roots.select(F.col("node").alias("rep"), F.col("component").alias("root")), "rep", "left")
