@@ -83,9 +83,13 @@ def canonical(e: Column, kind: Column) -> Column:
     )
 
 
-def _stream(seed: Column) -> Column:
-    """Numbers 0 to 65535 from a keyed hash, 64 of them."""
-    hexes = F.concat(*[F.sha2(F.concat_ws("|", seed, F.lit(i)), 512) for i in range(2)])
+def _hexes(seed: Column) -> Column:
+    """256 hexadecimal digits from a keyed hash."""
+    return F.concat(*[F.sha2(F.concat_ws("|", seed, F.lit(i)), 512) for i in range(2)])
+
+
+def _stream(hexes: Column) -> Column:
+    """64 numbers from 0 to 65535."""
     return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substr(hexes, i * 4 + 1, F.lit(4)), 16, 10).cast("int"))
 
 
@@ -126,13 +130,12 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x)
 
 
-def surrogate(kind: Column, value: Column, key: str, draw: int) -> Column:
-    """The canonical surrogate of a canonical value."""
-    stream = _stream(F.concat_ws("|", F.lit(key), kind, value, F.lit(draw)))
+def surrogate(kind: Column, value: Column, stream: Column, domain_stream: Column, draw: int) -> Column:
+    """The canonical surrogate of a canonical value; streams: numbers from its and its domain's keyed hash."""
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     top = F.substring_index(domain, ".", -1)
     name = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
-    of_domain = F.concat(_alike(name, _stream(F.concat_ws("|", F.lit(key), F.lit("domain"), domain))), top)
+    of_domain = F.concat(_alike(name, domain_stream), top)
     more = F.lit("") if draw < 4 else F.array_join(F.transform(F.sequence(F.lit(1), F.lit(draw)), lambda i: _letters(_at(stream, i + 40), "a", 26)), "")
     email = F.concat(_alike(local, stream), more, F.lit("@"), of_domain)
     octets = [F.pmod(_at(stream, F.lit(i)), F.lit(223 if i == 0 else 256)) + (1 if i == 0 else 0) for i in range(4)]
@@ -187,10 +190,15 @@ def written(e: Column, kind: Column, value: Column) -> Column:
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """kind, value, surrogate: distinct surrogates, none of them an entity of the corpus."""
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entities = cut(entities.select("kind", "value").distinct())
     rest, done = entities, entities.select("kind", "value", F.lit("").alias("surrogate")).limit(0)
     for draw in range(DRAWS):
-        drawn = rest.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), key, draw))
+        # few bytes but much work: dealt out again, and the streams are columns, computed once for a row
+        dealt = rest.repartition(parts, "kind", "value")
+        seeds = dealt.select("kind", "value", _hexes(F.concat_ws("|", F.lit(key), "kind", "value", F.lit(draw))).alias("h"), _hexes(F.concat_ws("|", F.lit(key), F.lit("domain"), F.substring_index("value", "@", -1))).alias("d"))
+        streams = seeds.select("kind", "value", _stream(F.col("h")).alias("h"), _stream(F.col("d")).alias("d"))
+        drawn = streams.select("kind", "value", surrogate(F.col("kind"), F.col("value"), F.col("h"), F.col("d"), draw).alias("surrogate"))
         free = drawn.join(entities.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_anti").join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
         first = free.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
         done = cut(done.unionByName(first.select("kind", "value", "surrogate")))
