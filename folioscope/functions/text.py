@@ -47,7 +47,9 @@ def hangul_pairs(word: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Keyword terms of a text: its words and their Hangul pairs, with repeats."""
-    return F.flatten(F.transform(words(text), lambda w: F.concat(F.array(w), hangul_pairs(w))))
+    plain = words(text)
+    # looking into each word costs most of the time, and texts without Hangul have no pairs
+    return F.when(text.rlike(HANGUL), F.flatten(F.transform(plain, lambda w: F.concat(F.array(w), hangul_pairs(w))))).otherwise(plain)
 
 
 def strict_placeholder(namespace: str = NAMESPACE) -> str:

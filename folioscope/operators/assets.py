@@ -157,6 +157,28 @@ def restore(rows: DataFrame, assets: DataFrame, key: str = "doc_id", text: str =
     return out.withColumn(text, F.when(F.col("__m").isNull(), F.col(text)).otherwise(tx.unguard(merged, namespace))).drop("__m")
 
 
+def rewrite_paths(tables: DataFrame, images: DataFrame) -> DataFrame:
+    """tables with the paths of their images replaced by `url`.
+
+    tables: doc_id, placeholder_id, source; images: doc_id, table_id, start, end (places in the
+    source, from 0, end excluded), url.  A place that overlaps an earlier one, is empty-handed
+    (start after end) or lies beyond the source is left as it is.
+    """
+    at = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "url")
+    spots = images.where("start is not null and end is not null and url is not null")
+    spots = spots.groupBy("doc_id", F.col("table_id").alias("placeholder_id")).agg(F.array_sort(F.collect_list(at)).alias("__at"))
+    done = F.struct(F.lit("").alias("text"), F.lit(0).alias("next"))
+
+    def put(s: Column, x: Column) -> Column:
+        bad = (x["start"] < s["next"]) | (x["start"] > x["end"]) | (x["end"] > F.length("source"))
+        piece = F.substr(F.col("source"), s["next"] + 1, x["start"] - s["next"])
+        return F.when(bad, s).otherwise(F.struct(F.concat(s["text"], piece, x["url"]).alias("text"), x["end"].alias("next")))
+
+    finish = lambda s: F.concat(s["text"], F.substr(F.col("source"), s["next"] + 1))
+    out = tables.join(spots, ["doc_id", "placeholder_id"], "left")
+    return out.withColumn("source", F.when(F.col("__at").isNull(), F.col("source")).otherwise(F.aggregate("__at", done, put, finish))).drop("__at")
+
+
 def new_status(table_id: Column, kind: Column) -> Column:
     return F.when((kind == "image") & table_id.isNotNull(), "done").otherwise("pending")
 

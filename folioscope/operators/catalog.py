@@ -125,6 +125,49 @@ def summary_view(docs: DataFrame, versions: DataFrame, jobs: DataFrame) -> DataF
     return out.select("doc_id", "name", "state", only("indexing", "stage").alias("stage"), only("failed", "failure").alias("failure"), F.when(F.col("state") == "queued", F.col("queued_version").isNotNull()).alias("queued"))
 
 
+def detail_view(docs: DataFrame, versions: DataFrame, jobs: DataFrame) -> DataFrame:
+    """A document's page: the list row, its file, the result only when completed, the failure only when failed.
+
+    versions: doc_id, version, file_name, result, failure.  The view has no version column.
+    """
+    v = versions.select("doc_id", F.col("version").alias("latest_version"), "file_name", "result", F.col("failure").alias("__f"))
+    more = docs.select("doc_id", "latest_version", "state").join(v, ["doc_id", "latest_version"])
+    only = lambda state, c: F.when(F.col("state") == state, F.col(c))
+    more = more.select("doc_id", "file_name", only("completed", "result").alias("result"))
+    return summary_view(docs, versions, jobs).join(more, "doc_id")
+
+
+#: Name of a document that is gone (fixed value).
+UNKNOWN = "알 수 없는 문서"
+
+
+def answer_view(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows with the name and edition of their doc_id; a name that says so where the document is unknown."""
+    ref = docs.select("doc_id", F.col("name").alias("answer_name"), F.col("label").alias("answer_label"))
+    return rows.join(ref, "doc_id", "left").withColumn("answer_name", F.coalesce("answer_name", F.lit(UNKNOWN)))
+
+
+def log_view(rows: DataFrame) -> DataFrame:
+    """Log entries as they are sent: times in whole UTC seconds, the document in a struct, nulls kept."""
+    doc = F.struct("doc_id", "name", "edition_label").alias("document")
+    return rows.select("log_id", tx.iso_seconds(F.col("occurred_at")).alias("occurred_at"), "kind", doc, "document_deleted", "outcome", "description")
+
+
+def in_queue() -> Column:
+    """Documents that wait for the next index run."""
+    return F.col("queued_version").isNotNull() & ~F.col("deleted") & (F.col("search_state") != "replaced")
+
+
+def to_reconcile() -> Column:
+    """Documents with a request under way: queued or indexing, but no longer in the queue."""
+    return F.col("queued_version").isNull() & ~F.col("deleted") & (F.col("search_state") != "replaced") & F.col("state").isin("queued", "indexing")
+
+
+def names_in_scope(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """doc_id of visible documents with one of the names (trimmed, repeats aside)."""
+    return visible(docs).join(names.select(F.trim("name").alias("name")).distinct(), "name", "left_semi").select("doc_id")
+
+
 def work_queue(docs: DataFrame) -> DataFrame:
     """Documents by what has to be done for them: state and number."""
     return docs.where("not deleted").groupBy("state").agg(F.count("*").alias("n"))
@@ -185,3 +228,11 @@ def in_request_order(ids: DataFrame, rows: DataFrame) -> DataFrame:
 def wire(row: Column) -> Column:
     """JSON with an explicit null for what is missing."""
     return F.to_json(row, {"ignoreNullFields": "false"})
+
+
+def unwire(body: Column, schema: str) -> Column:
+    """A struct of a JSON body with snake_case keys; missing keys are null, other keys are left out.
+
+    A body that is no JSON object gives null.
+    """
+    return F.when(F.json_object_keys(body).isNotNull(), F.from_json(body, schema))

@@ -90,7 +90,7 @@ def replaced_editions(docs: DataFrame, survivors: DataFrame) -> DataFrame:
     s = survivors.select(F.col("doc_id").alias("s_id"), F.col("name").alias("s_name"), F.col("label").alias("s_label"), F.col("entered_at").alias("s_at"))
     hit = (docs["name"] == s["s_name"]) & docs["label"].eqNullSafe(s["s_label"]) & (docs["entered_at"] < s["s_at"]) & (docs["doc_id"] != s["s_id"])
     gone = docs.where("not deleted and search_state <> 'replaced'").join(s, hit, "left_semi")
-    busy = F.col("state").isin("queued", "captioning", "indexing")
+    busy = F.col("state").isin("uploaded", "captioning", "queued", "indexing")
     return gone.select("doc_id", F.lit("replaced").alias("search_state"), F.when(busy, "failed").otherwise(F.col("state")).alias("state"), F.when(busy, "REPLACED").alias("failure_code"))
 
 
@@ -163,9 +163,38 @@ def finish_deletion(docs: DataFrame, acknowledged: DataFrame) -> DataFrame:
     return out.withColumns({"purged": F.col("purged") | (done & F.col("deleted")), "pending_delete": F.col("pending_delete") & ~done}).select(*docs.columns)
 
 
-def failure_code(error: Column) -> Column:
-    codes = {"TimeoutError": "TIMEOUT", "MemoryError": "OUT_OF_MEMORY", "ValueError": "INVALID_INPUT", "ConnectionError": "STORE_UNAVAILABLE"}
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in codes.items() for x in kv]), error), F.lit("INTERNAL"))
+#: Codes of failed jobs (fixed values).
+FAILURE_CODES = ["CHUNKING_FAILED", "MODEL_UNAVAILABLE", "STORE_UNAVAILABLE", "VECTOR_DIMENSION_MISMATCH", "DOCUMENT_DELETED", "SERVER_RESTARTED", "INTERNAL_ERROR"]
+
+
+def failure_code(code: Column) -> Column:
+    """The code that an error carries; INTERNAL_ERROR for errors without a known one."""
+    return F.when(code.isin(FAILURE_CODES), code).otherwise("INTERNAL_ERROR")
+
+
+def job_steps(jobs: DataFrame, steps: DataFrame) -> DataFrame:
+    """Jobs after their steps in order of arrival; a step that the state doesn't allow is ignored.
+
+    jobs: job_id, state, stage, failure_code, chunk_count and more; steps: job_id, arrival, step
+    (start, succeed, fail, fail_queued), code, chunk_count.  A job starts in the chunking stage;
+    only running jobs succeed or fail, and fail_queued ends those that still wait.  Steps of one
+    arrival are taken by name.
+    """
+    row = F.struct("arrival", "step", "code", F.col("chunk_count").cast("bigint").alias("n"))
+    taken = steps.groupBy("job_id").agg(F.array_sort(F.collect_list(row)).alias("__steps"))
+    none = F.lit(None)
+    now = F.struct(F.col("state").alias("state"), F.col("stage").cast("string").alias("stage"), F.col("failure_code").cast("string").alias("code"), F.col("chunk_count").cast("bigint").alias("n"))
+    to = lambda state, stage, code, n: F.struct(F.lit(state).alias("state"), stage.cast("string").alias("stage"), code.cast("string").alias("code"), n.cast("bigint").alias("n"))
+
+    def move(s: Column, x: Column) -> Column:
+        fails = ((s["state"] == "running") & (x["step"] == "fail")) | ((s["state"] == "queued") & (x["step"] == "fail_queued"))
+        out = F.when((s["state"] == "queued") & (x["step"] == "start"), to("running", F.lit("chunking"), s["code"], s["n"]))
+        out = out.when((s["state"] == "running") & (x["step"] == "succeed"), to("succeeded", none, s["code"], x["n"]))
+        return out.when(fails, to("failed", none, failure_code(x["code"]), s["n"])).otherwise(s)
+
+    end = F.aggregate(F.coalesce("__steps", F.array().cast(taken.schema["__steps"].dataType)), now, move)
+    out = jobs.join(taken, "job_id", "left").withColumn("__e", end)
+    return out.withColumns({"state": F.col("__e.state"), "stage": F.col("__e.stage"), "failure_code": F.col("__e.code"), "chunk_count": F.col("__e.n")}).select(*jobs.columns)
 
 
 def string_version(versions: DataFrame) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from importlib import import_module
-
-MODULES = ["reference"]
+from . import changes, reference, scalars  # noqa: F401
+from .base import ORACLE_SQL, QUERIES
 
 
 def queries() -> dict:
-    return {name: f for m in MODULES for name, f in import_module(f"{__name__}.{m}").QUERIES.items()}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {name: s for m in MODULES for name, s in getattr(import_module(f"{__name__}.{m}"), "ORACLE_SQL", {}).items()}
+    return dict(ORACLE_SQL)

@@ -11,22 +11,9 @@ from ..operators import evaluation as ev
 from ..operators import retrieval as rt
 from ..operators import versions as vs
 from ..streaming import events as st
+from .base import query
 from .corpus import DOCS_SQL, LINES_SQL, docs, lines, table
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
 W = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+')"
 POST = f"post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({W.format('text')}) AS term FROM documents) GROUP BY 1, 2)"
 ASK = f"ask AS (SELECT DISTINCT item_id, unnest({W.format('text')}) AS term FROM benchmark)"
@@ -37,8 +24,8 @@ KEYWORD = f"""{POST}, {ASK}, n AS (SELECT count(DISTINCT doc_id) AS n FROM post)
 
 
 def _keyword(spark: SparkSession, d: str, limit: int = 30) -> DataFrame:
-    posts = rt.postings(table(spark, d, "documents"), "doc_id", "text")
-    return rt.keyword_search(posts, table(spark, d, "benchmark"), "doc_id", "item_id", "text", limit)
+    texts = table(spark, d, "documents")
+    return rt.keyword_search(rt.postings(texts, "doc_id", "text"), table(spark, d, "benchmark"), "doc_id", "item_id", "text", limit, total=rt.searchable_count(texts, "text"))
 
 
 @query("k05_postings", f"WITH {POST} SELECT * FROM post")
@@ -210,17 +197,16 @@ def j12(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
-@query("j09_replaced_editions", f"WITH {DOCS_SQL} SELECT DISTINCT a.doc_id, CASE WHEN a.state IN ('queued', 'captioning', 'indexing') THEN 'failed' ELSE a.state END AS state FROM docs a JOIN docs s ON a.name = s.name AND a.label IS NOT DISTINCT FROM s.label AND a.updated_at < s.updated_at AND a.doc_id <> s.doc_id WHERE s.doc_id % 50 = 1 AND NOT a.deleted AND a.search_state <> 'replaced'")
+@query("j09_replaced_editions", f"WITH {DOCS_SQL} SELECT DISTINCT a.doc_id, CASE WHEN a.state IN ('uploaded', 'captioning', 'queued', 'indexing') THEN 'failed' ELSE a.state END AS state FROM docs a JOIN docs s ON a.name = s.name AND a.label IS NOT DISTINCT FROM s.label AND a.updated_at < s.updated_at AND a.doc_id <> s.doc_id WHERE s.doc_id % 50 = 1 AND NOT a.deleted AND a.search_state <> 'replaced'")
 def j09(spark, d):
     x = docs(spark, d).withColumn("entered_at", F.col("updated_at"))
     return vs.replaced_editions(x, x.where("doc_id % 50 = 1")).select("doc_id", "state")
 
 
-@query("o04_golden_sort", "SELECT vec_id, row_number() OVER (ORDER BY CASE WHEN vec_id % 3 = 0 THEN NULL ELSE label END DESC NULLS LAST, vec_id DESC) AS place FROM embeddings")
+@query("o04_golden_sort", "SELECT vec_id, label AS sorted_by FROM (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN NULL ELSE label END AS label FROM embeddings) ORDER BY label DESC NULLS LAST, vec_id DESC LIMIT 100")
 def o04(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", F.when(F.col("vec_id") % 3 != 0, F.col("label")).alias("r"), F.col("vec_id").alias("created_at"), F.col("vec_id").alias("golden_set_id"))
-    ranked = rows.orderBy(*cat.sort_golden(F.col("r"), True))
-    return ranked.select("vec_id", F.row_number().over(Window.orderBy(*cat.sort_golden(F.col("r"), True))).alias("place"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.when(F.col("vec_id") % 3 != 0, F.col("label")).alias("sorted_by"), F.col("vec_id").alias("created_at"), F.col("vec_id").alias("golden_set_id"))
+    return cat.page(rows, cat.sort_golden(F.col("sorted_by"), True), 1, 100).select("vec_id", "sorted_by")
 
 
 EVAL = rf"""{KEYWORD}, strip_ AS (SELECT doc_id, regexp_replace(text, '\s', '', 'g') AS body FROM documents),

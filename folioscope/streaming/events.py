@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.catalog import may_go, target_state
+from ..operators.catalog import may_go, target_state, to_reconcile
 
 
 def accepted(events: DataFrame, results: DataFrame | None = None) -> DataFrame:
@@ -80,9 +80,9 @@ def recent(events: DataFrame, ts: str, now, days: int) -> DataFrame:
 
 
 def reconcile(docs: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Running documents whose job's state differs from the snapshot: doc_id, job_id, state, job_state."""
+    """Documents with a request under way whose job's state differs from the snapshot: doc_id, job_id, state, job_state."""
     s = snapshot.select("job_id", F.col("state").alias("job_state"))
-    return docs.where("state in ('queued', 'indexing')").join(s, "job_id").where(target_state(F.col("job_state")) != F.col("state")).select("doc_id", "job_id", "state", "job_state")
+    return docs.where(to_reconcile()).join(s, "job_id").where(target_state(F.col("job_state")) != F.col("state")).select("doc_id", "job_id", "state", "job_state")
 
 
 def open_jobs(jobs: DataFrame) -> DataFrame:

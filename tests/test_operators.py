@@ -1,5 +1,6 @@
 """Small cases with hand-computed results."""
 
+import math
 from datetime import datetime, timezone
 
 import pytest
@@ -209,3 +210,105 @@ def test_catalogue(spark):
     with pytest.raises(ValueError):
         cat.page(spark.range(3), [F.col("id")], 0, 20)
     assert one(spark, cat.wire(F.struct(F.lit(None).cast("string").alias("a")))) == '{"a":null}'
+
+
+def test_job_steps(spark):
+    jobs = spark.createDataFrame([(i, "d", "queued", None, None, None) for i in range(5)], "job_id int, doc_id string, state string, stage string, failure_code string, chunk_count bigint")
+    steps = [(0, 1, "start", None, None), (0, 2, "succeed", None, 7), (0, 3, "fail", "INTERNAL_ERROR", None), (1, 2, "start", None, None), (1, 1, "succeed", None, 7), (2, 1, "start", None, None), (2, 2, "fail", "STORE_UNAVAILABLE", None), (3, 1, "fail_queued", "odd", None)]
+    got = vs.job_steps(jobs, spark.createDataFrame(steps, "job_id int, arrival int, step string, code string, chunk_count int"))
+    assert got.columns == jobs.columns
+    assert {r["job_id"]: tuple(r)[2:] for r in got.collect()} == {
+        0: ("succeeded", None, None, 7),
+        1: ("running", "chunking", None, None),
+        2: ("failed", None, "STORE_UNAVAILABLE", None),
+        3: ("failed", None, "INTERNAL_ERROR", None),
+        4: ("queued", None, None, None),
+    }
+
+
+def test_paths_in_tables(spark):
+    tables = spark.createDataFrame([(1, "t1", "0123456789"), (1, "t2", "ab"), (2, "t1", None)], "doc_id int, placeholder_id string, source string")
+    spots = [(1, "t1", 6, 8, "Y"), (1, "t1", 2, 4, "X"), (1, "t1", 3, 5, "overlap"), (1, "t1", 9, 11, "beyond"), (1, "t1", 9, 8, "turned"), (1, "t2", None, 1, "no"), (2, "t1", 0, 1, "z")]
+    images = spark.createDataFrame(spots, "doc_id int, table_id string, start int, end int, url string")
+    assert sorted((r["doc_id"], r["placeholder_id"], r["source"]) for r in assets.rewrite_paths(tables, images).collect()) == [(1, "t1", "01X45Y89"), (1, "t2", "ab"), (2, "t1", None)]
+
+
+
+
+@pytest.mark.parametrize(
+    "response, fault",
+    [
+        ('{"chunks": [{"start_line": 1, "end_line": 2, "title": " t ", "summary": "s"}]}', None),
+        ('{"chunks": [{"start_line": 3, "end_line": 3, "title": "", "summary": ""}]}', None),
+        ('{"chunks": [{"start_line": 1, "end_line": 2, "title": "t", "summary": " "}]}', "empty_summary"),
+        ('{"chunks": [{"start_line": 1, "end_line": 2, "summary": "s"}]}', "empty_title"),
+        ('{"chunks": [{"start_line": 0, "end_line": 2, "title": "t", "summary": "s"}]}', "line_out_of_range"),
+        ('{"chunks": [{"start_line": true, "end_line": 2, "title": "t", "summary": "s"}]}', "bad_item"),
+        ('{"chunks": [{"start_line": 1.5, "end_line": 2, "title": "t", "summary": "s"}]}', "bad_item"),
+        ('{"chunks": [{"start_line": "1", "end_line": 2, "title": "t", "summary": "s"}]}', "bad_item"),
+        ('{"chunks": [3]}', "bad_item"),
+        ('{"chunks": []}', "no_chunks"),
+        ('{"chunks": 3}', "no_chunks"),
+        ("{}", "no_chunks"),
+        ("[]", "not_json"),
+        ("no", "not_json"),
+        (None, "not_json"),
+    ],
+)
+def test_model_response(spark, response, fault):
+    rows = spark.createDataFrame([(response, "a\nb\n \nc")], "response string, text string")
+    got = chunking.parsed_boundaries(rows).first()
+    assert got["fault"] == fault
+    if response and fault is None and '" t "' in response:
+        assert [tuple(s) for s in got["sections"]] == [(1, 2, "t", "s")]
+
+
+def test_views(spark):
+    row = spark.createDataFrame([(1, datetime(2024, 1, 2, 3, 4, 5, 999999), "edit", "d", "n", None, False, "success", "x")], "log_id int, occurred_at timestamp, kind string, doc_id string, name string, edition_label string, document_deleted boolean, outcome string, description string")
+    sent = cat.log_view(row).first()
+    assert sent["occurred_at"].endswith(":05Z") and sent["document"].asDict() == {"doc_id": "d", "name": "n", "edition_label": None}
+    ask = spark.createDataFrame([(1, "d"), (2, "gone")], "id int, doc_id string")
+    refs = spark.createDataFrame([("d", "n", None)], "doc_id string, name string, label string")
+    assert {r["id"]: r["answer_name"] for r in cat.answer_view(ask, refs).collect()} == {1: "n", 2: cat.UNKNOWN}
+    assert one(spark, cat.unwire(F.col("t"), "a int, b string"), t='{"a": 1, "z": 2}').asDict() == {"a": 1, "b": None}
+    assert one(spark, cat.unwire(F.col("t"), "a int"), t="[1]") is None
+
+
+def test_search_in_blocks(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "vec_id int, e array<double>")
+    q = v.where("vec_id % 3 = 0").select(F.col("vec_id").alias("q_id"), F.col("e").alias("qe"))
+    run = lambda: sorted(map(tuple, rt.dense_search(v, q, "vec_id", "e", "q_id", "qe", 4).collect()))
+    whole = run()
+    monkeypatch.setattr(rt, "QUERY_BLOCK", 6)
+    assert run() == whole and len(whole) == 80
+
+
+@pytest.mark.parametrize("scoring", ["tfidf", "bm25"])
+def test_keyword_scores(spark, scoring):
+    texts = {1: "a a b", 2: "b c", 3: "c c c d", 4: "", 5: None, 6: "..."}
+    chunks = spark.createDataFrame(list(texts.items()), "id int, text string")
+    asked = spark.createDataFrame([(1, "A b a"), (2, "zzz"), (3, None)], "q int, text string")
+    got = {(r["q"], r["id"]): r["score"] for r in rt.keyword_search(rt.postings(chunks, "id", "text"), asked, "id", "q", "text", 10, scoring).collect()}
+    split = {k: t.split() for k, t in texts.items() if t and t != "..."}
+    n, avg = len(split), sum(map(len, split.values())) / len(split)
+    want = {}
+    for k, w in split.items():
+        for t in {"a", "b"} & set(w):
+            df, tf = sum(t in x for x in split.values()), w.count(t)
+            idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
+            part = tf if scoring == "tfidf" else tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / avg))
+            want[1, k] = want.get((1, k), 0) + idf * part
+    assert got == pytest.approx(want)
+    assert rt.searchable_count(chunks, "text") == n
+    known = rt.keyword_search(rt.postings(chunks, "id", "text"), asked, "id", "q", "text", 10, total=n)
+    if scoring == "tfidf":
+        assert {(r["q"], r["id"]): r["score"] for r in known.collect()} == pytest.approx(want)
+
+
+def test_common_span():
+    texts = ["", "ab", "xabcx", "abcab", "bcabc", "cabxab"]
+    for a in texts:
+        for b in texts:
+            found = [(-n, i) for i in range(len(a)) for n in range(1, len(a) - i + 1) if a[i : i + n] in b]
+            n, i = min(found) if found else (0, 0)
+            assert tx.longest_common(a, b) == (i, -n)
