@@ -287,6 +287,30 @@ def a05(spark, d):
     return ev.roll_up(x).drop("n", "last_evaluated_at").withColumns({k: F.round(k, 6) for k in ("base_mrr", "expanded_mrr")})
 
 
+@query("a06_newest_evaluation", "SELECT max(o_orderkey) FILTER (o_orderstatus IN ('O', 'F')) AS n, count(*) AS count FROM orders")
+def a06(spark, d):
+    m = F.struct(*[F.lit(True).alias(k) for k in ("hit_at_1", "hit_at_3", "hit_at_5", "hit_at_n")], F.lit(1.0).alias("reciprocal_rank"))
+    done = F.when(c("o_orderstatus") == "O", "hit").when(c("o_orderstatus") == "F", "miss").otherwise("evaluating")
+    x = table(spark, d, "orders").select(done.alias("outcome"), m.alias("base"), m.alias("expanded"), c("o_orderkey").alias("n"), c("o_orderkey").cast("timestamp").alias("evaluated_at"))
+    return ev.roll_up(x).select("n", "count")
+
+
+@query("a10_upsert_counts", "SELECT l_orderkey AS doc_id, CAST(l_linenumber % 2 AS VARCHAR) AS version, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def a10(spark, d):
+    return table(spark, d, "lineitem").groupBy(c("l_orderkey").alias("doc_id"), (c("l_linenumber") % 2).cast("string").alias("version")).agg(F.count("*").alias("n"))
+
+
+@query("a11_distinct_logged", "SELECT DISTINCT user_id AS doc_id FROM events WHERE event_type = 'click'")
+def a11(spark, d):
+    return table(spark, d, "events").where("event_type = 'click'").select(c("user_id").alias("doc_id")).distinct()
+
+
+@query("u02_missing_assets", f"WITH {ASSETS}, d AS (SELECT doc_id, list(DISTINCT placeholder_id) AS p FROM assets GROUP BY 1) SELECT doc_id, len(list_filter(['t1', 't2', 't9'], lambda x: NOT list_contains(p, x))) AS missing FROM d")
+def u02(spark, d):
+    held = assets(spark, d).groupBy("doc_id").agg(F.collect_set("placeholder_id").alias("p"))
+    return held.select("doc_id", F.size(at.missing_assets(F.array(*map(F.lit, ["t1", "t2", "t9"])), c("p"))).alias("missing"))
+
+
 @query("a07_open_jobs", f"WITH {JOBS} SELECT count(*) FILTER (state IN ('queued', 'running')) AS open_jobs FROM jobs")
 def a07(spark, d):
     return st.open_jobs(jobs(spark, d))

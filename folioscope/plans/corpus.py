@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import spread
+
 DOCS_SQL = """docs AS (
   SELECT doc_id, source AS name, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lang END AS label,
     CASE WHEN doc_id % 7 = 0 THEN NULL ELSE DATE '2024-01-01' + CAST(doc_id % 11 AS INTEGER) END AS edition_date,
@@ -45,4 +47,4 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))

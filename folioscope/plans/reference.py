@@ -10,6 +10,7 @@ from ..operators import catalog as cat
 from ..operators import evaluation as ev
 from ..operators import retrieval as rt
 from ..operators import versions as vs
+from ..sources.store import spread
 from ..streaming import events as st
 from .base import query
 from .corpus import DOCS_SQL, LINES_SQL, docs, lines, table
@@ -25,7 +26,7 @@ KEYWORD = f"""{POST}, {ASK}, n AS (SELECT count(DISTINCT doc_id) AS n FROM post)
 
 def _keyword(spark: SparkSession, d: str, limit: int = 30) -> DataFrame:
     texts = table(spark, d, "documents")
-    return rt.keyword_search(rt.postings(texts, "doc_id", "text"), table(spark, d, "benchmark"), "doc_id", "item_id", "text", limit, total=rt.searchable_count(texts, "text"))
+    return rt.keyword_search(rt.postings(spread(texts.select("doc_id", "text")), "doc_id", "text"), table(spark, d, "benchmark"), "doc_id", "item_id", "text", limit, total=rt.searchable_count(texts, "text"))
 
 
 @query("k05_postings", f"WITH {POST} SELECT * FROM post")

@@ -11,7 +11,9 @@ from ..functions import text as tx
 from ..operators import assets as at
 from ..operators import catalog as cat
 from ..operators import chunking as ck
+from ..operators import evaluation as ev
 from ..operators import glossary as gl
+from ..operators import versions as vs
 from .base import query
 from .corpus import table
 
@@ -105,6 +107,16 @@ scalar("x25_log_sentence", "orders", "o_orderkey", {"sentence": (
     lambda: cat.describe(F.when(c("o_orderkey") % 2 == 0, "edit").otherwise("captioning"), F.when(c("o_orderkey") % 3 == 0, "failure").otherwise("success"), F.lit("이름"), c("o_orderkey"), F.lit(-1)),
     "CASE WHEN o_orderkey % 2 = 0 THEN '이름을 ' || CASE WHEN o_orderkey % 3 = 0 THEN '고치지 못했습니다' ELSE '고쳤습니다' END WHEN o_orderkey % 3 = 0 THEN '요약·캡션을 만들지 못했습니다' ELSE '요약·캡션 ' || o_orderkey || '개를 만들었습니다 (임시 설명 0개)' END",
 )})
+scalar("x15_checksum", "benchmark", "item_id", {"checksum": (
+    lambda: tx.checksum(c("text"), F.array(F.lit("b"), F.lit("a")), F.lit("rule"), F.lit(256), F.lit("m")),
+    "sha256('{\"assets\":[\"a\",\"b\"],\"chunk_max_tokens\":256,\"embedding_model\":\"m\",\"markdown\":' || to_json(text) || ',\"mode\":\"rule\",\"v\":1}')",
+)})
+scalar("m16_outcome", "orders", "o_orderkey", {"outcome": (lambda: ev.outcome_of(c("o_orderkey") % 2 == 0, F.when(c("o_orderkey") % 5 == 0, "e")), "CASE WHEN o_orderkey % 5 = 0 THEN 'error' WHEN o_orderkey % 2 = 0 THEN 'hit' ELSE 'miss' END")})
+scalar("m22_stop_reason", "orders", "o_orderkey", {"reason": (
+    lambda: vs.stop_reason(*[c("o_orderkey") % n == 0 for n in (13, 7, 5, 3, 2)]),
+    "CASE WHEN o_orderkey % 13 = 0 THEN 'shutdown' WHEN o_orderkey % 7 = 0 THEN 'deleted' WHEN o_orderkey % 5 = 0 THEN 'replaced' WHEN o_orderkey % 3 = 0 THEN 'superseded' WHEN o_orderkey % 2 = 0 THEN 'state_changed' END",
+)})
+scalar("m28_failure_code", "orders", "o_orderkey", {"code": (lambda: vs.failure_code(F.when(c("o_orderkey") % 2 == 0, "STORE_UNAVAILABLE").when(c("o_orderkey") % 3 == 0, "ODD")), "CASE WHEN o_orderkey % 2 = 0 THEN 'STORE_UNAVAILABLE' ELSE 'INTERNAL_ERROR' END")})
 
 GLOSSARY = [["de", "von", "del"], ["market", "trade"]]
 

@@ -12,6 +12,15 @@ from ..functions import text as tx
 TEXT, IMAGES = ("md",), ("png", "jpg", "jpeg", "gif", "svg", "webp")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan on all cores where its files have fewer splits than there are cores.
+
+    Large inputs have more splits and stay as they are, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 class Store:
     """A table as versioned folders; a pointer file names the current one, so readers see one whole version."""
 
