@@ -312,3 +312,27 @@ def test_common_span():
             found = [(-n, i) for i in range(len(a)) for n in range(1, len(a) - i + 1) if a[i : i + n] in b]
             n, i = min(found) if found else (0, 0)
             assert tx.longest_common(a, b) == (i, -n)
+
+
+def test_ordered_sink(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def send(row):
+        with open(log, "a") as f:
+            f.write(f"{row['doc_id']} {row['sequence']}\n")
+
+    rows = spark.createDataFrame([("a", 3), ("b", 1), ("a", 1), ("a", 2)], "doc_id string, sequence long")
+    st.ordered_sink(send)(rows, 0)
+    sent = [line.split() for line in open(log)]
+    assert [s for d, s in sent if d == "a"] == ["1", "2", "3"] and len(sent) == 4
+
+
+def test_glossary_file(spark, tmp_path):
+    path = tmp_path / "words.yaml"
+    path.write_text("groups:\n- [cert, Certificate]\n")
+    g = glossary.Glossary(str(path))
+    assert [r["norm"] for r in g.table(spark).orderBy("pos").collect()] == ["cert", "certificate"]
+    path.write_text("groups:\n- [alone]\n# faulty: one word\n")
+    assert g.table(spark).count() == 2
+    path.write_text("groups:\n- [a, b, c]\n")
+    assert g.table(spark).count() == 3
