@@ -29,8 +29,12 @@ from .graph import Forest, components
 from .words import tidy
 
 THRESHOLD = 0.9
-#: Independent product codes, and filters that a vector has in each, on average.
+#: Independent product codes at least, and filters that a vector has in each, on average.
 CODES, FILTERS = 4, 4
+#: Expected share of the pairs at exactly the threshold that share a filter, whatever n is.
+RECALL = 0.995
+#: Random pairs from which a code's share of lost pairs is estimated, and codes that filter ids have room for.
+PAIRS, MOST_CODES = 4000, 256
 #: A vector also takes the directions that fall short of its best one by this at most.
 SLACK = 0.015
 #: Vectors of a tile.
@@ -88,6 +92,42 @@ class Code:
         return row, code
 
 
+def pairs_at(dim: int, cosine: float, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """n random pairs of unit vectors with that cosine."""
+    rng = np.random.Generator(np.random.PCG64([seed, dim]))
+    x, z = rng.standard_normal((2, n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    return x, cosine * x + sqrt(1 - cosine * cosine) * z
+
+
+def meets(code: Code, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of rows share a filter of the code."""
+    out = np.zeros(len(x), dtype=bool)
+    for at in range(0, len(x), 250):
+        both = [np.rec.fromarrays(code.decode(v[at : at + 250])) for v in (x, y)]
+        out[at + np.intersect1d(*both)["f0"]] = True
+    return out
+
+
+def codes_needed(dim: int, n: int, threshold: float) -> int:
+    """Codes at which pairs at exactly the threshold share a filter with a probability of RECALL.
+
+    The rotations are independent, so a pair is lost by all codes with the product of the
+    probabilities of each.
+    """
+    if dim < 3 or threshold >= 1:
+        return CODES
+    x, y = pairs_at(dim, threshold, PAIRS // 2, 1 << 20)
+    lost = 1 - np.mean([meets(Code(dim, n, seed), x, y).mean() for seed in (1 << 20, (1 << 20) + 1)])
+    # with none lost in the sample, no more than one in PAIRS is taken to be
+    need = ceil(log(1 - RECALL) / log(max(lost, 1 / PAIRS))) if lost < 1 else MOST_CODES + 1
+    if need > MOST_CODES:
+        raise ValueError(f"a recall of {RECALL} at cosine {threshold} takes more than {MOST_CODES} codes")
+    return max(CODES, need)
+
+
 def _unit(raw: list[bytes], kind: str) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), dtype=kind).reshape(len(raw), -1).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -146,12 +186,15 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", th
 
     rows = cut(source.mapInArrow(number, T.StructType([T.StructField("rid", T.LongType()), T.StructField("k", source.schema["k"].dataType), T.StructField("v", T.BinaryType())])))
     classes = cut(rows.where("v is not null").groupBy("v").agg(F.min("rid").alias("rep"), F.count("*").alias("w")))
-    n = classes.count()
+    width = np.dtype(kind).itemsize
+    by_dim = {r[0] // width: r[1] for r in classes.groupBy(F.length("v")).count().collect()}
+    n = sum(by_dim.values())
+    needed = {dim: codes_needed(dim, n, threshold) for dim in by_dim}
     codes: dict[int, list[Code]] = {}
 
     def code(dim: int) -> list[Code]:
         if dim not in codes:
-            codes[dim] = [Code(dim, n, seed) for seed in range(CODES)]
+            codes[dim] = [Code(dim, n, seed) for seed in range(needed[dim])]
         return codes[dim]
 
     def filters(heavy: dict[tuple[int, int], int] | None):
@@ -165,7 +208,7 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", th
                         x = _unit([raw[i] for i in of], kind)
                         found = [c.decode(x) for c in code(x.shape[1])]
                         row = np.concatenate([f[0] for f in found])
-                        fid = np.concatenate([(f[1] << 3) | s for s, f in enumerate(found)])
+                        fid = np.concatenate([(f[1] << 8) | s for s, f in enumerate(found)])
                         order = np.lexsort((fid, row))
                         row, fid = row[order], fid[order]
                         ends = np.cumsum(np.bincount(row, minlength=len(of)))

@@ -173,6 +173,15 @@ def test_embedding_links(spark):
     assert embedding_dedup.links(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [500, 20_000, 10**6, 12 * 10**7])
+def test_embedding_recall_at_threshold(n):
+    x, y = embedding_dedup.pairs_at(64, 0.9, 2000, 5)
+    met = np.zeros(len(x), dtype=bool)
+    for seed in range(embedding_dedup.codes_needed(64, n, 0.9)):
+        met |= embedding_dedup.meets(embedding_dedup.Code(64, n, seed), x, y)
+    assert met.mean() >= 0.99
+
+
 def test_html():
     page = """<html><head><title>x</title><script>var a="</p>";</script></head><body><header>Site</header><nav><a>menu</a></nav>
     <article><h1>Title &amp; more</h1><p><b>One<br>two   three<p>Four &lt;five&gt;</p><div class="ad">buy</div><section class="comments"><p>nice</p></section></article>
