@@ -4,7 +4,12 @@ A document's units are its sentences.  A unit and a template are sets of bigrams
 words; they match if 2 |A and B| / (|A| + |B|) reaches `THRESHOLD`.  The size bound
 t / (2 - t) <= |A| / |B| <= (2 - t) / t leaves few templates for a unit.  A match also needs one of
 the rarest bigrams of its template (those beyond the share that may be missing); a document with
-none of their longer words is passed over.  All of it is one row expression: no shuffle, no Python.
+none of their longer words is passed over.
+
+What the matching sentences leave is read again as one run of words, in which line breaks and
+sentence ends don't count: windows of as many words as a notice has are compared with it in the
+same way, so wrapped notices and those inside longer sentences and licence texts are found.  Of
+overlapping windows the one that shares the most bigrams counts.  All of it is one row expression: no shuffle, no Python.
 """
 
 from __future__ import annotations
@@ -42,6 +47,16 @@ TEMPLATES = [
     ("Unlicense", "permissive", "This is free and unencumbered software released into the public domain."),
 ]
 
+_GNU = "{} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+#: Notices that only windows are compared with, besides `TEMPLATES`: the usual headers of the GNU licences.
+NOTICES = [
+    ("GPL-2.0", "copyleft", _GNU.format("This program", "", "2")),
+    ("GPL-3.0", "copyleft", _GNU.format("This program", "", "3")),
+    ("LGPL-2.1", "copyleft", _GNU.format("This library", "Lesser ", "2.1")),
+    ("LGPL-3.0", "copyleft", _GNU.format("This library", "Lesser ", "3")),
+    ("AGPL-3.0", "copyleft", _GNU.format("This program", "Affero ", "3")),
+]
+
 #: Ends of units.
 UNIT_END = r"[.!?;:]*\n|[.!?]+[ \t]+"
 
@@ -55,16 +70,17 @@ def bigrams_of(notice: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))
 
 
-def anchors(templates: list[tuple[str, str, str]], threshold: Fraction) -> list[str]:
-    """Words of which a document with a match has one: the longer word of each necessary bigram."""
+def necessary(templates: list[tuple[str, str, str]], threshold: Fraction) -> list[list[str]]:
+    """Bigrams of each template of which a match has one."""
     grams = [bigrams_of(t) for _, _, t in templates]
     often = Counter(x for g in grams for x in g)
     least = threshold / (2 - threshold)
-    out = set()
-    for g in grams:
-        missing = floor(len(g) * (1 - least))
-        for x in sorted(g, key=lambda x: (-len(max(x.split(), key=len)), often[x], x))[: missing + 1]:
-            out.add(max(x.split(), key=len))
+    return [sorted(g, key=lambda x: (-len(max(x.split(), key=len)), often[x], x))[: floor(len(g) * (1 - least)) + 1] for g in grams]
+
+
+def anchors(templates: list[tuple[str, str, str]], threshold: Fraction) -> list[str]:
+    """Words of which a document with a match has one: the longer word of each necessary bigram."""
+    out = {max(x.split(), key=len) for g in necessary(templates, threshold) for x in g}
     return sorted(x for x in out if not any(y != x and y in x for y in out))
 
 
@@ -74,18 +90,46 @@ def _bigrams(unit: Column) -> Column:
     return F.when(F.size(w) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str, str]] = TEMPLATES, threshold: Fraction = THRESHOLD) -> DataFrame:
+def _windows(grams: Column, notices: list[tuple[str, str, str]], threshold: Fraction) -> Column:
+    """Matching windows of a run of bigrams that don't overlap: structs of both, dice, i (negative) and start."""
+    def of(i: int, notice: str, needed: list[str]) -> Column:
+        wide, b = len(words_of(notice)) - 1, bigrams_of(notice)
+        at = F.filter(F.sequence(F.lit(1), F.size(grams)), lambda j: F.get(grams, j - 1).isin(needed))
+        last = F.greatest(F.size(grams) - wide + 1, F.lit(1))
+        starts = F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(F.greatest(F.least(p - wide + 1, last), F.lit(1)), F.least(p, last)))))
+
+        def shared(s: Column) -> Column:
+            g = F.slice(grams, s, wide)
+            return F.struct(F.size(F.array_intersect(g, F.array(*map(F.lit, b)))).alias("both"), F.size(F.array_distinct(g)).alias("n"), (-s).alias("start"))
+
+        scored = F.transform(F.transform(starts, shared), lambda x: F.struct(x["both"], (2.0 * x["both"] / (x["n"] + len(b))).alias("dice"), F.lit(-i).alias("i"), x["start"]))
+        return F.filter(scored, lambda x: x["dice"] >= float(threshold))
+
+    found = [of(i, x[2], n) for i, (x, n) in enumerate(zip(notices, necessary(notices, threshold), strict=True))]
+    long = {-i: len(words_of(x[2])) - 1 for i, x in enumerate(notices)}
+    best = F.reverse(F.array_sort(F.flatten(F.array(*found))))
+    wide = F.create_map(*[F.lit(x) for kv in long.items() for x in kv])
+    ends = lambda x: -x["start"] + F.element_at(wide, x["i"])
+    none = F.array().cast("array<struct<both:int,dice:double,i:int,start:int>>")
+    free = lambda kept, x: ~F.exists(kept, lambda y: (-y["start"] <= ends(x)) & (-x["start"] <= ends(y)))
+    return F.aggregate(best, none, lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+
+
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str, str]] = TEMPLATES, threshold: Fraction = THRESHOLD, notices: list[tuple[str, str, str]] = NOTICES) -> DataFrame:
     """key, n_notices, licences, kinds, best_dice: one row for each row of docs.
 
     licences and kinds are sorted, distinct and joined by commas; a unit counts for its best
-    template, of equal ones the first listed.  Without a match (or text) they are empty and
+    template, of equal ones the first listed; windows over the other units count besides.  Without a match (or text) they are empty and
     best_dice is 0.  Null and repeated keys are kept.
     """
     t = float(threshold)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     sets = [bigrams_of(x[2]) for x in templates]
     least, most = min(floor(low * len(s)) for s in sets), max(-floor(-high * len(s)) for s in sets)
+    every = [*templates, *notices]
     needed = "|".join(map(re.escape, anchors(templates, threshold)))
+    in_any = "|".join(map(re.escape, anchors(every, threshold)))
+    phrase = "|".join(sorted({x for g in necessary(every, threshold) for x in g}))
 
     def best(grams: Column) -> Column:
         found = []
@@ -97,13 +141,25 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: li
         return F.array_max(F.array(*found))
 
     low_text = F.lower(F.col("__t"))
-    units = F.filter(F.split(low_text, UNIT_END), lambda u: u.rlike(needed))
-    grams = F.filter(F.transform(units, _bigrams), lambda g: F.size(g).between(least, most))
-    hits = F.filter(F.transform(grams, best), lambda b: b["dice"] >= t)
-    hits = F.when(low_text.rlike(needed), hits).otherwise(F.array().cast("array<struct<dice:double,i:int>>"))
-    names, kinds = F.array(*[F.lit(x[0]) for x in templates]), F.array(*[F.lit(x[1]) for x in templates])
+    none = F.array().cast("array<struct<dice:double,i:int>>")
+    # the best template of each unit; 0 for units that match none
+    of_unit = lambda u: F.when(u.rlike(needed), _bigrams(u)).otherwise(F.array().cast("array<string>"))
+    match = lambda g: F.when(F.size(g).between(least, most), best(g))
+    units = F.when(low_text.rlike(in_any), F.split(low_text, UNIT_END)).otherwise(F.array().cast("array<string>"))
+    out = docs.select(F.col(key).alias("__k"), F.coalesce(F.col(text), F.lit("")).alias("__t")).select("__k", units.alias("__u"))
+    out = out.select("__k", "__u", F.transform(F.transform("__u", of_unit), match).alias("__m"))
+    hit = lambda b: F.coalesce(b["dice"] >= t, F.lit(False))
+    # what is left, as normalised words; a matched unit becomes a mark that no notice holds
+    left = F.array_join(F.zip_with("__u", "__m", lambda u, m: F.when(hit(m), F.lit("|")).otherwise(u)), "\n")
+    out = out.select("__k", F.filter("__m", hit).alias("__hits"), F.when(F.size("__u") > 0, F.regexp_replace(left, "[^a-z0-9|]+", " ")).alias("__left"))
+    w = F.when(F.col("__left").rlike(rf"\b(?:{phrase})\b"), F.regexp_extract_all("__left", F.lit("[a-z0-9]+|[|]"), F.lit(0)))
+    out = out.select("__k", "__hits", w.alias("__w"))
+    grams = F.transform(F.sequence(F.lit(1), F.size("__w") - 1), lambda i: F.concat_ws(" ", F.get("__w", i - 1), F.get("__w", i)))
+    out = out.select("__k", "__hits", F.when(F.size("__w") > 1, grams).alias("__g"))
+    more = F.transform(_windows(F.col("__g"), every, threshold), lambda x: F.struct(x["dice"].alias("dice"), x["i"].alias("i")))
+    out = out.select("__k", F.concat("__hits", F.when(F.col("__g").isNotNull(), more).otherwise(none)).alias("__hits"))
+    names, kinds = F.array(*[F.lit(x[0]) for x in every]), F.array(*[F.lit(x[1]) for x in every])
     joined = lambda of: F.array_join(F.array_sort(F.array_distinct(F.transform("__hits", lambda b: F.get(of, -b["i"])))), ",")
-    out = docs.select(F.col(key).alias("__k"), F.coalesce(F.col(text), F.lit("")).alias("__t")).select("__k", hits.alias("__hits"))
     return out.select(
         F.col("__k").alias(key),
         F.size("__hits").cast("long").alias("n_notices"),

@@ -201,6 +201,17 @@ def test_html_differencing(spark):
         assert Counter(got) == Counter([(i, f"own text {i}") for i in (0, 0, 1, 2, 3, 4, 5)] + [(10, "Top menu\n\nq\n\nSay hello"), (11, ""), (12, "")])
 
 
+def test_license_windows(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\n1. x"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."
+    gpl = "This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."
+    both = "Released under the MIT License.\n" + gpl
+    rows = list(enumerate([bsd, isc, mit, gpl, gpl.replace("GNU", "GNU Lesser").replace("program", "library"), both, "to any person in source and binary forms\nthe free software of the foundation"]))
+    got = {r.doc_id: (r.licences, r.n_notices) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: ("BSD-3-Clause", 1), 1: ("ISC", 1), 2: ("MIT", 1), 3: ("GPL-3.0", 1), 4: ("LGPL-3.0", 1), 5: ("GPL-3.0,MIT", 2), 6: ("", 0)}
+
+
 def test_license_scan(spark):
     rows = [(1, "Intro. Licensed under the Apache License, Version 2.0.\nmore"), (2, "licensed under cc by-nc 4.0!\nReleased under the MIT License."), (3, None), (4, "the license of the public"), (5, ""), (1, "x")]
     got = Counter((r.doc_id, r.licences, r.n_notices) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
