@@ -37,6 +37,8 @@ _SYLLABLES = {
 }
 
 _EDGE = r"(?<![\p{L}\p{N}._%+\-@])"
+#: IPv6 with one run of zero groups left out: some groups before :: and as many after it as there is room for.
+_SHORT_V6 = "(?:" + "|".join(f"(?:[0-9A-Fa-f]{{1,4}}:){{{n}}}(?::[0-9A-Fa-f]{{1,4}}){{1,{7 - n}}}" for n in range(1, 7)) + "|(?:[0-9A-Fa-f]{1,4}:){1,7}:|:(?::[0-9A-Fa-f]{1,4}){1,7})"
 #: Types in order of preference and what they look like (Java patterns).
 PATTERNS = {
     "email": _EDGE + r"[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}](?:[\p{L}\p{N}\-]{0,62})\.){1,8}\p{L}{2,24}",
@@ -46,12 +48,12 @@ PATTERNS = {
     "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])",
     "card": r"(?<![\d.\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){2,3}(?:[ \-]\d{1,3})?|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)",
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
-    "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])|(?<![\p{L}\p{N}:])" + _SHORT_V6 + r"(?![\p{L}\p{N}:])",
     "person": r"(?<![\p{L}\p{N}])(?:" + "|".join(t for ts in _TITLES.values() for t in ts) + r")\.? \p{Lu}[\p{Ll}'\-]+(?: \p{Lu}[\p{Ll}'\-]+){0,2}",
 }
 PATTERN = "(?:" + "|".join(PATTERNS.values()) + ")"
 #: What every entity holds: a quick test for texts without any.
-HINT = "[0-9@]|" + "|".join(_TITLES["m"] + _TITLES["f"])
+HINT = "[0-9@]|sk-|gh[pousr]_|AKIA|[0-9A-Fa-f]{32}|::|[0-9A-Fa-f]:[0-9A-Fa-f]|" + "|".join(_TITLES["m"] + _TITLES["f"])
 
 
 def kind_of(e: Column) -> Column:
@@ -79,6 +81,8 @@ def canonical(e: Column, kind: Column) -> Column:
         .when(kind == "iban", F.replace(e, F.lit(" "), F.lit("")))
         .when(kind == "person", F.concat_ws("|", gender, _script(name), F.lower(name)))
         .when((kind == "secret") & ~e.rlike("^[0-9A-Fa-f]+$"), e)
+        # shortened addresses have whole groups, so that few digits don't run out of surrogates
+        .when((kind == "ipv6") & e.contains("::"), F.array_join(F.transform(F.split(F.lower(e), ":"), lambda g: F.when(g != "", F.lpad(g, 4, "0")).otherwise(g)), ":"))
         .otherwise(F.lower(e))
     )
 

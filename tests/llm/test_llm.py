@@ -239,6 +239,17 @@ def test_url_rules(spark):
         assert [got[i] for i in range(len(urls))] == want
 
 
+def test_pii_letters_and_short_addresses(spark):
+    found = ["sk-" + "abcdefghij" * 2, "ghp_" + "Abcdef" * 6, "AKIA" + "ABCDEFGH" * 2, "abcdef" * 6, "2001:db8::1", "fe80::1", "::1", "2001:db8::", "2001:DB8:A::B:C"]
+    plain = ["std::vec a::zz", "at a:b or ::", "task-abcdefghijklmnopqrstuvwxyz"]
+    df = spark.createDataFrame(list(enumerate([f"see {x} there" for x in found] + plain)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.replace(df).collect()}
+    for i, x in enumerate(found):
+        kind = "secret" if i < 4 else "ipv6"
+        assert out[i].text != f"see {x} there" and (out[i].n_entities, out[i].entity_kinds) == (1, kind)
+    assert [out[len(found) + i].text for i in range(len(plain))] == plain
+
+
 def test_pii(spark):
     rows = [(1, "Mr. John Smith: (415) 555-1234, a.b@c.org and A.B@C.ORG; card 4111 1111 1111 1111", 9), (2, "4111-1111-1111-1111 from 10.20.30.40, Mr John Smith", 9), (3, None, 9), (4, "clean 2.0 text", 9), (1, "078-05-1120 and " + "ab12" * 10, 9), (None, "", 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_entities int")
