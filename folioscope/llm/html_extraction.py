@@ -2,8 +2,8 @@
 
 A page is cut into text blocks with the zone that its markup gives them: `main` (inside an
 article or main element), `chrome` (inside navigation, headers, footers, forms, adverts, ...) or
-open.  Pages of a host are paired with a page of the nearest URL: one of the same parent folder,
-or else of the same host.  The text lines of both are aligned by their longest common
+open.  Each page is paired with one of two fixed pages of its parent folder, or else of its host
+(no nearest URL is searched).  The text lines of both are aligned by their longest common
 subsequence, and the lines that the pair shares are deleted: menus, notices and the like that
 carry no telling markup.
 
@@ -46,20 +46,30 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
 
 OPEN, MAIN, CHROME = 0, 1, 2
+#: Inside an article or main element whose chrome is only a class or the like on an ancestor.
+WRAPPED = 3
+#: What isn't shown, whatever it holds.
+HIDDEN = 4
 
 
 def _marks_chrome(name: str, attrs: str) -> bool:
-    if not attrs or "=" not in attrs:
-        return re.search(r"(?:^|\s)hidden(?:\s|/|$)", attrs) is not None if attrs else False
-    if name in ("html", "body"):
+    if not attrs or name in ("html", "body"):
         return False
     for key, a, b, c in _ATTR.findall(attrs):
         key, value = key.lower(), a or b or c
         if key in ("class", "id", "role", "aria-label") and _CHROME_WORDS.search(value.lower()):
             return True
+    return False
+
+
+def _hides(name: str, attrs: str) -> bool:
+    if not attrs or name in ("html", "body") and "=" in attrs:
+        return False
+    for key, a, b, c in _ATTR.findall(attrs):
+        key, value = key.lower(), a or b or c
         if key == "style" and _HIDDEN.search(value) or key == "aria-hidden" and value.lower() == "true":
             return True
-    return re.search(r"\shidden(?=[\s/]|$)(?!\s*=)", attrs) is not None
+    return re.search(r"(?:^|\s)hidden(?=[\s/]|$)(?!\s*=)", attrs) is not None
 
 
 def blocks(html: str | None) -> list[tuple[int, str]]:
@@ -122,8 +132,12 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
                 continue
             inside = MAIN if zone == OPEN and (name in _MAIN or re.search(r"role\s*=\s*[\"']?main", m[3])) else zone
             # a header inside an article may hold its title
-            if name in _CHROME and not (name == "header" and zone == MAIN) or _marks_chrome(name, m[3]):
+            if zone == CHROME and name in _MAIN and not any(open_count.get(c) for c in _CHROME):
+                inside = WRAPPED
+            if name in _CHROME and not (name == "header" and zone in (MAIN, WRAPPED)) or _marks_chrome(name, m[3]):
                 inside = CHROME
+            if zone == HIDDEN or _hides(name, m[3]):
+                inside = HIDDEN
             quiet = silent or name in _SILENT
             if inside != zone and text:
                 end()
@@ -219,6 +233,9 @@ def main_text(found: list[tuple[int, str]], partner: list[int] | None) -> list[s
     if any(z == MAIN for z, _ in found):
         return [t for z, t in found if z == MAIN]
     rest = [t for z, t in found if z == OPEN]
+    wrapped = [t for z, t in found if z == WRAPPED]
+    if sum(map(len, wrapped)) > sum(map(len, rest)):
+        return wrapped
     if partner is None or not rest:
         return rest
     shared = common([_hash(t) for t in rest], partner)

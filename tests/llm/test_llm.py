@@ -190,6 +190,17 @@ def test_html():
     assert html_extraction.common([1, 2, 3, 4, 5], [9, 2, 4, 5]).tolist() == [False, True, False, True, True]
 
 
+def test_html_wrapped_article():
+    wrapped = "<body><p>top</p><div class='content with sidebar'><article><p>The whole story.</p></article><p>links</p></div></body>"
+    assert html_extraction.main_text(html_extraction.blocks(wrapped), None) == ["The whole story."]
+    related = "<main><p>story</p></main><div class='related'><article>another longer story</article></div>"
+    assert html_extraction.main_text(html_extraction.blocks(related), None) == ["story"]
+    unseen = "<p>story</p><div style='display:none'><div class='related'><article>another longer story</article></div></div>"
+    assert html_extraction.main_text(html_extraction.blocks(unseen), None) == ["story"]
+    aside = "<p>story</p><aside><article>another longer story</article></aside>"
+    assert html_extraction.main_text(html_extraction.blocks(aside), None) == ["story"]
+
+
 def test_html_differencing(spark):
     def page(own):
         return f"<body><div>Top menu</div><div>{own}</div><p>Say hello</p></body>"
