@@ -7,7 +7,8 @@ the root.  Words end when the root is empty.  Words of up to 64 symbols are merg
 time, one tree per row of an array; longer ones have a tree of their own, so a word of any
 length takes n log n steps.
 
-Each distinct word of a batch is encoded once; a bounded table keeps what recent batches had.
+Each distinct word is encoded once for as long as a bounded table keeps it, which holds the ids
+of words in one array; texts are then gathers from it, and Arrow joins the strings of ids.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,8 +29,10 @@ from pyspark.sql import types as T
 from .words import pieces
 
 NONE = np.int64(1) << np.int64(62)
-#: Words that are kept between batches.
-CACHE = 100_000
+#: Words that are kept between batches; beyond it, those that were used least go.
+CACHE = 500_000
+#: What marks the uses of a word that the batch at hand needs.
+NOW = 1 << 40
 #: Symbols of the longest words that are merged many at a time.
 ROW = 64
 #: What \s stands for (fixed values, Unicode White_Space).
@@ -113,8 +117,11 @@ class Vocabulary:
         return " ".join(map(self.strings.__getitem__, ids))
 
 
-def merge_rows(v: Vocabulary, symbols: np.ndarray, length: np.ndarray) -> list[list[int]]:
-    """Merges the words in the rows of symbols (of length 1 to ROW), each with a tree of its own."""
+def merge_rows(v: Vocabulary, symbols: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merges the words in the rows of symbols (of length 1 to ROW), each with a tree of its own.
+
+    The ids of all words in a row, and how many each has.
+    """
     n, leaves = len(symbols), 1
     while leaves < symbols.shape[1]:
         leaves *= 2
@@ -161,8 +168,7 @@ def merge_rows(v: Vocabulary, symbols: np.ndarray, length: np.ndarray) -> list[l
             rank = v.rank(s[lr, lp], s[lr, i[left]])
             put(lr, lp, np.where(rank < NONE, (rank << 8) | lp, NONE))
         rows = rows[tree[rows, 1] < NONE]
-    flat, ends = s[live].tolist(), np.cumsum(live.sum(axis=1)).tolist()
-    return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return s[live], live.sum(axis=1)
 
 
 def merge_one(v: Vocabulary, symbols: list[int]) -> list[int]:
@@ -207,78 +213,122 @@ def merge_one(v: Vocabulary, symbols: list[int]) -> list[int]:
     return [x for x, alive in zip(s, live, strict=True) if alive]
 
 
-def encode_words(v: Vocabulary, words: list[str]) -> list[list[int]]:
-    """Ids of each word."""
+def encode_words(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words in a row, and how many each has."""
     raw = [w.encode("utf-8") for w in words]
-    size = np.array([len(x) for x in raw], dtype=np.int64)
-    out: list[list[int]] = [[]] * len(words)
+    size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
     data = np.frombuffer(b"".join(raw), dtype=np.uint8)
     start = np.cumsum(size) - size
     base = v.inner[data]
     base[start + size - 1] = v.last[data[start + size - 1]]
+    # a word has no more ids than bytes: each is merged in its own place, then the gaps go
+    made, n = np.zeros(len(base), dtype=np.int32), np.zeros(len(words), dtype=np.int64)
     low = 0
     for width in (1, 4, 8, 16, 32, ROW):
         of = np.flatnonzero((size > low) & (size <= width))
         for part in np.array_split(of, max(1, len(of) * width // 400_000)):
             if len(part):
                 at = np.minimum(start[part][:, None] + np.arange(width)[None, :], len(base) - 1)
-                for w, ids in zip(part.tolist(), merge_rows(v, base[at], size[part]), strict=True):
-                    out[w] = ids
+                got, n[part] = merge_rows(v, base[at], size[part])
+                made[_spread(start[part], n[part])] = got
         low = width
     for w in np.flatnonzero(size > ROW).tolist():
-        out[w] = merge_one(v, base[start[w] : start[w] + size[w]].tolist())
-    return out
+        got = merge_one(v, base[start[w] : start[w] + size[w]].tolist())
+        n[w] = len(got)
+        made[start[w] : start[w] + len(got)] = got
+    return made[_spread(start, n)], n
 
 
-def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, dtype=np.int32).tobytes()
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions start[i], start[i] + 1, ... (size[i] of them) of all i in a row."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Encoder:
-    """Encodes texts; keeps the words of recent batches."""
+    """Encodes texts; keeps the ids of words that it has met, in one array."""
 
-    def __init__(self, v: Vocabulary, digests: bool) -> None:
-        self.v, self.split, self.want_digests = v, Splitter(), digests
+    def __init__(self, v: Vocabulary) -> None:
+        self.v, self.split = v, Splitter()
         self.marks = re.compile("(" + "|".join(map(re.escape, v.special)) + ")") if v.special else None
-        self.known: dict[str, tuple] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > CACHE:
-            self.known = {}
-        for mark, i in self.v.special.items():
-            self.known[f" {mark}"] = (str(i), mark, _packed([i]))
-        new = [w for w in words if w not in self.known]
-        if new:
-            for w, ids in zip(new, encode_words(self.v, new), strict=True):
-                self.known[w] = (" ".join(map(str, ids)), self.v.decode(ids), _packed(ids)) if self.want_digests else ("", "", _packed(ids))
-
-    def batch(self, texts: list[str | None]) -> list[tuple]:
-        """Of each text the number of ids, the ids (32 bits each), and, for digests, joined ids and decoded text."""
-        split = []
-        for text in texts:
-            if self.marks and text and "<|" in text and len(parts := self.marks.split(text)) > 1:
-                # a special token is a word of its own; no other word begins with a space
-                split.append([w for p, part in enumerate(parts) for w in ([f" {part}"] if p % 2 else self.split.words(part))])
+        self._start()
+
+    def _start(self) -> None:
+        # special tokens come first; no other word begins with a space
+        self.place: dict[str, int] = {f" {mark}": i for i, mark in enumerate(self.v.special)}
+        self.ids = np.array(list(self.v.special.values()), dtype=np.int32)
+        self.first, self.size = np.arange(len(self.ids)), np.ones(len(self.ids), dtype=np.int64)
+        self.uses = np.ones(len(self.ids), dtype=np.int64)
+
+    def _keep(self, words: dict[str, int], of: np.ndarray) -> None:
+        """Goes on with these words, which stand at `of` now."""
+        self.place = words
+        self.ids = self.ids[_spread(self.first[of], self.size[of])]
+        self.size, self.uses = self.size[of], self.uses[of] // 2
+        self.first = np.cumsum(self.size) - self.size
+
+    def _learn(self, new: list[str]) -> None:
+        if len(self.place) + len(new) > CACHE:  # what was used most stays
+            names, marks = list(self.place), len(self.v.special)
+            least = max(CACHE // 2, int((self.uses >= NOW).sum()))
+            rank = np.argsort(-self.uses[marks:], kind="stable")[:least]
+            of = np.concatenate([np.arange(marks), marks + np.sort(rank)])
+            self._keep({names[i]: k for k, i in enumerate(of.tolist())}, of)
+        ids, size = encode_words(self.v, new)
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+        self.ids, self.size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), dtype=np.int64)])
+
+    def _words(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if self.marks and "<|" in text and len(parts := self.marks.split(text)) > 1:
+            return [w for p, part in enumerate(parts) for w in ([f" {part}"] if p % 2 else self.split.words(part))]
+        return self.split.words(text)
+
+    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin (one more than texts)."""
+        split = [self._words(t) for t in texts]
+        words = [w for ws in split for w in ws]
+        if new := list(set(words).difference(self.place)):
+            if len(self.place) + len(new) > CACHE:
+                # words of this batch must not go while it is encoded
+                self.uses[[self.place[w] for w in set(words).intersection(self.place)]] += NOW
+                self._learn(new)
+                self.uses %= NOW // 2
             else:
-                split.append(self.split.words(text) if text else [])
-        words = set().union(*split) if split else set()
-        if not words <= self.known.keys():
-            self._learn(words)
-        out = []
-        for ws in split:
-            got = [self.known[w] for w in ws]
-            ids = b"".join([g[2] for g in got])
-            joined = " ".join([g[0] for g in got]) if self.want_digests else None
-            decoded = " ".join([g[1] for g in got]) if self.want_digests else None
-            out.append((len(ids) // 4, ids, joined, decoded))
-        return out
+                self._learn(new)
+        at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
+        np.add.at(self.uses, at, 1)
+        size = self.size[at]
+        ids = self.ids[_spread(self.first[at], size)]
+        per_word = np.concatenate([[0], np.cumsum(size)])
+        return ids, per_word[np.cumsum([0, *map(len, split)])]
+
+
+class Writer:
+    """The strings of ids in Arrow, to join many rows of them at once."""
+
+    def __init__(self, v: Vocabulary) -> None:
+        top = max(v.strings) + 1
+        self.decimal = pa.array(map(str, range(top)), pa.large_string())
+        self.string = pa.array([v.strings.get(i) for i in range(top)], pa.large_string())
+
+    def digests(self, strings: pa.Array, ids: np.ndarray, first: np.ndarray) -> list[str]:
+        """SHA-256 of each row's strings, joined by spaces."""
+        rows = pa.LargeListArray.from_arrays(pa.array(first, pa.int64()), strings.take(pa.array(ids)))
+        _, offsets, data = pc.binary_join(rows, pa.scalar(" ", pa.large_string())).buffers()
+        at, raw = np.frombuffer(offsets, dtype=np.int64).tolist(), memoryview(data) if data is not None else b""
+        return [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at[: len(first) - 1], at[1 : len(first)], strict=True)]
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ids: bool = True, digests: bool = True) -> DataFrame:
     """key, n_tokens, and as wanted token_ids, or ids_sha256 and decoded_sha256 of the round trip.
 
-    One row for each row of docs.  A null text is an empty one and has no tokens; null and
-    repeated keys are kept.
+    One row for each row of docs; an empty table gives none.  A null text is an empty one and has
+    no tokens; null and repeated keys and repeated rows are kept, other columns are ignored,
+    whatever their names.  A text of any length is encoded whole.
     """
     source = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
@@ -290,16 +340,14 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     schema = T.StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, digests)
-        sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
+        encoder, writer = Encoder(shared.value), Writer(shared.value)
         for piece in pieces(batches, "t", 1 << 20):
-            got = encoder.batch(piece.column(1).to_pylist())
-            columns = [piece.column(0), pa.array([g[0] for g in got], pa.int64())]
+            got, first = encoder.batch(piece.column(1).to_pylist())
+            columns = [piece.column(0), pa.array(np.diff(first), pa.int64())]
             if ids:
-                ends = np.cumsum([0] + [g[0] for g in got]).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([g[1] for g in got]), dtype=np.int32))))
+                columns.append(pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(got)))
             if digests:
-                columns += [pa.array([sha(g[2]) for g in got]), pa.array([sha(g[3]) for g in got])]
+                columns += [pa.array(writer.digests(s, got, first), pa.string()) for s in (writer.decimal, writer.string)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return source.mapInArrow(run, schema)

@@ -155,6 +155,33 @@ def test_bpe_equals_the_library(spark):
         assert back[i] == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_forgets_and_learns_again(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary_path()
+    lib, v, r = Tokenizer.from_file(path), bpe.Vocabulary(path), random.Random(6)
+    pool = ["".join(r.choice("abcdefgh ") for _ in range(r.randint(1, 9))) for _ in range(400)] + ["<|endoftext|>", "x" * 300]
+    monkeypatch.setattr(bpe, "CACHE", 60)
+    encoder, writer = bpe.Encoder(v), bpe.Writer(v)
+    for n in (3, 20, 200, 1, 0, 40, 40, 500):
+        texts = [" ".join(r.choices(pool, k=r.randint(0, n))) for _ in range(5)] + [None]
+        ids, first = encoder.batch(texts)
+        want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [ids[a:b].tolist() for a, b in zip(first, first[1:], strict=False)] == want
+        assert writer.digests(writer.string, ids, first) == [hashlib.sha256(lib.decode(w, skip_special_tokens=False).encode()).hexdigest() for w in want]
+    again = bpe.Encoder(v)
+    assert [x.tolist() for x in again.batch([])] == [[], [0]] and again.batch([None, ""])[1].tolist() == [0, 0, 0]
+
+
+def test_bpe_awkward_tables(spark):
+    rows = [(1, "a b", 7, "x"), (1, "a b", 7, "x"), (None, "long " * 200_000, 8, "y"), (2, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, k string")
+    got = sorted(tuple(r[:2]) for r in bpe.encode(df.where("doc_id is not null"), bpe.vocabulary_path()).collect())
+    assert got == [(1, 2), (1, 2), (2, 0)]
+    assert bpe.encode(df.where("doc_id is null"), bpe.vocabulary_path()).first().n_tokens == 200_000
+    assert bpe.encode(df.limit(0), bpe.vocabulary_path()).count() == 0
+
+
 def test_embedding_links(spark):
     r = np.random.default_rng(4)
     base = r.standard_normal((120, 16))
