@@ -33,3 +33,18 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of df, stored in the shared checkpoint folder: later reads don't compute them again."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_by(df: DataFrame, column: str) -> DataFrame:
+    """Like `cut`, dealt out by a column: later groupings by it move no rows.
+
+    Only the checkpoint of a plan that is fixed beforehand keeps its partitioning, so adaptive
+    execution is off while it is written.
+    """
+    spark = df.sparkSession
+    before, parts = spark.conf.get("spark.sql.adaptive.enabled"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(parts, column))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)

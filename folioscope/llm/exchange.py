@@ -6,22 +6,24 @@ word hashes as a local vocabulary and packed positions).  A chunk asks each hash
 totals of its own distinct items with one packed, sorted byte string; the shard adds up all
 chunks' counts (this is the count table of that hash partition, joined to what the chunks hold)
 and answers in the chunk's order.  Items are counted before the shuffle, so an item that is in
-every text costs one entry per chunk, and shards are even by construction.
+every text costs one entry per chunk, and shards are even by construction.  Chunks are dealt out
+by their number when they are stored, so they don't move again to meet their answers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import ceil
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .cluster import cut
+from .cluster import cut, cut_by
 from .codec import pack, pack_sorted, unpack, unpack_sorted
 from .words import pieces, split_words, tidy
 
@@ -29,11 +31,29 @@ from .words import pieces, split_words, tidy
 CHUNK_BYTES = 4 << 20
 #: Items of a shard, about.
 SHARD_ITEMS = 2_000_000
+#: Bits beyond log2 of the corpus's items by which repeats are looked for: one single item in 2^4 at most is taken for a repeat at first.
+SPARE_BITS = 4
 
 #: Makes from (word hashes, where each row's begin) the items of a chunk: any order, repeats count.
 Items = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
+def _pack_words(vocab: np.ndarray, often: np.ndarray) -> bytes:
+    """Words in falling order of how often they occur, ascending among equals: those that occur once or twice are most."""
+    at = np.searchsorted(-often, [-2, -1])
+    parts = [pack(vocab[: at[0]]), pack_sorted(vocab[at[0] : at[1]]), pack_sorted(vocab[at[1] :])]
+    return b"".join([len(p).to_bytes(8, "little") + p for p in parts])
+
+
+def _unpack_words(data: bytes) -> np.ndarray:
+    out, at = [], 0
+    for read in (unpack, unpack_sorted, unpack_sorted):
+        size = int.from_bytes(data[at : at + 8], "little")
+        out.append(read(data[at + 8 : at + 8 + size]))
+        at += 8 + size
+    return np.concatenate(out)
+
+
 class Chunk:
     """A decoded chunk row: keys (Arrow), first row number, word hashes and where rows begin."""
 
@@ -42,7 +62,7 @@ class Chunk:
         self.id, self.row = col("chunk").as_py(), col("row").as_py()
         self.keys = col("keys").values
         self.first = np.concatenate([[0], np.cumsum(unpack(col("counts").as_py()).astype(np.int64))])
-        self.hash = unpack(col("vocab").as_py())[unpack(col("ids").as_py()).astype(np.int64)]
+        self.hash = _unpack_words(col("vocab").as_py())[unpack(col("ids").as_py()).astype(np.int64)]
 
 
 def chunked(docs: DataFrame, key: str, text: str, word_bytes: np.ndarray, limit: int = CHUNK_BYTES) -> DataFrame:
@@ -72,7 +92,7 @@ def chunked(docs: DataFrame, key: str, text: str, word_bytes: np.ndarray, limit:
                     pa.array([(part << 32) + seq], pa.int64()),
                     pa.array([(part << 40) + rows], pa.int64()),
                     pa.ListArray.from_arrays(pa.array([0, len(k)], pa.int32()), k),
-                    *(pa.array([x], pa.binary()) for x in (pack(n), pack(vocab), pack(ids))),
+                    *(pa.array([x], pa.binary()) for x in (pack(n), _pack_words(vocab, often[order]), pack(ids))),
                     pa.array([int(n.sum())], pa.int64()),
                 ],
                 names=["chunk", "row", "keys", "counts", "vocab", "ids", "n_words"],
@@ -101,57 +121,120 @@ def chunked(docs: DataFrame, key: str, text: str, word_bytes: np.ndarray, limit:
             T.StructField("n_words", T.LongType()),
         ]
     )
-    return cut(source.mapInArrow(run, schema))
+    return cut_by(source.mapInArrow(run, schema), "chunk")
+
+
+def _bits(flags: np.ndarray) -> bytes:
+    return len(flags).to_bytes(8, "little") + np.packbits(flags).tobytes()
+
+
+def _flags(data: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, dtype=np.uint8, offset=8), count=int.from_bytes(data[:8], "little")).astype(bool)
+
+
+def _by_shard(values: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shards that hold some of the ascending values, and where every shard's begin."""
+    at = np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
+    return np.flatnonzero(np.diff(at)), at
+
+
+def _summed(table: pa.Table, counts: np.ndarray, packed: Callable[[np.ndarray], bytes], name: str) -> pa.Table:
+    """The totals of a shard's items, in the order in which each chunk asked for them."""
+    values = [unpack_sorted(x.as_py()) for x in table.column("values")]
+    place = np.unique(np.concatenate(values), return_inverse=True)[1]
+    total = np.bincount(place, weights=counts)[place]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in values])])
+    out = [packed(total[at[i] : at[i + 1]]) for i in range(len(values))]
+    tidy()
+    return pa.table([table.column("chunk"), table.column("shard"), pa.array(out, pa.binary())], names=["chunk", "shard", name])
 
 
 def totals(chunks: DataFrame, items: Items, n_words: int, per_word: float = 1.0) -> DataFrame:
-    """chunk, shard, totals: for each chunk's distinct items, in ascending order, their corpus totals.
+    """chunk, shard, flags, totals: what `per_chunk` needs to tell each chunk its items' corpus totals.
 
-    The answers of a chunk, in order of shard, line up with `distinct(items(...))`.
+    Most items of a corpus occur once.  So chunks first send only the leading bits of their items,
+    some more than it takes to tell as many items apart: those whose bits occur once in the corpus
+    have a total of 1 (flag 0).  Only the others are sent whole, with their counts, and added up.
     """
-    shards = max(32, ceil(n_words * per_word / SHARD_ITEMS))
+    n_items = max(2, ceil(n_words * per_word))
+    shards = max(32, ceil(n_items / SHARD_ITEMS))
     edges = np.array([(i << 64) // shards for i in range(1, shards)], dtype=np.uint64)
+    drop = np.uint64(64 - min(63, max(24, ceil(log2(n_items)) + SPARE_BITS)))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 chunk = Chunk(batch, i)
                 values, counts = np.unique(items(chunk.hash, chunk.first), return_counts=True)
-                at = np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
-                full = np.flatnonzero(np.diff(at))
+                full, at = _by_shard(values, edges)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(full), chunk.id)),
                         pa.array(full.astype(np.int32)),
-                        pa.array([pack_sorted(values[at[s] : at[s + 1]]) for s in full], pa.binary()),
-                        pa.array([pack(counts[at[s] : at[s + 1]]) for s in full], pa.binary()),
+                        pa.array([pack_sorted(values[at[s] : at[s + 1]] >> drop) for s in full], pa.binary()),
+                        pa.array([_bits(counts[at[s] : at[s + 1]] > 1) for s in full], pa.binary()),
                     ],
                     names=["chunk", "shard", "values", "counts"],
                 )
         tidy()
 
+    def repeats(table: pa.Table) -> pa.Table:
+        counts = 1 + np.concatenate([_flags(x.as_py()) for x in table.column("counts")])
+        return _summed(table, counts, lambda total: _bits(total > 1), "flags")
+
+    def ask_whole(chunk: Chunk, flags: pa.Table) -> pa.Table:
+        values, counts = np.unique(items(chunk.hash, chunk.first), return_counts=True)
+        often = _repeated(flags, len(values))
+        values, counts = values[often], counts[often]
+        full, at = _by_shard(values, edges)
+        return pa.table(
+            [
+                pa.array(np.full(len(full), chunk.id)),
+                pa.array(full.astype(np.int32)),
+                pa.array([pack_sorted(values[at[s] : at[s + 1]]) for s in full], pa.binary()),
+                pa.array([pack(counts[at[s] : at[s + 1]]) for s in full], pa.binary()),
+            ],
+            names=["chunk", "shard", "values", "counts"],
+        )
+
     def answer(table: pa.Table) -> pa.Table:
-        values = [unpack_sorted(x.as_py()) for x in table.column("values")]
         counts = np.concatenate([unpack(x.as_py()) for x in table.column("counts")])
-        _, place = np.unique(np.concatenate(values), return_inverse=True)
-        total = np.bincount(place, weights=counts)[place].astype(np.uint64)
-        at = np.concatenate([[0], np.cumsum([len(x) for x in values])])
-        packed = [pack(total[at[i] : at[i + 1]]) for i in range(len(values))]
-        tidy()
-        return pa.table([table.column("chunk"), table.column("shard"), pa.array(packed, pa.binary())], names=["chunk", "shard", "totals"])
+        return _summed(table, counts, pack, "totals")
 
-    asked = chunks.mapInArrow(ask, "chunk bigint, shard int, values binary, counts binary")
-    return asked.groupBy("shard").applyInArrow(answer, "chunk bigint, shard int, totals binary")
+    asked = "chunk bigint, shard int, values binary, counts binary"
+    flags = cut(chunks.mapInArrow(ask, asked).groupBy("shard").applyInArrow(repeats, "chunk bigint, shard int, flags binary"))
+    whole = _with(chunks, flags, ask_whole, asked)
+    answers = whole.groupBy("shard").applyInArrow(answer, "chunk bigint, shard int, totals binary")
+    none = F.lit(None).cast("binary")
+    return flags.select("chunk", "shard", "flags", none.alias("totals")).union(answers.select("chunk", "shard", none, "totals"))
 
 
-def per_chunk(chunks: DataFrame, answers: DataFrame, use: Callable[[Chunk, np.ndarray], pa.Table], schema) -> DataFrame:
-    """use(chunk, totals of its distinct items in ascending order) for every chunk."""
+def _repeated(table: pa.Table, n: int) -> np.ndarray:
+    """Which of a chunk's n distinct items occur more often than once."""
+    order = np.argsort(table.column("shard").to_numpy())
+    return np.concatenate([np.zeros(0, bool), *[_flags(table.column("flags")[int(i)].as_py()) for i in order]]) if len(order) else np.zeros(n, bool)
+
 
+def _with(chunks: DataFrame, answers: DataFrame, use: Callable[[Chunk, pa.Table], pa.Table], schema) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("shard").to_numpy())
-        got = [unpack(right.column("totals")[int(i)].as_py()) for i in order]
-        out = use(Chunk(left), np.concatenate([np.zeros(0, np.uint64), *got]))
+        out = use(Chunk(left), right)
         tidy()
         return out
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def per_chunk(chunks: DataFrame, answers: DataFrame, use: Callable[[Chunk, np.ndarray], pa.Table], schema) -> DataFrame:
+    """use(chunk, totals of its distinct items in ascending order) for every chunk."""
+
+    def run(chunk: Chunk, got: pa.Table) -> pa.Table:
+        flagged = pc.is_valid(got.column("flags"))
+        often = _repeated(got.filter(flagged), 0)
+        total = np.ones(len(often), dtype=np.uint64)
+        whole = got.filter(pc.invert(flagged))
+        if whole.num_rows:
+            order = np.argsort(whole.column("shard").to_numpy())
+            total[often] = np.concatenate([unpack(whole.column("totals")[int(i)].as_py()) for i in order])
+        return use(chunk, total)
+
+    return _with(chunks, answers, run, schema)
