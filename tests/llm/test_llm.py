@@ -250,6 +250,43 @@ def test_license_windows(spark):
     assert got == {0: ("BSD-3-Clause", 1), 1: ("ISC", 1), 2: ("MIT", 1), 3: ("GPL-3.0", 1), 4: ("LGPL-3.0", 1), 5: ("GPL-3.0,MIT", 2), 6: ("", 0)}
 
 
+def test_license_bodies(spark):
+    import textwrap
+
+    body = {n + str(i): t for i, (n, _, t) in enumerate(license_scan.BODIES)}
+    rows = [(k, "Copyright (c) 2020 A. Person\n\n" + textwrap.fill(t.replace("COPYRIGHT HOLDER", "A. PERSON"), 70).replace("\n", "\n# ") + "\nint main() { return 0; }") for k, t in body.items()]
+    rows.append(("none", "software " * 300 + "license permission hereby granted " * 50))
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    for i, (name, _, _) in enumerate(license_scan.BODIES):
+        assert got[name + str(i)].licences == name and got[name + str(i)].best_dice > 0.85
+    assert got["none"].licences == ""
+
+
+def test_license_passes_over_nothing(spark):
+    """Against a scan of every unit with every template."""
+    r = random.Random(9)
+    pool = [w for _, _, t in license_scan.TEMPLATES for w in license_scan.words_of(t)]
+    texts = []
+    for _ in range(300):
+        w = license_scan.words_of(r.choice(license_scan.TEMPLATES)[2])
+        for _ in range(r.randint(0, 4)):
+            at = r.randrange(len(w))
+            w[at : at + r.randint(0, 1)] = [r.choice(pool)][: r.randint(0, 1)]
+        texts.append("Some text. " + " ".join(w) + ".")
+    texts += ["", None, "Long. " * 50_000 + "Released under the MIT License."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("licences", F.lit("x"))
+    got = {x.doc_id: x for x in license_scan.scan(df, notices=[]).collect()}
+    sets = [set(license_scan.bigrams_of(t)) for _, _, t in license_scan.TEMPLATES]
+    for i, t in enumerate(texts):
+        best = 0.0
+        for unit in re.split(license_scan.UNIT_END, (t or "").lower()):
+            g = set(license_scan.bigrams_of(unit))
+            best = max([best, *(2 * len(g & s) / (len(g) + len(s)) for s in sets if g)])
+        if best >= 0.8:
+            assert got[i].n_notices >= 1 and got[i].best_dice >= round(best, 6), t
+    assert license_scan.scan(df.limit(0)).count() == 0 and license_scan.scan(df.withColumn("doc_id", F.lit(None).cast("long"))).count() == len(texts)
+
+
 def test_license_scan(spark):
     rows = [(1, "Intro. Licensed under the Apache License, Version 2.0.\nmore"), (2, "licensed under cc by-nc 4.0!\nReleased under the MIT License."), (3, None), (4, "the license of the public"), (5, ""), (1, "x")]
     got = Counter((r.doc_id, r.licences, r.n_notices) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
