@@ -1,7 +1,7 @@
 """Connected components on DataFrames by alternating large-star and small-star steps.
 
-Each step is a minimum per node (combined before the shuffle) and a join on the node, so a hub
-with very many neighbours is split by the skew join.  Edges are first thinned to a spanning
+Each step is a minimum per node (combined before the shuffle) and a join on the node, in which the
+skew join splits a hub with very many neighbours.  Edges are first thinned to a spanning
 forest inside each partition.
 """
 
@@ -62,32 +62,44 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
 
 
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node has one edge out, or only edges in: then the edges are stars."""
+    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+    ends = ends.union(edges.select("dst", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return nodes.where("out > 1 or (out = 1 and into = 1)").isEmpty()
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """node, component (its smallest member) of every node with an edge; edges: src, dst (bigint).
 
-    No edges give no rows.  Self loops are ignored.
+    No edges give no rows.  Self loops are ignored, repeated edges count once.
     """
     now = cut(edges.select("src", "dst").where("src <> dst").mapInArrow(_thin, "src bigint, dst bigint"))
-    seen = None
+    now = now.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
     for _ in range(limit):
-        # large star: larger neighbours are linked to the smallest neighbour
+        if _settled(now):
+            break
+        # large star: larger neighbours of a node are linked to the smallest of it and its neighbours
         both = now.union(now.select("dst", "src"))
-        least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
-        large = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
+        least = both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("dst"), F.least("src", "m").alias("m"))
+        large = _looked_up(now, least).where("src <> m").distinct()
         # small star: a node and its smaller neighbours are linked to the smallest
+        large = cut(large.select("src", F.col("m").alias("dst")))
         least = large.groupBy("src").agg(F.min("dst").alias("m"))
-        small = large.join(least, "src").where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+        small = _looked_up(large.select(F.col("dst").alias("src"), F.col("src").alias("dst")), least.select(F.col("src").alias("dst"), "m"))
+        small = small.where("src <> m").select("src", F.col("m").alias("dst"))
         now = cut(small.union(least.select("src", F.col("m").alias("dst"))).distinct())
-        state = _signature(now)
-        if state == seen:
-            break
-        seen = state
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(roots)
+
+
+def _looked_up(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """src, m of each edge: m is that of dst.
+
+    `least` is stored first, so both sides of the join come straight from a shuffle: only then
+    does the skew join split the edges of a hub.
+    """
+    return edges.join(cut(least), "dst").select("src", "m")
