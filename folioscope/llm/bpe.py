@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .codec import spread
 from .words import pieces
 
 NONE = np.int64(1) << np.int64(62)
@@ -230,19 +231,13 @@ def encode_words(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarra
             if len(part):
                 at = np.minimum(start[part][:, None] + np.arange(width)[None, :], len(base) - 1)
                 got, n[part] = merge_rows(v, base[at], size[part])
-                made[_spread(start[part], n[part])] = got
+                made[spread(start[part], n[part])] = got
         low = width
     for w in np.flatnonzero(size > ROW).tolist():
         got = merge_one(v, base[start[w] : start[w] + size[w]].tolist())
         n[w] = len(got)
         made[start[w] : start[w] + len(got)] = got
-    return made[_spread(start, n)], n
-
-
-def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Positions start[i], start[i] + 1, ... (size[i] of them) of all i in a row."""
-    ends = np.cumsum(size)
-    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+    return made[spread(start, n)], n
 
 
 class Encoder:
@@ -263,7 +258,7 @@ class Encoder:
     def _keep(self, words: dict[str, int], of: np.ndarray) -> None:
         """Goes on with these words, which stand at `of` now."""
         self.place = words
-        self.ids = self.ids[_spread(self.first[of], self.size[of])]
+        self.ids = self.ids[spread(self.first[of], self.size[of])]
         self.size, self.uses = self.size[of], self.uses[of] // 2
         self.first = np.cumsum(self.size) - self.size
 
@@ -302,7 +297,7 @@ class Encoder:
         at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
         np.add.at(self.uses, at, 1)
         size = self.size[at]
-        ids = self.ids[_spread(self.first[at], size)]
+        ids = self.ids[spread(self.first[at], size)]
         per_word = np.concatenate([[0], np.cumsum(size)])
         return ids, per_word[np.cumsum([0, *map(len, split)])]
 

@@ -67,3 +67,9 @@ def unpack_sorted(data: bytes) -> np.ndarray:
         bits[:, 8 - rest :] = np.unpackbits(raw[at + whole * n :], count=n * rest).reshape(n, rest)
         octets[:, whole] = np.packbits(bits, axis=1)[:, 0]
     return octets.reshape(-1).view(np.uint64) + (high.astype(np.uint64) << np.uint64(low)) + np.uint64(base)
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions start[i], start[i] + 1, ... (size[i] of them) of all i in a row."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)

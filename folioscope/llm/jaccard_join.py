@@ -5,21 +5,24 @@
    shared, so a document with fewer shared ones is settled at once: it has no link.
 2. Equal sets collapse into a class; one member stands for it.
 3. A linked pair has one of the rarest (1 - t) n + 1 shingles of either in common.  Documents
-   joined by such shingles make up blocks; a large block is cut into tiles, and each pair of
-   tiles is a group of its own, so no task grows with a block.
-4. In a group, T-occurrence search: the short inverted lists of a document's shingles are
-   heap-merged, the long ones are probed by binary search for what the merge has left
+   joined by such shingles make up blocks.  A block of few documents is searched as one group; of
+   a large one first its tiles, each together with some documents of the whole block, which
+   connects large groups of near copies.
+4. In large blocks each rare shingle with holders of different components is a group of its own:
+   the holders in its largest component against the others, in tiles, and the others among
+   themselves.  So no task grows with a block, and no pair is asked for that is connected already.
+5. In a group, T-occurrence search: the short inverted lists of a document's shingles are
+   merged, the long ones are probed by binary search for what the merge has left
    (DivideSkip); documents that reach the required overlap link.  A group returns a spanning
    forest of its links, so links are never listed pair by pair.
-5. Components of the forests' edges.
+6. Components of the forests' edges.
 
 All steps are exact, whatever the data.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil, log2
 
 import numpy as np
@@ -29,14 +32,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .cluster import cut
+from .codec import spread
 from .exchange import Chunk, chunked, per_chunk, totals
 from .graph import Forest, components
-from .words import SPACED, mix, shingles
+from .words import SPACED, mix, shingles, tidy
 
-#: Documents of a tile.
-TILE = 128
+#: Documents of a tile, and how many of a large block are in all its tiles, about.
+TILE, PIVOTS = 128, 32
 #: Weight of a probe against a merge step in the choice of how many lists are long.
-MU = 0.01
+MU = 0.3
 
 
 def _distinct(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,75 +59,130 @@ def _overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def divide_skip(query: list[int], lists: dict[int, list[int]], sets: list[np.ndarray], need: int) -> list[int]:
-    """Positions of sets that hold at least `need` items of the query.
-
-    lists: item -> ascending positions of the sets that hold it.  The longest lists (fewer than
-    `need`) are set aside; the others are heap-merged, and what occurs often enough among them
-    is probed for in the long ones, by binary search.
-    """
-    mine = sorted((lists[x] for x in query if x in lists), key=len)
-    if len(mine) < need:
-        return []
-    items = sorted((x for x in query if x in lists), key=lambda x: len(lists[x]))
-    n_long = min(need - 1, int(need / (MU * log2(max(2, len(mine[-1]))) + 1)))
-    cut_at = len(mine) - n_long
-    long_items = np.sort(np.array(items[cut_at:], dtype=np.uint64))
-    found, last, count = [], -1, 0
-    for x in heapq.merge(*mine[:cut_at]):
-        if x == last:
-            count += 1
-        else:
-            if count >= need - n_long:
-                found.append((last, count))
-            last, count = x, 1
-    if last >= 0 and count >= need - n_long:
-        found.append((last, count))
-    out = []
-    for x, count in found:
-        if count < need and n_long:
-            s = sets[x]
-            at = np.minimum(np.searchsorted(s, long_items), len(s) - 1)
-            count += int((s[at] == long_items).sum())
-        if count >= need:
-            out.append(x)
-    return out
+class Lists:
+    """Inverted lists of some sets: the places of the sets that hold an item, ascending."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        items = np.concatenate([np.zeros(0, np.uint64), *sets])
+        place = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.lexsort((place, items))
+        items, self.place = items[order], place[order].astype(np.int32)
+        new = np.ones(len(items), dtype=bool)
+        new[1:] = items[1:] != items[:-1]
+        self.n, self.items = len(sets), items[new]
+        self.first = np.concatenate([np.flatnonzero(new), [len(items)]])
+        #: (list, place) of every entry, as ascending numbers
+        self.entry = (np.cumsum(new) - 1) * self.n + self.place
+
+    def divide_skip(self, query: np.ndarray, need: int, done: Callable[[int], bool] = lambda place: False) -> Iterator[int]:
+        """Places of sets that hold at least `need` items of the query, and of which `done` isn't true.
+
+        The longest lists (fewer than `need`) are set aside.  The others are merged (sorted in one
+        array, which gives what a heap would), and what occurs often enough among them is probed
+        for in the long ones, by binary search, the most frequent first.
+        """
+        at = np.searchsorted(self.items, query)
+        at = at[at < len(self.items)] if len(self.items) else at[:0]
+        at = at[np.isin(self.items[at], query)]
+        if len(at) < need:
+            return
+        size = self.first[at + 1] - self.first[at]
+        order = np.argsort(size, kind="stable")
+        at, size = at[order], size[order]
+        n_long = min(need - 1, int(need / (MU * log2(max(2, size[-1])) + 1)))
+        short, long = at[: len(at) - n_long], at[len(at) - n_long :]
+        merged = np.sort(self.place[spread(self.first[short], size[: len(short)])])
+        edge = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
+        found, count = merged[edge], np.diff(np.concatenate([edge, [len(merged)]]))
+        likely = np.flatnonzero(count >= need - n_long)
+        for k in likely[np.argsort(-count[likely], kind="stable")].tolist():
+            x, c = int(found[k]), int(count[k])
+            if done(x):
+                continue
+            if c < need and n_long:
+                wanted = long * self.n + x
+                spot = np.minimum(np.searchsorted(self.entry, wanted), len(self.entry) - 1)
+                c += int((self.entry[spot] == wanted).sum())
+            if c >= need:
+                yield x
 
 
 def _search(percent: int):
+    """Searches a group: rows of side 0 against each other, those of side 2 against those of side 1."""
+
     def run(table: pa.Table) -> pa.Table:
-        rid = table.column("rid").to_numpy()
-        sizes = table.column("n").to_numpy()
-        side = table.column("tile").to_numpy()
-        low, high = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        rid, sizes, side = (table.column(c).to_numpy() for c in ("rid", "n", "side"))
         sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("items")]
         forest = Forest()
-        index = [i for i in range(len(rid)) if side[i] == low]
-        asking = index if low == high else [i for i in range(len(rid)) if side[i] == high]
-        index.sort(key=lambda i: (sizes[i], rid[i]))
-        lists: dict[int, list[int]] = {}
-        for place, i in enumerate(index):
-            for x in sets[i].tolist():
-                lists.setdefault(x, []).append(place)
-        indexed = [sets[i] for i in index]
-        for q in asking:
-            need = _overlap(int(sizes[q]), percent)
-            for place in divide_skip(sets[q].tolist(), lists, indexed, need):
+        for r, k in zip(rid.tolist(), table.column("known").to_pylist(), strict=True):
+            if k is not None:
+                forest.join(r, k)
+        index = sorted(np.flatnonzero(side < 2).tolist(), key=lambda i: (sizes[i], rid[i]))
+        lists, names = Lists([sets[i] for i in index]), rid[index].tolist()
+        for q in np.flatnonzero(side != 1).tolist():
+            a, need = int(rid[q]), _overlap(int(sizes[q]), percent)
+            same = lambda place: forest.find(names[place]) == forest.find(a)  # noqa: B023, E731
+            if all(map(same, range(len(index)))):
+                continue
+            for place in lists.divide_skip(sets[q], need, same):
                 i = index[place]
-                a, b = int(rid[q]), int(rid[i])
-                if a == b or forest.find(a) == forest.find(b):
-                    continue
                 s, t = (sets[q], sets[i]) if len(sets[q]) <= len(sets[i]) else (sets[i], sets[q])
                 at = np.minimum(np.searchsorted(t, s), len(t) - 1)
                 both = int((t[at] == s).sum())
                 if 100 * both >= percent * (int(sizes[q]) + int(sizes[i]) - both):
-                    forest.join(a, b)
+                    forest.join(a, names[place])
         src, dst = forest.pairs()
+        tidy()
         return pa.table([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
     return run
 
 
+def _searched(members: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """src, dst: forests of the links in all groups; members: rid, known, g, lo, hi, side."""
+    full = members.join(rows.select("rid", "n", "items"), "rid")
+    return cut(full.groupBy("g", "lo", "hi").applyInArrow(_search(percent), "src bigint, dst bigint"))
+
+
+def _links(reps: DataFrame, percent: int) -> DataFrame:
+    """src, dst: edges that connect what links connect; reps: rid, n, items, prefix."""
+    rare = reps.select("rid", F.explode("prefix").alias("x"))
+    least = rare.groupBy("x").agg(F.min("rid").alias("m"), F.count("*").alias("c")).where("c > 1")
+    blocks = components(rare.join(least, "x").select(F.col("rid").alias("src"), F.col("m").alias("dst")))
+    sizes = blocks.groupBy("component").agg(F.count("*").alias("b"))
+    placed = cut(blocks.join(sizes, "component").select(F.col("node").alias("rid"), "component", "b"))
+
+    # a block of few rows is one group; a large one has tiles, and some rows of it are in all its tiles
+    tiles = F.when(F.col("b") > TILE, F.ceil(F.col("b") / TILE)).otherwise(F.lit(1))
+    pivot = (F.col("b") > TILE) & (F.pmod(F.xxhash64("rid", F.lit(1)), "b") < PIVOTS)
+    mine = F.when(pivot, F.sequence(F.lit(0).cast("long"), tiles - 1)).otherwise(F.array(F.pmod(F.xxhash64("rid"), tiles)))
+    none = F.lit(None).cast("long")
+    first = placed.select("rid", none.alias("known"), F.col("component").alias("g"), F.explode(mine).alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(0).alias("side"))
+    found = _searched(first, reps, percent)
+    large = placed.where(F.col("b") > TILE)
+    if large.isEmpty():
+        return found
+
+    # what is left are pairs of different components that share a rare shingle
+    known = components(found).select(F.col("node").alias("rid"), F.col("component").alias("known"))
+    held = cut(rare.join(large.join(known, "rid", "left").select("rid", F.coalesce("known", "rid").alias("known")), "rid"))
+    signs = [F.bit_xor(F.xxhash64("rid", F.lit(i))).alias(f"s{i}") for i in range(2)]
+    parts = held.groupBy("x", "known").agg(F.count("*").alias("c"), *signs)
+    holders = parts.groupBy("x").agg(F.max_by("known", F.struct("c", "known")).alias("main"), F.max("c").alias("mains"), F.sum("c").alias("all"), F.count("*").alias("parts"), F.bit_xor("s0").alias("s0"), F.bit_xor("s1").alias("s1"))
+    # shingles with the same holders ask for the same pairs
+    once = holders.where("parts > 1").groupBy("s0", "s1", "all").agg(F.min_by(F.struct("x", "main", "mains"), "x").alias("h"))
+    groups = cut(once.select("h.x", "h.main", F.when(F.col("all") <= TILE, 0).otherwise(F.ceil(F.col("h.mains") / TILE)).alias("t"), F.ceil((F.col("all") - F.col("h.mains")) / TILE).alias("u")))
+    # the largest component of the holders has t tiles, the others u; pairs inside it are known
+    at = held.join(groups, "x").withColumn("a", F.pmod(F.xxhash64("rid"), F.greatest("t", F.lit(1)))).withColumn("o", F.pmod(F.xxhash64("rid"), "u"))
+    spot = "named_struct('lo', cast({} as bigint), 'hi', cast({} as bigint), 'side', {})"
+    spots = f"""CASE WHEN t = 0 THEN array({spot.format(0, 0, 0)})
+        WHEN known = main THEN transform(sequence(0L, u - 1), v -> {spot.format("a", "v", 1)})
+        ELSE concat(transform(sequence(0L, t - 1), v -> {spot.format("v", "o", 2)}),
+                    transform(sequence(0L, u - 1), v -> {spot.format("t + least(o, v)", "greatest(o, v)", "CASE WHEN o = v THEN 0 WHEN o < v THEN 1 ELSE 2 END")})) END"""
+    rest = at.select("rid", "known", F.col("x").alias("g"), F.explode(F.expr(spots)).alias("s")).select("rid", "known", "g", "s.lo", "s.hi", "s.side")
+    return found.union(_searched(rest, reps, percent))
+
+
 def near_sets(docs: DataFrame, key: str, text: str, words: int, percent: int, word_bytes: np.ndarray = SPACED) -> tuple[DataFrame, DataFrame]:
     """(rows, links): rid, key, n of every row; and the component's root rid of each linked row."""
     chunks = chunked(docs, key, text, word_bytes)
@@ -174,22 +233,8 @@ def near_sets(docs: DataFrame, key: str, text: str, words: int, percent: int, wo
     classes = cut(alive.groupBy("same", "same2", "n").agg(F.min("rid").alias("rep")))
     copies = alive.select("rid", "same", "same2", "n").join(classes, ["same", "same2", "n"]).where("rid <> rep").select(F.col("rid").alias("src"), F.col("rep").alias("dst"))
 
-    # blocks: representatives joined by rare shingles
-    reps = alive.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    rare = reps.select("rid", F.explode("prefix").alias("x"))
-    least = rare.groupBy("x").agg(F.min("rid").alias("m"), F.count("*").alias("c")).where("c > 1")
-    blocks = components(rare.join(least, "x").select(F.col("rid").alias("src"), F.col("m").alias("dst")))
-    tiles = blocks.groupBy("component").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
-    placed = (
-        reps.select("rid", "n", "items")
-        .join(blocks.select(F.col("node").alias("rid"), "component"), "rid")
-        .join(tiles, "component")
-        .select("rid", "n", "items", "component", "tiles", F.pmod(F.xxhash64("rid"), "tiles").alias("tile"))
-        .select("*", F.explode(F.expr("sequence(0L, tiles - 1)")).alias("other"))
-        .select("rid", "n", "items", "component", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
-    )
-    found = cut(placed.groupBy("component", "lo", "hi").applyInArrow(_search(percent), "src bigint, dst bigint"))
-    return rows, components(found.union(copies))
+    reps = alive.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "n", "items", "prefix")
+    return rows, components(_links(reps, percent).union(copies))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:

@@ -76,39 +76,64 @@ def test_lm_scores(docs):
     assert Counter((r.doc_id, r.n_words, round(r.log_score, 4)) for r in lm_scoring.score(docs).collect()) == want
 
 
-def test_jaccard_groups(docs):
-    rows = docs.select("doc_id", "text").collect()
+def jaccard_groups(rows, words=4, percent=85):
     sets = []
     for r in rows:
         w = split(SPACED, r.text)
-        sets.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
     group = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 a, b = group[i], group[j]
                 group = [min(a, b) if g in (a, b) else g for g in group]
     want = Counter()
     for i, r in enumerate(rows):
         ids = [rows[j].doc_id for j in range(len(rows)) if group[j] == group[i] and rows[j].doc_id is not None]
         want[(r.doc_id, len(sets[i]), min(ids, default=None))] += 1
+    return want
+
+
+def test_jaccard_groups(docs):
+    want = jaccard_groups(docs.select("doc_id", "text").collect())
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(docs).collect()) == want
     kept = jaccard_join.one_of_each(docs, words=4, percent=85)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({k[2] for k in want if k[0] is not None and k[2] is not None})
 
 
+def test_jaccard_large_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE", 6)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
+    r = random.Random(12)
+    shared = [f"s{i}" for i in range(40)]
+    texts = []
+    for base in range(4):
+        words_ = [f"b{base}w{i}" for i in range(30)] + shared
+        for _ in range(45):
+            w = list(words_)
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = f"x{r.randint(0, 5)}"
+            texts.append(" ".join(w))
+    # a chain: each links with the next only
+    texts += [" ".join(f"c{i}" for i in range(k * 4, k * 4 + 60)) for k in range(25)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in jaccard_join.join(df).collect())
+    want = jaccard_groups(df.collect())
+    assert got == want and len({k[2] for k in want}) < len(texts) - 20
+
+
 def test_divide_skip():
     r = random.Random(1)
-    sets = [np.array(sorted(r.sample(range(60), r.randint(1, 40))), dtype=np.uint64) for _ in range(50)]
-    lists = {}
-    for i, s in enumerate(sets):
-        for x in s.tolist():
-            lists.setdefault(x, []).append(i)
-    for _ in range(50):
-        q = sorted(r.sample(range(70), 30))
+    sets = [np.array(sorted(r.sample(range(60), r.randint(0, 40))), dtype=np.uint64) for _ in range(50)]
+    lists = jaccard_join.Lists(sets)
+    for _ in range(200):
+        q = np.array(sorted(r.sample(range(70), r.randint(1, 30))), dtype=np.uint64)
         need = r.randint(1, 20)
-        assert sorted(jaccard_join.divide_skip(q, lists, sets, need)) == [i for i, s in enumerate(sets) if len(set(q) & set(s.tolist())) >= need]
+        want = [i for i, s in enumerate(sets) if len(np.intersect1d(q, s)) >= need]
+        assert sorted(lists.divide_skip(q, need)) == want
+        assert sorted(lists.divide_skip(q, need, lambda i: i % 2 == 0)) == [i for i in want if i % 2]
+    assert list(jaccard_join.Lists([]).divide_skip(q, 1)) == []
 
 
 def test_decontamination_both_ways(spark, docs):
