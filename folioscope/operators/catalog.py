@@ -49,6 +49,17 @@ def visible(docs: DataFrame) -> DataFrame:
     return docs.where("not deleted and search_state <> 'replaced'")
 
 
+def edition_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_others, first_id: other visible documents of each document's name and label, and the first visible one.
+
+    What `same_edition` says of all documents at once, without their pairs.
+    """
+    seen = visible(docs).groupBy(F.col("name").alias("n"), F.col("label").alias("l")).agg(F.count("*").alias("c"), F.min("doc_id").alias("first_id"))
+    out = docs.join(seen, docs["name"].eqNullSafe(seen["n"]) & docs["label"].eqNullSafe(seen["l"]), "left")
+    mine = F.col("name").isNotNull() & ~F.col("deleted") & (F.col("search_state") != "replaced")
+    return out.select("doc_id", (F.coalesce("c", F.lit(0)) - mine.cast("int")).alias("n_others"), "first_id")
+
+
 def same_edition(docs: DataFrame, of: DataFrame) -> DataFrame:
     """Visible documents with the name and edition label (or both without) of another: doc_id, other_id."""
     b = of.select(F.col("doc_id").alias("other_id"), F.col("name").alias("n"), F.col("label").alias("l"))

@@ -87,8 +87,9 @@ def searchable_jobs(documents: DataFrame, jobs: DataFrame) -> DataFrame:
 
 def replaced_editions(docs: DataFrame, survivors: DataFrame) -> DataFrame:
     """Earlier documents of a newly searchable edition: doc_id, search_state, state, failure_code."""
-    s = survivors.select(F.col("doc_id").alias("s_id"), F.col("name").alias("s_name"), F.col("label").alias("s_label"), F.col("entered_at").alias("s_at"))
-    hit = (docs["name"] == s["s_name"]) & docs["label"].eqNullSafe(s["s_label"]) & (docs["entered_at"] < s["s_at"]) & (docs["doc_id"] != s["s_id"])
+    # a later survivor is another document, so the latest of each edition decides
+    s = survivors.groupBy(F.col("name").alias("s_name"), F.col("label").alias("s_label")).agg(F.max("entered_at").alias("s_at"))
+    hit = (docs["name"] == s["s_name"]) & docs["label"].eqNullSafe(s["s_label"]) & (docs["entered_at"] < s["s_at"])
     gone = docs.where("not deleted and search_state <> 'replaced'").join(s, hit, "left_semi")
     busy = F.col("state").isin("uploaded", "captioning", "queued", "indexing")
     return gone.select("doc_id", F.lit("replaced").alias("search_state"), F.when(busy, "failed").otherwise(F.col("state")).alias("state"), F.when(busy, "REPLACED").alias("failure_code"))

@@ -135,10 +135,13 @@ def p05(spark, d):
 # Joins
 
 
-@query("j02_chunks_of_hits", "SELECT l_orderkey AS doc_id, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 300000) GROUP BY 1")
+@query("j02_chunks_of_hits", "SELECT l_orderkey AS doc_id, list(CAST(l_linenumber AS VARCHAR) ORDER BY l_linenumber) AS keys FROM lineitem WHERE l_linenumber <> 3 AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45 AND l_linenumber <> 3) GROUP BY 1")
 def j02(spark, d):
-    hits = table(spark, d, "orders").where("o_totalprice > 300000").select(c("o_orderkey").alias("l_orderkey"))
-    return table(spark, d, "lineitem").join(hits, "l_orderkey", "left_semi").groupBy(c("l_orderkey").alias("doc_id")).agg(F.count("*").alias("n"))
+    """Hits on large lines of an order bring all active lines of the order, as one split group each."""
+    chunks = table(spark, d, "lineitem").select(c("l_orderkey").alias("doc_id"), F.lit("1").alias("version"), (c("l_linenumber") != 3).alias("active"), F.lit("g").alias("split_group"), c("l_linenumber").alias("split_index"), c("l_linenumber").cast("string").alias("chunk_key"), c("l_linenumber").alias("key"), c("l_returnflag").alias("text"), F.array("l_linestatus").alias("heading_path"), "l_quantity")
+    ranked = chunks.where("active and l_quantity > 45").select(c("doc_id").alias("q"), "doc_id", "version", "split_group", "key", F.lit(1.0).alias("score"), c("key").alias("order"))
+    groups = rt.group_fragments(ranked, "q", "key", 1)
+    return rt.complete_fragments(groups, chunks, "q", "key").select("doc_id", F.transform("chunks", lambda x: x["chunk_key"]).alias("keys"))
 
 
 @query("j05_answer_reference", f"WITH {DOCS_SQL} SELECT c_custkey, coalesce(name, '알 수 없는 문서') AS answer_name, label AS answer_label FROM customer LEFT JOIN (SELECT * FROM docs WHERE NOT deleted) ON doc_id = c_custkey")

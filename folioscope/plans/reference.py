@@ -55,16 +55,19 @@ def k07(spark, d):
     return _dense(spark, d).withColumn("score", F.round("score", 6))
 
 
-FUSED = f"""{KEYWORD}, ls AS (SELECT item_id, doc_id, rank FROM krank UNION ALL SELECT item_id, (doc_id * 7 + 3) % 200 AS doc_id, rank FROM krank WHERE rank <= 10),
-  first_ AS (SELECT item_id, doc_id, rank FROM ls),
-  fused AS (SELECT item_id, doc_id, sum(1.0 / (60 + rank)) AS fused, min(rank) AS best_rank FROM first_ GROUP BY 1, 2),
+#: The dense leg: a query's vector is the one with its number, a document's the one with its.
+FUSED = f"""{KEYWORD}, qd AS (SELECT item_id, embedding AS qe FROM benchmark JOIN embeddings ON vec_id = item_id),
+  vscore AS (SELECT item_id, vec_id AS doc_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[])) AS score FROM embeddings, qd),
+  vrank AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM vscore) WHERE rank <= 30),
+  ls AS (SELECT item_id, doc_id, rank FROM krank UNION ALL SELECT item_id, doc_id, rank FROM vrank),
+  fused AS (SELECT item_id, doc_id, sum(1.0 / (60 + rank)) AS fused, min(rank) AS best_rank FROM ls GROUP BY 1, 2),
   frank AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(fused, 12) DESC, best_rank, doc_id) AS fused_rank FROM fused)"""
 
 
 def _fused(spark, d):
-    k = _keyword(spark, d)
-    other = k.where("rank <= 10").withColumn("doc_id", (F.col("doc_id") * 7 + 3) % 200)
-    return rt.fuse([k, other], "item_id", "doc_id")
+    v = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    asked = table(spark, d, "benchmark").select("item_id").join(v.select(F.col("doc_id").alias("item_id"), F.col("embedding").alias("qe")), "item_id")
+    return rt.fuse([_keyword(spark, d), rt.dense_search(v, asked, "doc_id", "embedding", "item_id", "qe", 30)], "item_id", "doc_id")
 
 
 @query("k10_rank_fusion", f"WITH {FUSED} SELECT item_id, doc_id, round(fused, 9) AS fused, best_rank, fused_rank FROM frank")
@@ -77,14 +80,20 @@ def k10(spark, d):
     f"""WITH {FUSED}, {DOCS_SQL}, newest AS (SELECT name, max(edition_date) AS newest FROM docs GROUP BY 1),
   s AS (SELECT item_id, doc_id, name, label, fused + CASE WHEN edition_date = newest THEN 0.01 ELSE 0 END AS score, fused_rank FROM frank JOIN docs USING (doc_id) JOIN newest USING (name)),
   o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, fused_rank) AS rank FROM s),
-  t AS (SELECT * FROM o WHERE rank <= 10)
-  SELECT item_id, doc_id, round(score, 9) AS score, rank, label IS NOT NULL AND (SELECT count(DISTINCT u.label) FROM t u WHERE u.item_id = t.item_id AND u.name = t.name) > 1 AS other_editions FROM t""",
+  t AS (SELECT * FROM o WHERE rank <= 10),
+  e AS (SELECT *, label IS NOT NULL AND (SELECT count(DISTINCT u.label) FROM t u WHERE u.item_id = t.item_id AND u.name = t.name) > 1 AS other FROM t),
+  v AS (SELECT * FROM e WHERE doc_id IN (SELECT doc_id FROM docs WHERE NOT deleted AND search_state <> 'replaced'))
+  SELECT item_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS rank,
+    other AND count(*) OVER (PARTITION BY item_id, name) > CASE WHEN label IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY item_id, name, label) END AS other_editions FROM v""",
 )
 def k13(spark, d):
-    flagged = vs.refresh_latest(docs(spark, d).withColumn("active", F.lit(True))).select("doc_id", "name", "label", "is_latest_edition")
+    """Keyword and dense search fused, ranked with the weight of latest editions, flagged, and cut to what is visible."""
+    known = docs(spark, d)
+    flagged = vs.refresh_latest(known.withColumn("active", F.lit(True))).select("doc_id", "name", "label", "is_latest_edition")
     ranked = rt.rerank(_fused(spark, d).join(flagged, "doc_id"), "item_id", None, F.col("is_latest_edition"), 0.01)
     kept = ranked.where("order <= 10").withColumnRenamed("order", "rank")
-    return kept.withColumn("other_editions", rt.other_editions(kept, "item_id")).select("item_id", "doc_id", F.round("score", 9).alias("score"), "rank", "other_editions")
+    shown = rt.visible_results(kept.withColumn("other_editions", rt.other_editions(kept, "item_id")), known, "item_id")
+    return shown.select("item_id", "doc_id", F.round("score", 9).alias("score"), "rank", "other_editions")
 
 
 @query("k02_terms", f"SELECT item_id, {W.format('text')} AS terms FROM benchmark")
@@ -93,16 +102,16 @@ def k02(spark, d):
 
 
 NB = f"""{LINES_SQL}, tok AS (SELECT doc_id, pos, len({W.format('text')}) AS n FROM chunks),
-  hit AS (SELECT doc_id, pos AS p FROM chunks WHERE pos = 2),
-  near AS (SELECT h.doc_id, t.pos, t.pos < p AS b, abs(t.pos - p) AS dist, n FROM hit h JOIN tok t ON t.doc_id = h.doc_id AND t.pos <> p),
-  run AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY dist, CASE WHEN b THEN 0 ELSE 1 END ROWS UNBOUNDED PRECEDING) AS used FROM near)"""
+  hit AS (SELECT doc_id, pos AS p FROM chunks),
+  near AS (SELECT h.doc_id, h.p, t.pos, t.pos < p AS b, abs(t.pos - p) AS dist, n FROM hit h JOIN tok t ON t.doc_id = h.doc_id AND t.pos <> p),
+  run AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, p ORDER BY dist, CASE WHEN b THEN 0 ELSE 1 END ROWS UNBOUNDED PRECEDING) AS used FROM near)"""
 
 
-@query("n04_neighbours", f"WITH {NB} SELECT h.doc_id, coalesce(list(pos ORDER BY pos) FILTER (b AND used <= 80), []) AS before, coalesce(list(pos ORDER BY pos) FILTER (NOT b AND used <= 80), []) AS after FROM hit h LEFT JOIN run USING (doc_id) GROUP BY 1")
+@query("n04_neighbours", f"WITH {NB} SELECT h.doc_id, h.p AS pos, coalesce(list(pos ORDER BY pos) FILTER (b AND used <= 80), []) AS before, coalesce(list(pos ORDER BY pos) FILTER (NOT b AND used <= 80), []) AS after FROM hit h LEFT JOIN run USING (doc_id, p) GROUP BY 1, 2")
 def n04(spark, d):
     c = lines(spark, d).select("doc_id", F.lit("1").alias("version"), F.lit(True).alias("active"), F.lit("text").alias("kind"), F.col("pos").alias("order"), F.lit(None).cast("int").alias("split_index"), F.col("pos").cast("string").alias("chunk_key"), F.col("pos").alias("chunk_id"), F.size(tx.terms(F.col("text"))).alias("tokens"), F.array().cast("array<string>").alias("placeholder_ids"))
-    hits = c.where("chunk_id = 2").select(F.col("doc_id").alias("hit_id"), "doc_id", "version", F.array("chunk_id").alias("members"), F.lit(None).cast("int").alias("asset_order"), "placeholder_ids")
-    return rt.neighbours(hits, c, 80).select(F.col("hit_id").alias("doc_id"), "before", "after")
+    hits = c.select(F.struct("doc_id", "chunk_id").alias("hit_id"), "doc_id", "version", F.array("chunk_id").alias("members"), F.lit(None).cast("int").alias("asset_order"), "placeholder_ids")
+    return rt.neighbours(hits, c, 80).select("hit_id.doc_id", F.col("hit_id.chunk_id").alias("pos"), "before", "after")
 
 
 @query("a01_latest_editions", f"WITH {DOCS_SQL} SELECT doc_id, name, CAST(edition_date AS VARCHAR) AS edition_date FROM docs WHERE edition_date = (SELECT max(edition_date) FROM docs b WHERE b.name = docs.name)")
@@ -145,9 +154,9 @@ def f10(spark, d):
     return cat.names_after(docs(spark, d), "src1", "src10")
 
 
-@query("f12_same_edition", f"WITH {DOCS_SQL} SELECT a.doc_id, b.doc_id AS other_id FROM docs a JOIN docs b ON a.name = b.name AND a.label IS NOT DISTINCT FROM b.label AND a.doc_id <> b.doc_id WHERE NOT a.deleted AND a.search_state <> 'replaced' AND b.doc_id % 50 = 0")
+@query("f12_same_edition", f"WITH {DOCS_SQL}, s AS (SELECT name, label, count(*) AS c, min(doc_id) AS first_id FROM docs WHERE NOT deleted AND search_state <> 'replaced' GROUP BY 1, 2) SELECT doc_id, coalesce(c, 0) - CASE WHEN NOT deleted AND search_state <> 'replaced' THEN 1 ELSE 0 END AS n_others, first_id FROM docs LEFT JOIN s ON docs.name = s.name AND docs.label IS NOT DISTINCT FROM s.label")
 def f12(spark, d):
-    return cat.same_edition(docs(spark, d), docs(spark, d).where("doc_id % 50 = 0"))
+    return cat.edition_counts(docs(spark, d))
 
 
 @query("j08_sibling_editions", f"WITH {DOCS_SQL}, e AS (SELECT DISTINCT d.doc_id, v.label, v.edition_date AS x FROM docs d JOIN docs v USING (name) WHERE v.edition_date IS NOT NULL AND NOT v.deleted AND v.search_state <> 'replaced' UNION SELECT doc_id, label, edition_date FROM docs WHERE edition_date IS NOT NULL), s AS (SELECT doc_id, string_agg(label || '@' || x, ',' ORDER BY x DESC, label) AS editions FROM e GROUP BY 1) SELECT doc_id, editions FROM docs LEFT JOIN s USING (doc_id)")
@@ -173,7 +182,7 @@ def f09(spark, d):
 @query("j11_deleted_flag", f"WITH {LOGS} SELECT log_id, doc_id IN (SELECT doc_id FROM logs WHERE kind = (SELECT min(kind) FROM logs)) AS document_deleted FROM logs")
 def j11(spark, d):
     rows = _logs(spark, d)
-    first = rows.agg(F.min("kind")).first()[0]
+    first = rows.agg(F.min("kind")).scalar()
     return cat.with_deleted_flag(rows, rows.withColumn("kind", F.when(F.col("kind") == first, "delete").otherwise(F.col("kind")))).select("log_id", "document_deleted")
 
 
@@ -190,18 +199,22 @@ def a04(spark, d):
 
 @query("j03_semi_join", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 def j03(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey")
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit(1).alias("query"), F.col("c_custkey").alias("rank"), F.col("c_mktsegment").alias("name"), F.lit(None).cast("string").alias("label"), F.lit(False).alias("other_editions"))
+    known = table(spark, d, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("doc_id"), F.lit(False).alias("deleted"), F.lit("searchable").alias("search_state"))
+    return rt.visible_results(asked.withColumn("query", F.col("doc_id")), known, "query").select(F.col("doc_id").alias("c_custkey"))
 
 
-@query("j12_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("j12_anti_join", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)")
 def j12(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    """Records whose set is gone are deleted; what stays."""
+    records = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("golden_set_id"))
+    return ev.orphans_removed(records, table(spark, d, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("golden_set_id"))).select("o_orderkey")
 
 
-@query("j09_replaced_editions", f"WITH {DOCS_SQL} SELECT DISTINCT a.doc_id, CASE WHEN a.state IN ('uploaded', 'captioning', 'queued', 'indexing') THEN 'failed' ELSE a.state END AS state FROM docs a JOIN docs s ON a.name = s.name AND a.label IS NOT DISTINCT FROM s.label AND a.updated_at < s.updated_at AND a.doc_id <> s.doc_id WHERE s.doc_id % 50 = 1 AND NOT a.deleted AND a.search_state <> 'replaced'")
+@query("j09_replaced_editions", f"WITH {DOCS_SQL} SELECT DISTINCT a.doc_id, CASE WHEN a.state IN ('uploaded', 'captioning', 'queued', 'indexing') THEN 'failed' ELSE a.state END AS state FROM docs a JOIN (SELECT name, label, max(updated_at) AS updated_at FROM docs GROUP BY 1, 2) s ON a.name = s.name AND a.label IS NOT DISTINCT FROM s.label AND a.updated_at < s.updated_at WHERE NOT a.deleted AND a.search_state <> 'replaced'")
 def j09(spark, d):
     x = docs(spark, d).withColumn("entered_at", F.col("updated_at"))
-    return vs.replaced_editions(x, x.where("doc_id % 50 = 1")).select("doc_id", "state")
+    return vs.replaced_editions(x, x).select("doc_id", "state")
 
 
 @query("o04_golden_sort", "SELECT vec_id, label AS sorted_by FROM (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN NULL ELSE label END AS label FROM embeddings) ORDER BY label DESC NULLS LAST, vec_id DESC LIMIT 100")

@@ -44,7 +44,7 @@ scalar("x01_placeholders", "benchmark", "item_id", {
     "ids": (lambda: tx.placeholder_ids(F.concat(mark(), c("text"), mark())), "['t' || item_id, 't' || item_id]"),
     "zones": (lambda: F.size(F.split(F.concat(mark(), c("text"), mark()), tx.loose_placeholder())), "3"),
 })
-scalar("x03_format_placeholder", "benchmark", "item_id", {"placeholder": (lambda: tx.placeholder(F.lit("table"), F.concat(F.lit("t"), c("item_id").cast("string")), F.left("text", F.lit(20))), "'[[asset:table:t' || item_id || ' | ' || left(text, 20) || ']]'")})
+scalar("x03_format_placeholder", "benchmark", "item_id", {"placeholder": (lambda: tx.placeholder(F.lit("table"), F.concat(F.lit("t"), c("item_id").cast("string")), c("text")), "'[[asset:table:t' || item_id || ' | ' || text || ']]'")})
 scalar("x04_guard", "benchmark", "item_id", {
     "guarded": (lambda: tx.guard(mark()), f"replace({MARK}, '[[asset:', '[' || chr(8203) || '[asset:')"),
     "back": (lambda: tx.unguard(tx.guard(tx.guard(mark()))), f"replace({MARK}, '[[asset:', '[' || chr(8203) || '[asset:')"),
@@ -73,16 +73,16 @@ scalar("x22_versions", "lineitem", "l_orderkey", {
 scalar("x23_byte_size", "part", "p_partkey", {"size": (lambda: tx.byte_size(c("p_partkey") * 4096 + c("p_size") % 2), "CASE WHEN (p_partkey * 4096 + p_size % 2) % 1048576 = 0 THEN (p_partkey * 4096 + p_size % 2) // 1048576 || 'MB' WHEN (p_partkey * 4096 + p_size % 2) % 1024 = 0 THEN (p_partkey * 4096 + p_size % 2) // 1024 || 'KB' ELSE (p_partkey * 4096 + p_size % 2) || 'B' END")})
 scalar("x24_particle", "part", "p_partkey", {"word": (lambda: tx.particle(F.element_at(F.array(*map(F.lit, "가각나난다닫A")), (c("p_partkey") % 7 + 1).cast("int")), "을", "를"), "['가를', '각을', '나를', '난을', '다를', '닫을', 'A를'][p_partkey % 7 + 1]")})
 scalar("x26_path_parts", "pages", "page_id", {
-    "name": (lambda: tx.base_name(F.concat(c("url"), F.lit("/a%20b.PNG?x=/1"))), "'a%20b.PNG'"),
-    "ext": (lambda: tx.extension(F.concat(c("url"), F.lit("/a%20b.PNG?x=/1"))), "CASE WHEN url LIKE '%?%' OR url LIKE '%#%' THEN NULL ELSE 'png' END"),
-    "type": (lambda: tx.content_type(F.concat(c("url"), F.lit("/a%20b.PNG?x=/1"))), "'image/png'"),
-}, where="url NOT LIKE '%?%' AND url NOT LIKE '%#%'")
+    "name": (lambda: tx.base_name(F.concat(c("url"), F.lit("/a%20b.PNG?x=/1"))), r"regexp_extract(regexp_extract(url || '/a%20b.PNG?x=/1', '^[^?#]*'), '[^/\\]*$')"),
+    "ext": (lambda: tx.extension(F.concat(c("url"), F.lit("/a%20b.PNG?x=/1"))), r"lower(regexp_extract(regexp_extract(regexp_extract(url || '/a%20b.PNG?x=/1', '^[^?#]*'), '[^/\\]*$'), '\.([^.]+)$', 1))"),
+    "type": (lambda: tx.content_type(F.concat(c("url"), F.lit("/a%20b.PNG?x=/1"))), "CASE WHEN regexp_extract(url, '[?#]') = '' THEN 'image/png' END"),
+})
 scalar("x27_code_points", "documents", "doc_id", {"n": (lambda: F.char_length("text"), "length(text)")})
 scalar("x29_drop_thinking", "conversations", "conv_id", {"turn": (lambda: c("turn"), "turn"), "answer": (lambda: tx.drop_thinking(F.concat(F.lit("<think>\n"), c("role"), F.lit("</think> "), c("role"))), "role")})
 scalar("x31_numbered_lines", "documents", "doc_id", {"prompt": (lambda: tx.numbered_lines(c("text")), "array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: i || '| ' || x), chr(10))")})
 scalar("x32_displayed_table", "nation", "n_nationkey", {"shown": (lambda: tx.displayed_table(F.concat(F.lit("| "), c("n_name"), F.lit(" |\n> | - |\n  - > | 1 |"))), "'| ' || n_name || ' |' || chr(10) || '| - |' || chr(10) || '| 1 |'")})
 scalar("c17_strip_tags", "pages", "page_id", {"text": (lambda: tx.strip_tags(c("html")), "regexp_replace(html, '<[^>]*>', '', 'g')")})
-scalar("c18_normal_lines", "documents", "doc_id", {"text": (lambda: tx.normal_lines(F.replace(c("text"), F.lit("\n"), F.lit("\r\n"))), "text")}, where="text NOT LIKE '%' || chr(13) || '%'")
+scalar("c18_normal_lines", "documents", "doc_id", {"text": (lambda: tx.normal_lines(F.replace(c("text"), F.lit("\n"), F.lit("\r\n"))), "replace(replace(replace(replace(text, chr(10), chr(13) || chr(10)), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(0), chr(65533))")})
 scalar("p09_new_asset", "lineitem", "l_orderkey", {
     "l_linenumber": (lambda: c("l_linenumber"), "l_linenumber"),
     "status": (lambda: at.new_status(F.when(c("l_linenumber") > 3, "t1"), F.when(c("l_returnflag") == "N", "image").otherwise("table")), "CASE WHEN l_returnflag = 'N' AND l_linenumber > 3 THEN 'done' ELSE 'pending' END"),
@@ -151,17 +151,19 @@ def c01(spark, d):
     return ck.chunk(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("c13_chunk_counts", r"""SELECT item_id, 3 AS n_text, 1 AS n_asset, true AS path_kept FROM benchmark""")
+@query("c13_chunk_counts", r"""WITH n AS (SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S'))) AS BIGINT) AS n FROM documents)
+SELECT doc_id, n + 1 AS n_text, CAST(1 AS BIGINT) AS n_asset, CASE WHEN n > 0 THEN true ELSE false END AS path_kept FROM n""")
 def c13(spark, d):
-    b = table(spark, d, "benchmark").withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
-    md = b.select("item_id", F.concat(F.lit("# A\n\n"), F.left("text", F.lit(60)), F.lit("\n\n## B\n\n[[asset:table:t1 | x]]\n\n## C\n\nend")).alias("text"))
-    made = ck.chunk(md, "item_id", "text")
-    return made.groupBy("item_id").agg(F.count_if(c("kind") == "text").alias("n_text"), F.count_if(c("kind") == "asset").alias("n_asset"), F.bool_or(F.array_join("heading_path", ">") == "A>B").alias("path_kept"))
+    """Whole texts as Markdown, each line with a heading of its own, and a placeholder at the end."""
+    lines_ = F.transform(F.split(F.coalesce(c("text"), F.lit("")), "\n"), lambda x: F.concat(F.lit("## B\n\n"), x))
+    md = table(spark, d, "documents").select("doc_id", F.concat(F.lit("# A\n\n"), F.array_join(lines_, "\n\n"), F.lit("\n\n## C\n\n[[asset:table:t1 | x]]")).alias("text"))
+    made = ck.chunk(md, "doc_id", "text", 1 << 30)
+    return made.groupBy("doc_id").agg(F.count_if(c("kind") == "text").alias("n_text"), F.count_if(c("kind") == "asset").alias("n_asset"), F.bool_or(F.array_join("heading_path", ">") == "A>B").alias("path_kept"))
 
 
-@query("c15_extracted_assets", "SELECT n_nationkey, 2 AS n, 'a/' || n_name || '.png' AS path FROM nation")
+@query("c15_extracted_assets", "SELECT doc_id, 2 AS n, 'a/' || doc_id || '.png' AS path FROM documents")
 def c15(spark, d):
-    n = table(spark, d, "nation")
-    md = n.select("n_nationkey", F.concat(F.lit("| a | b |\n| - | - |\n| 1 | 2 |\n\n![alt](a/"), F.col("n_name"), F.lit(".png)\n")).alias("text"))
-    made = at.extract_assets(md, "n_nationkey", "text")
-    return made.select("n_nationkey", F.size("assets").alias("n"), F.element_at("assets", -1)["path"].alias("path"))
+    """Whole texts after a table and an image."""
+    md = table(spark, d, "documents").select("doc_id", F.concat(F.lit("| a | b |\n| - | - |\n| 1 | 2 |\n\n![alt](a/"), F.col("doc_id").cast("string"), F.lit(".png)\n\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    made = at.extract_assets(md, "doc_id", "text")
+    return made.select("doc_id", F.size("assets").alias("n"), F.element_at("assets", -1)["path"].alias("path"))

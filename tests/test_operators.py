@@ -336,3 +336,84 @@ def test_glossary_file(spark, tmp_path):
     assert g.table(spark).count() == 2
     path.write_text("groups:\n- [a, b, c]\n")
     assert g.table(spark).count() == 3
+
+
+def random_markdown(r):
+    rows = []
+    for _ in range(r.randint(1, 25)):
+        kind = r.random()
+        words_ = " ".join(f"w{r.randint(0, 99)}" + r.choice(["", ".", "!", "。"]) for _ in range(r.randint(1, 12)))
+        rows.append("#" * r.randint(1, 4) + " " + words_ if kind < 0.2 else "" if kind < 0.45 else f"```\n{words_}\n# no heading\n\n{words_}\n```" if kind < 0.55 else f"1. {words_} [[asset:table:t{len(rows)} | a. b]] end" if kind < 0.65 else words_)
+    return r.choice(["\n", "\r\n"]).join(rows)
+
+
+def test_chunk_parts_cover_the_text():
+    import random
+
+    r = random.Random(8)
+    for _ in range(300):
+        t = random_markdown(r)
+        if not t.strip():
+            continue
+        o = chunking.Outline(t)
+        assert "".join(t[a.start : a.end] for a in o.atoms) == t
+        limit = r.choice([5, 15, 40])
+        spans = o.fitted(0, len(o.atoms), limit)
+        assert [s[0] for s in spans] == [0, *(s[1] for s in spans[:-1])] and spans[-1][1] == len(o.atoms)
+        for a, b in spans:
+            # what is too long has no cut with a body on both sides
+            assert o.size(a, b) <= limit or sum(x.body for x in o.atoms[a:b]) <= 1
+        assert "".join(chunking.presplit(t, limit)) == t
+        for lo, hi in o.parts(0, len(o.atoms), chunking.HEADING):
+            starts = [x for x in o.atoms[lo:hi] if x.body]
+            assert starts or not any(x.body for x in o.atoms)
+        made = chunking.chunks_of(t, limit)
+        assert sum(c["kind"] == "asset" for c in made) == t.count("[[asset:")
+
+
+def test_sentences_are_not_cut_in_placeholders_or_lists():
+    cuts = lambda t: [t[a.start : a.end] for a in chunking.atoms_of(t)]
+    assert cuts("One. Two! 셋。넷") == ["One. ", "Two! ", "셋。", "넷"]
+    assert cuts("3. Item. Next") == ["3. Item. ", "Next"]
+    assert cuts("a [[asset:table:t1 | x. y]] b. ") == ["a [[asset:table:t1 | x. y]] b. "]
+    assert cuts("# A. B\n\ntext") == ["# A. B\n\n", "text"]
+    assert [a.cost for a in chunking.atoms_of("# A\nx\n\ny\n## B\n~~~\nz")] == [1, 8, 7, 2, 8]
+
+
+def test_code_pieces_keep_fences():
+    t = "# C\r\n```py\r\n" + "".join(f"a{i} b{i}\r\n" for i in range(6)) + "```\r\n"
+    got = [c["text"] for c in chunking.chunks_of(t, 5)]
+    assert got == ["# C\r\n```py\r\na0 b0\r\na1 b1\r\n```", "```py\r\na2 b2\r\na3 b3\r\n```", "```py\r\na4 b4\r\na5 b5\r\n```"]
+    assert [c["text"] for c in chunking.chunks_of("~~~\none\ntwo\n\n", 1)] == ["~~~\none\n~~~", "~~~\ntwo\n~~~"]
+    assert len(chunking.chunks_of("```\n" + "w " * 50 + "\n```", 5)) == 1
+
+
+def test_model_boundaries():
+    t = "a\n\n```\nx\ny\n```\n[[asset:table:t1 | d]]\nend"
+    good = [(1, 1, "A", "s"), (3, 8, "B", "s")]
+    assert chunking.boundary_fault(t, good) is None
+    cases = {"empty": [], "bounds": [(0, 8, "", "")], "order": [(1, 4, "", ""), (3, 8, "", "")], "uncovered": [(1, 1, "", ""), (4, 8, "", "")], "in_code": [(1, 3, "", ""), (4, 8, "", "")]}
+    for fault, found in cases.items():
+        assert chunking.boundary_fault(t, found) == fault
+    assert chunking.boundary_fault(t, good[:1]) == "uncovered"
+    answers = iter([None, cases["order"], good])
+    asked = []
+    assert chunking.model_sections(t, lambda text, fault: (asked.append(fault), next(answers))[1]) == (good, None)
+    assert asked == [None, "no_answer", "order"]
+    assert chunking.model_sections(t, lambda text, fault: cases["order"]) == (None, "order")
+    made = chunking.chunks_of(t, 100, sections=good)
+    assert [(c["chunk_key"], c["title"]) for c in made] == [("text-0", "A"), ("text-1", "B"), ("asset-0", None)]
+
+
+def test_chunk_limits_by_another_measure(spark):
+    df = spark.createDataFrame([(1, "aaa bb. cc dd. eeeee")], "doc_id int, text string")
+    assert [r.text for r in chunking.chunk(df, "doc_id", "text", 8, measure=len).collect()] == ["aaa bb.", "cc dd.", "eeeee"]
+
+
+def test_edition_counts(spark):
+    rows = [(1, "a", "x", False, "searchable"), (2, "a", "x", False, "searchable"), (3, "a", "x", True, "searchable"), (4, "a", None, False, "searchable"), (5, "b", None, False, "replaced")]
+    df = spark.createDataFrame(rows, "doc_id int, name string, label string, deleted boolean, search_state string")
+    got = {r.doc_id: (r.n_others, r.first_id) for r in cat.edition_counts(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (2, 1), 4: (0, 4), 5: (0, None)}
+    pairs = cat.same_edition(df, df).groupBy("other_id").count().collect()
+    assert {r.other_id: r["count"] for r in pairs} == {1: 1, 2: 1, 3: 2}
