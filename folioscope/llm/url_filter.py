@@ -17,10 +17,14 @@ from .cluster import cut
 BITS_PER_KEY, HASHES = 12, 4
 #: Bytes that all levels may have to be sent to every task.  Beyond it listed keys are joined.
 CASCADE_BYTES = 16 << 20
+#: Levels after which a cascade is given up.
+MOST_LEVELS = 200
 
 #: (verdict, host, path); fixed by the task.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Hosts of the block list; each stands for its subdomains too.
+#: Setting that names a Parquet table of listed hosts (column key).
+LIST_SETTING = "spark.folioscope.blocklist"
+#: Hosts of the block list where the setting is not made; each stands for its subdomains too.
 LISTED = ["ads-track.example.com", "casino-win.example.com", "cheap-pills.example.com", "free-bets.example.com"]
 
 
@@ -38,16 +42,23 @@ def domains(host: Column) -> Column:
     return F.when(host != "", F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).otherwise(F.array().cast("array<string>"))
 
 
+def words_needed(n: int) -> int:
+    """64-bit words of a level of n keys."""
+    return max(1, -(-n * BITS_PER_KEY // 64))
+
+
 class Level:
     """One Bloom filter: words of 64 bits in one row."""
 
     def __init__(self, keys: DataFrame, n: int, number: int) -> None:
-        self.number, self.n_words = number, max(1, -(-n * BITS_PER_KEY // 64))
+        self.number, self.n_words = number, words_needed(n)
         spots = keys.select(F.explode(F.array(*[self.spot(F.col("key"), j) for j in range(HASHES)])).alias("p"))
         words = spots.groupBy(F.expr("p div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
-        table = cut(words.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m")))
-        size = F.lit(self.n_words - 1).cast("long")
-        self.row = cut(table.select(F.transform(F.sequence(F.lit(0).cast("long"), size), lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("long"))).alias("words")))
+        empty = keys.sparkSession.range(self.n_words).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+        every = words.union(empty).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+        # one value of a size that was tested before (see Cascade)
+        row = every.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w"))
+        self.row = cut(row.select(F.transform("w", lambda x: x["bits"]).alias("words")))
 
     def spot(self, key: Column, j: int) -> Column:
         return F.pmod(F.xxhash64(key, F.lit(self.number * HASHES + j)), F.lit(64 * self.n_words))
@@ -61,18 +72,25 @@ class Level:
 
 
 class Cascade:
-    """Exact membership of the listed keys among all keys of the universe."""
+    """Exact membership of the listed keys among all keys of the universe.
+
+    `whole` is false if the levels would take more than `limit` bytes, or if MOST_LEVELS don't
+    end it: then it tells nothing, and the listed keys must be joined.
+    """
 
-    def __init__(self, listed: DataFrame, universe: DataFrame) -> None:
+    def __init__(self, listed: DataFrame, universe: DataFrame, limit: int = CASCADE_BYTES) -> None:
         """Both with one column, key.  Nulls are ignored."""
-        listed = cut(listed.where("key is not null").distinct())
-        others = cut(universe.where("key is not null").distinct().join(listed, "key", "left_anti"))
+        listed = cut(listed.select("key").where("key is not null").distinct())
         self.levels: list[Level] = []
-        coded, rest = listed, others
-        while (n := coded.count()) and len(self.levels) < 200:
+        n, others = listed.count(), None
+        coded, rest = listed, None
+        while n and len(self.levels) < MOST_LEVELS and self.bytes + 8 * words_needed(n) <= limit:
+            if others is None:
+                others = rest = cut(universe.where("key is not null").distinct().join(listed, "key", "left_anti"))
             self.levels.append(level := Level(coded, n, len(self.levels)))
             wrong = cut(rest.withColumn("__w", level.row.scalar()).where(level.holds(F.col("key"), F.col("__w"))).select("key"))
-            coded, rest = wrong, coded
+            coded, rest, n = wrong, coded, wrong.count()
+        self.whole = not n
 
     @property
     def bytes(self) -> int:
@@ -95,14 +113,16 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame
     A rule fits its host and all subdomains if the path starts with the rule's; the longest wins
     (of equally long ones the first).  Without a rule, a url is blocked if its host or a parent
     domain is listed.  A null url or one without :// has an empty host and path, fits no rule and
-    is allowed; null and repeated keys are kept.
+    is allowed; null and repeated keys and repeated rows are kept, other columns are ignored,
+    whatever their names.  listed has a column key (nulls and repeats don't matter, it may be
+    empty); an empty table of pages gives no rows.
     """
     base = pages.select(F.col(key).alias("__key"), F.col(url).alias("__url"))
     host, path = host_and_path(F.col("__url"))
     base = base.select("__key", host.alias("__host"), path.alias("__path"))
     universe = base.select("__host").distinct().select(F.explode(domains(F.col("__host"))).alias("key"))
-    cascade = Cascade(listed, universe)
-    if cascade.bytes <= limit:
+    cascade = Cascade(listed, universe, limit)
+    if cascade.whole:
         with_bits = base.withColumns(cascade.columns()) if cascade.levels else base
         blocked = F.exists(domains(F.col("__host")), cascade.holds) if cascade.levels else F.lit(False)
     else:
@@ -117,7 +137,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(x,) for x in LISTED], "key string")
+    named = spark.conf.get(LIST_SETTING, None)
+    listed = spark.read.parquet(named).select("key") if named else spark.createDataFrame([(x,) for x in LISTED], "key string")
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES, listed)
 
 

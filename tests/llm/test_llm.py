@@ -329,6 +329,23 @@ def test_cascade_is_exact(spark, monkeypatch):
     assert told.exceptAll(listed).count() == 0 and told.count() == listed.count()
 
 
+def test_cascade_gives_up(spark, monkeypatch):
+    universe = spark.range(500).select(F.concat(F.lit("k"), "id").alias("key"))
+    listed = universe.where("hash(key) % 3 = 0")
+    assert url_filter.Cascade(listed, universe).whole
+    assert not url_filter.Cascade(listed, universe, 8).whole and not url_filter.Cascade(listed, universe, 8).levels
+    monkeypatch.setattr(url_filter, "BITS_PER_KEY", 1)
+    monkeypatch.setattr(url_filter, "HASHES", 4)
+    monkeypatch.setattr(url_filter, "MOST_LEVELS", 2)
+    assert not url_filter.Cascade(listed, universe).whole
+    empty = url_filter.Cascade(listed.limit(0), universe)
+    assert empty.whole and not empty.levels
+    pages = universe.select(F.concat(F.lit("http://"), "key", F.lit("/")).alias("url"), F.lit(None).cast("long").alias("page_id"), F.lit("x").alias("verdict"))
+    got = url_filter.judge(pages.union(pages), [], listed.union(listed)).where("verdict = 'block'")
+    assert got.count() == 2 * listed.count() and url_filter.judge(pages.limit(0), [], listed).count() == 0
+    assert url_filter.judge(pages, [], listed.limit(0)).where("verdict = 'block'").count() == 0
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "HTTP://WWW.Example.ORG/es/1?x", "http://example.org", "http://a.com/de/", "http://x.net/p#f", "http://www.free-bets.example.com/en/", "http://a.org/es/"]
     listed = spark.createDataFrame([("free-bets.example.com",)], "key string")
