@@ -2,34 +2,47 @@
 
 Detection is one pattern of alternatives; an entity's type and its canonical value (the same for
 all spellings) follow from its text.  The canonical values of the corpus get surrogates from a
-keyed hash: digits for digits, letters of the same script for letters, names of the same gender.
+keyed hash (HMAC): digits for digits, letters of the same script for letters, names of the same gender.
 A surrogate that is another entity of the corpus, or another entity's surrogate, is drawn again,
 so different entities stay different and every mention of one entity gets the same surrogate,
-written as the mention was.  Only DataFrame functions are used.
+written as the mention was.  Where a format has no free value left, surrogates grow longer (an
+address becomes a full IPv6 address), so no table of entities is too large.
+
+Names of persons are replaced word by word: "Mr Smith" keeps the family name that "Mr John Smith"
+has got.  Persons are found by a title; a full name found so is also replaced where it stands in
+the same text without one.  Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
+import hashlib
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import cut
 
-#: The key of the production query.  Another key gives unrelated surrogates.
+#: Setting that holds the key; another key gives unrelated surrogates.
+KEY_SETTING = "spark.folioscope.pii.key"
+#: The key where the setting is not made, as in tests: anybody can compute its surrogates.
 KEY = "folioscope-surrogates-1"
-#: Draws after which a value space is taken to be exhausted.
-DRAWS = 64
+#: Draws after which surrogates are longer than what they stand for.
+LONGER = 8
 
 _TITLES = {
     "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "господин", "Господин", "г-н", "Г-н"],
     "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа", "Госпожа", "г-жа", "Г-жа"],
+    "n": ["Dr", "Prof"],
 }
-#: Given names by gender and script, and syllables of family names: lists of our own choice.
-_GIVEN = {
-    ("m", "latin"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karim Leon Marco Nils Oscar Paul Quentin Robert Simon Tomas".split(),
-    ("f", "latin"): "Anna Berta Clara Diana Elena Flora Greta Helen Irene Julia Karin Laura Maria Nora Olga Paula Rosa Sofia Teresa Vera".split(),
-    ("m", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим".split(),
-    ("f", "cyrillic"): "Анна Вера Галина Дарья Елена Зоя Ирина Лидия Мария Нина".split(),
+#: Ends of made-up given names by gender and script, and syllables of names: lists of our own choice.
+_ENDS = {
+    ("m", "latin"): "ban den fin gor kas lim mir nel pas ron".split(),
+    ("f", "latin"): "ba da fa ga la ma na ra sa va".split(),
+    ("n", "latin"): "by dy fy ky ly my ny py ry sy".split(),
+    ("m", "cyrillic"): "бан вис дим гор лев мир нел пас рон сам".split(),
+    ("f", "cyrillic"): "ба ва да га ла ма на ра са та".split(),
+    ("n", "cyrillic"): "би ви ди ги ли ми ни ри си ти".split(),
 }
 _SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ha ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se".split(),
@@ -39,21 +52,25 @@ _SYLLABLES = {
 _EDGE = r"(?<![\p{L}\p{N}._%+\-@])"
 #: IPv6 with one run of zero groups left out: some groups before :: and as many after it as there is room for.
 _SHORT_V6 = "(?:" + "|".join(f"(?:[0-9A-Fa-f]{{1,4}}:){{{n}}}(?::[0-9A-Fa-f]{{1,4}}){{1,{7 - n}}}" for n in range(1, 7)) + "|(?:[0-9A-Fa-f]{1,4}:){1,7}:|:(?::[0-9A-Fa-f]{1,4}){1,7})"
+#: A word of a name: John, O'Brien, Jean-Pierre or JOHN.
+_NAME = r"(?:\p{Lu}(?:\p{Ll}+|['’]\p{Lu}\p{Ll}+)(?:[\-'’]\p{Lu}?\p{Ll}+)*|\p{Lu}{2,}(?:[\-'’]\p{Lu}+)*)(?!\p{L})"
 #: Types in order of preference and what they look like (Java patterns).
 PATTERNS = {
     "email": _EDGE + r"[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}](?:[\p{L}\p{N}\-]{0,62})\.){1,8}\p{L}{2,24}",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "secret": r"(?<![\p{L}\p{N}_\-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}_])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])",
+    "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])"
+    # national numbers: 06 12 34 56 78 and 030 1234567
+    r"|(?<![\d.,+\-/] )(?<![\d.,+\-/])0\d(?:[ .]\d{2}){4}(?!\d|[, ]\d)|(?<![\d.,+\-/] )(?<![\d.,+\-/])0[1-9]\d{1,3}[ /]\d{6,8}(?!\d|[, ]\d)",
     "card": r"(?<![\d.\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){2,3}(?:[ \-]\d{1,3})?|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)",
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])|(?<![\p{L}\p{N}:])" + _SHORT_V6 + r"(?![\p{L}\p{N}:])",
-    "person": r"(?<![\p{L}\p{N}])(?:" + "|".join(t for ts in _TITLES.values() for t in ts) + r")\.? \p{Lu}[\p{Ll}'\-]+(?: \p{Lu}[\p{Ll}'\-]+){0,2}",
+    "person": r"(?<![\p{L}\p{N}])(?:" + "|".join(t for ts in _TITLES.values() for t in ts) + rf")\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
 PATTERN = "(?:" + "|".join(PATTERNS.values()) + ")"
 #: What every entity holds: a quick test for texts without any.
-HINT = "[0-9@]|sk-|gh[pousr]_|AKIA|[0-9A-Fa-f]{32}|::|[0-9A-Fa-f]:[0-9A-Fa-f]|" + "|".join(_TITLES["m"] + _TITLES["f"])
+HINT = "[0-9@]|sk-|gh[pousr]_|AKIA|[0-9A-Fa-f]{32}|::|[0-9A-Fa-f]:[0-9A-Fa-f]|" + "|".join(t for ts in _TITLES.values() for t in ts)
 
 
 def kind_of(e: Column) -> Column:
@@ -73,13 +90,10 @@ def _script(e: Column) -> Column:
 
 
 def canonical(e: Column, kind: Column) -> Column:
-    """One value for all spellings of an entity."""
-    gender = F.when(F.rtrim(_title(e), F.lit(".")).isin(_TITLES["m"]), "m").otherwise("f")
-    name = F.regexp_replace(e, r"^\S+ ", "")
+    """One value for all spellings of an entity that is no person."""
     return (
         F.when(kind.isin("ssn", "phone", "card"), F.regexp_replace(e, "[^0-9]", ""))
         .when(kind == "iban", F.replace(e, F.lit(" "), F.lit("")))
-        .when(kind == "person", F.concat_ws("|", gender, _script(name), F.lower(name)))
         .when((kind == "secret") & ~e.rlike("^[0-9A-Fa-f]+$"), e)
         # shortened addresses have whole groups, so that few digits don't run out of surrogates
         .when((kind == "ipv6") & e.contains("::"), F.array_join(F.transform(F.split(F.lower(e), ":"), lambda g: F.when(g != "", F.lpad(g, 4, "0")).otherwise(g)), ":"))
@@ -87,9 +101,34 @@ def canonical(e: Column, kind: Column) -> Column:
     )
 
 
-def _hexes(seed: Column) -> Column:
+def _name_words(e: Column) -> Column:
+    return F.split(F.regexp_replace(e, r"^\S+ ", ""), " ")
+
+
+def parts(e: Column, kind: Column) -> Column:
+    """(kind, value) of what an entity is made of: a person's words (gender|script|given and script|family), else itself."""
+    title, words = F.rtrim(_title(e), F.lit(".")), _name_words(e)
+    gender = F.when(title.isin(_TITLES["m"]), "m").when(title.isin(_TITLES["f"]), "f").otherwise("n")
+
+    def part(w: Column, i: Column) -> Column:
+        given = (i == 0) & (F.size(words) > 1)
+        value = F.concat_ws("|", F.when(given, gender), _script(w), F.lower(w))
+        return F.struct(F.when(given, "given").otherwise("family").alias("kind"), value.alias("value"))
+
+    return F.when(kind == "person", F.transform(words, part)).otherwise(F.array(F.struct(kind.alias("kind"), canonical(e, kind).alias("value"))))
+
+
+def _mac(key: str, message: Column) -> Column:
+    """HMAC-SHA-512 in hexadecimal digits."""
+    raw = key.encode()
+    block = (raw if len(raw) <= 128 else hashlib.sha512(raw).digest()).ljust(128, b"\0")
+    inner, outer = (F.lit(bytes(x ^ pad for x in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "utf-8")), 512))), 512)
+
+
+def _hexes(key: str, seed: Column) -> Column:
     """256 hexadecimal digits from a keyed hash."""
-    return F.concat(*[F.sha2(F.concat_ws("|", seed, F.lit(i)), 512) for i in range(2)])
+    return F.concat(*[_mac(key, F.concat_ws("|", seed, F.lit(i))) for i in range(2)])
 
 
 def _stream(hexes: Column) -> Column:
@@ -143,104 +182,133 @@ def surrogate(kind: Column, value: Column, stream: Column, domain_stream: Column
     more = F.lit("") if draw < 4 else F.array_join(F.transform(F.sequence(F.lit(1), F.lit(draw)), lambda i: _letters(_at(stream, i + 40), "a", 26)), "")
     email = F.concat(_alike(local, stream), more, F.lit("@"), of_domain)
     octets = [F.pmod(_at(stream, F.lit(i)), F.lit(223 if i == 0 else 256)) + (1 if i == 0 else 0) for i in range(4)]
+    address = F.concat_ws(":", *[F.lower(F.lpad(F.hex(_at(stream, F.lit(i)).cast("long")), 4, "0")) for i in range(8, 16)])
+    extra = F.concat(F.lit(""), *[F.pmod(_at(stream, F.lit(40 + i)), F.lit(10)).cast("string") for i in range(draw - LONGER + 1)])
     hexes = F.array_join(F.transform(_chars(value), lambda c, i: F.when(c == ":", c).otherwise(F.substr(F.lit("0123456789abcdef"), F.pmod(_at(stream, i), F.lit(16)) + 1, F.lit(1)))), "")
     prefix = F.regexp_extract(value, "^(?:AKIA|gh[pousr]_|sk-)", 0)
-    secret = F.when(prefix != "", F.concat(prefix, _alike(F.substr(value, F.length(prefix) + 1), stream))).otherwise(hexes)
-    digits = _alike(value, stream)
+    secret = F.concat(F.when(prefix != "", F.concat(prefix, _alike(F.substr(value, F.length(prefix) + 1), stream))).otherwise(hexes), extra)
+    digits = F.concat(_alike(value, stream), extra)
     card = F.concat(F.left(value, F.lit(1)), F.substr(digits, F.lit(2)))
     body = F.left(card, F.length(card) - 1)
     luhn = F.when(_luhn_sum(value) % 10 == 0, F.concat(body, F.pmod(10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string"))).otherwise(card)
     country = F.left(value, F.lit(1))
-    parts = F.split(value, r"\|")
-    gender, script, words = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.split(F.get(parts, F.lit(2)), " ")
-    given, family = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for (g, s), names in _GIVEN.items():
-        given = F.when((gender == g) & (script == s), F.get(F.array(*map(F.lit, names)), F.pmod(_at(stream, F.lit(0)), F.lit(len(names))))).otherwise(given)
+    head = F.split(value, r"\|")
 
-    def surname(w: Column) -> Column:
+    def name(script: Column, n: int, end: Column) -> Column:
         out = F.lit(None).cast("string")
         for s, syl in _SYLLABLES.items():
             pool = F.array(*map(F.lit, syl))
-            made = F.concat(*[F.get(pool, F.pmod(_at(stream, w * 7 + 3 + j), F.lit(len(syl)))) for j in range(3 + draw // 4)])
-            out = F.when(script == s, F.initcap(made)).otherwise(out)
+            made = F.concat(*[F.get(pool, F.pmod(_at(stream, F.lit(3 + j)), F.lit(len(syl)))) for j in range(n + draw // 4)], end)
+            out = F.when(script == s, made).otherwise(out)
         return out
 
-    person = F.concat_ws("|", gender, script, F.lower(F.array_join(F.transform(words, lambda _, i: F.when((i == 0) & (F.size(words) > 1), given).otherwise(surname(i))), " ")))
+    end = F.lit(None).cast("string")
+    for (g, s), ends in _ENDS.items():
+        end = F.when((F.get(head, F.lit(0)) == g) & (F.get(head, F.lit(1)) == s), F.get(F.array(*map(F.lit, ends)), F.pmod(_at(stream, F.lit(0)), F.lit(len(ends))))).otherwise(end)
+    given = F.concat_ws("|", F.get(head, F.lit(0)), F.get(head, F.lit(1)), name(F.get(head, F.lit(1)), 1, end))
+    family = F.concat_ws("|", F.get(head, F.lit(0)), name(F.get(head, F.lit(0)), 3, F.lit("")))
     return (
         F.when(kind == "email", email)
-        .when(kind == "ipv4", F.concat_ws(".", *octets))
-        .when(kind == "ipv6", hexes)
+        .when(kind == "ipv4", F.concat_ws(".", *octets) if draw < LONGER else address)
+        .when(kind == "ipv6", hexes if draw < LONGER else address)
         .when(kind == "secret", secret)
         .when(kind == "card", luhn)
         .when(kind == "phone", F.concat(country, F.substr(digits, F.lit(2))))
         .when(kind == "iban", F.concat(F.left(value, F.lit(2)), F.substr(digits, F.lit(3))))
-        .when(kind == "person", person)
+        .when(kind == "given", given)
+        .when(kind == "family", family)
         .otherwise(digits)
     )
 
 
-def written(e: Column, kind: Column, value: Column) -> Column:
-    """The canonical surrogate `value` written as the entity `e` was."""
+def written(e: Column, kind: Column, values: Column) -> Column:
+    """The canonical surrogates `values` of an entity's parts written as the entity `e` was."""
+    value = F.get(values, F.lit(0))
     walked = F.aggregate(
         _chars(e),
         F.struct(F.lit(0).alias("i"), F.lit("").alias("out")),
         lambda a, c: F.when(c.rlike("[0-9A-Z]"), F.struct((a["i"] + 1).alias("i"), F.concat(a["out"], F.substr(value, a["i"] + 1, F.lit(1))).alias("out"))).otherwise(F.struct(a["i"].alias("i"), F.concat(a["out"], c).alias("out"))),
-        lambda a: a["out"],
+        lambda a: F.concat(a["out"], F.substr(value, a["i"] + 1)),
     )
-    name = F.concat(F.regexp_extract(e, r"^\S+ ", 0), F.initcap(F.get(F.split(value, r"\|"), F.lit(2))))
     upper = (e == F.upper(e)) & kind.isin("email", "ipv6", "secret")
-    return F.when(kind == "person", name).when(kind.isin("ssn", "phone", "card", "iban"), walked).when(upper, F.upper(value)).otherwise(value)
+    return F.when(kind == "person", F.concat(F.regexp_extract(e, r"^\S+ ", 0), _full_name(e, values))).when(kind.isin("ssn", "phone", "card", "iban"), walked).when(upper, F.upper(value)).otherwise(value)
+
+
+def _full_name(e: Column, values: Column) -> Column:
+    """A person's name without the title, in surrogates, each word in the mention's case."""
+    last = lambda v: F.substring_index(v, "|", -1)
+    cased = F.zip_with(_name_words(e), values, lambda w, v: F.when((F.length(w) > 1) & (w == F.upper(w)), F.upper(last(v))).otherwise(F.initcap(last(v))))
+    return F.array_join(cased, " ")
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """kind, value, surrogate: distinct surrogates, none of them an entity of the corpus."""
-    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shuffled = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entities = cut(entities.select("kind", "value").distinct())
     rest, done = entities, entities.select("kind", "value", F.lit("").alias("surrogate")).limit(0)
-    for draw in range(DRAWS):
+    for draw in count():
         # few bytes but much work: dealt out again, and the streams are columns, computed once for a row
-        dealt = rest.repartition(parts, "kind", "value")
-        seeds = dealt.select("kind", "value", _hexes(F.concat_ws("|", F.lit(key), "kind", "value", F.lit(draw))).alias("h"), _hexes(F.concat_ws("|", F.lit(key), F.lit("domain"), F.substring_index("value", "@", -1))).alias("d"))
+        dealt = rest.repartition(shuffled, "kind", "value")
+        seeds = dealt.select("kind", "value", _hexes(key, F.concat_ws("|", "kind", "value", F.lit(draw))).alias("h"), _hexes(key, F.concat_ws("|", F.lit("domain"), F.substring_index("value", "@", -1))).alias("d"))
         streams = seeds.select("kind", "value", _stream(F.col("h")).alias("h"), _stream(F.col("d")).alias("d"))
         drawn = streams.select("kind", "value", surrogate(F.col("kind"), F.col("value"), F.col("h"), F.col("d"), draw).alias("surrogate"))
         free = drawn.join(entities.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_anti").join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
         first = free.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
         done = cut(done.unionByName(first.select("kind", "value", "surrogate")))
         rest = cut(rest.join(done, ["kind", "value"], "left_anti"))
-        if not rest.count():
+        if rest.isEmpty():
             return done
-    raise ValueError("more entities of a kind than surrogates of their format")
 
 
 def replace(docs: DataFrame, text: str = "text", key: str = KEY, report: bool = True) -> DataFrame:
     """docs with every entity of `text` replaced; with `report`, columns n_entities and entity_kinds follow.
 
     entity_kinds: sorted, distinct, joined by commas.  A null text stays null and has none; rows
-    without entities stay as they are, repeated rows get the same text.  With `report`,
-    columns of those names that docs already has are replaced.
+    without entities (empty texts, too) stay as they are, repeated rows get the same text, and
+    null or repeated keys don't matter.  Texts are read whole, however long; an empty table gives
+    no rows.  Where patterns overlap, the first in the text counts, of those at one place the first
+    kind of `PATTERNS`.  With `report`, columns of those names that docs already has are replaced.
     """
     kept = [c for c in docs.columns if not report or c not in ("n_entities", "entity_kinds")]
-    rows = docs.select(F.struct(*kept).alias("__row"), F.col(text).alias("__t"))
-    some = F.coalesce(F.col("__t"), F.lit("")).rlike(HINT)
-    found = F.when(some, F.regexp_extract_all("__t", F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    none = rows.where(~some | ~F.coalesce(F.col("__t"), F.lit("")).rlike(PATTERN))
-    with_any = rows.where(some & F.col("__t").rlike(PATTERN)).select("__row", "__t", F.transform(found, lambda e: F.struct(e.alias("e"), kind_of(e).alias("kind"))).alias("__e"))
-    with_any = with_any.select("__row", "__t", F.transform("__e", lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), canonical(x["e"], x["kind"]).alias("value"))).alias("__e"), F.sha2("__t", 256).alias("__h"))
+    others = F.struct(F.lit(0).alias("__0"), *[F.col(c) for c in kept if c != text]).alias("__row")
+    rows = docs.select(others, F.col(text).alias("__t"))
+    whole = F.coalesce(F.col("__t"), F.lit(""))
+    some = whole.rlike(HINT)
+    none = rows.where(~some | ~whole.rlike(PATTERN))
+    # rows with entities are stored with what they mention, so the pattern runs twice over other texts and once more here
+    found = F.transform(F.regexp_extract_all("__t", F.lit(PATTERN), F.lit(0)), lambda e: F.struct(e.alias("e"), kind_of(e).alias("kind")))
+    with_any = rows.where(some & whole.rlike(PATTERN)).select("__row", "__t", found.alias("__e"))
+    with_any = with_any.select("__row", "__t", F.transform("__e", lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), parts(x["e"], x["kind"]).alias("parts"))).alias("__e"), F.sha2("__t", 256).alias("__h"))
+    with_any = cut(with_any)
     # what each text mentions; then what stands for it
-    mentions = cut(with_any.select("__h", F.explode(F.array_distinct(F.transform("__e", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))))).alias("m")).distinct().select("__h", "m.kind", "m.value"))
+    said = F.array_distinct(F.flatten(F.transform("__e", lambda x: x["parts"])))
+    mentions = cut(with_any.select("__h", F.explode(said).alias("m")).distinct().select("__h", "m.kind", "m.value"))
     table = surrogates(mentions, key)
-    maps = mentions.join(table, ["kind", "value"]).groupBy("__h").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "value").alias("k"), F.col("surrogate").alias("v")))).alias("__m"))
+    label = lambda kind, value: F.concat_ws(":", kind, value)
+    maps = mentions.join(table, ["kind", "value"]).groupBy("__h").agg(F.map_from_entries(F.collect_list(F.struct(label("kind", "value").alias("k"), F.col("surrogate").alias("v")))).alias("__m"))
     joined = with_any.join(maps.withColumnRenamed("__h", "__h2"), F.col("__h") == F.col("__h2"))
-    new = F.transform("__e", lambda x: written(x["e"], x["kind"], F.element_at(F.col("__m"), F.concat_ws(":", x["kind"], x["value"]))))
+    values = F.transform("__e", lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), F.transform(x["parts"], lambda p: F.element_at(F.col("__m"), label(p["kind"], p["value"]))).alias("v")))
+    joined = joined.select("__row", "__t", values.alias("__e"))
+    new = F.transform("__e", lambda x: written(x["e"], x["kind"], x["v"]))
     merged = F.array_join(F.zip_with(F.split("__t", PATTERN, -1), new, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
-    changed = joined.select("__row", merged.alias("__t"), F.size("__e").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct(F.transform("__e", lambda x: x["kind"]))), ",").alias("entity_kinds"))
+    # full names stand for their person without a title, too; longer ones go first
+    full = F.filter("__e", lambda x: (x["kind"] == "person") & (F.size(x["v"]) > 1))
+    names = F.array_distinct(F.transform(full, lambda x: F.struct((-F.length(x["e"])).alias("n"), F.array_join(_name_words(x["e"]), " ").alias("old"), _full_name(x["e"], x["v"]).alias("new"))))
+    alone = lambda t, n: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), n["old"], F.lit(r"\E(?![\p{L}\p{N}])")), n["new"])
+    changed = joined.select("__row", merged.alias("__t"), F.array_sort(names).alias("__names"), "__e")
+    changed = changed.select("__row", F.aggregate("__names", F.col("__t"), alone).alias("__t"), F.size("__e").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct(F.transform("__e", lambda x: x["kind"]))), ",").alias("entity_kinds"))
     plain = none.select("__row", "__t", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("entity_kinds"))
     both = plain.unionByName(changed)
     return both.select(*[F.col("__t").alias(c) if c == text else F.col("__row")[c].alias(c) for c in kept], *(["n_entities", "entity_kinds"] if report else []))
 
 
+def key_of(spark: SparkSession) -> str:
+    """The key that the session names."""
+    return spark.conf.get(KEY_SETTING, KEY)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return replace(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), key=key_of(spark))
 
 
 QUERIES = {"op7_pii": op7_pii}

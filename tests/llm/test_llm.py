@@ -385,6 +385,47 @@ def test_pii(spark):
     assert pii.replace(df, report=False).columns == df.columns and pii.replace(df.limit(0)).count() == 0
 
 
+def test_pii_persons(spark):
+    rows = [
+        (1, "Mr. John Smith met Frau Anna Berger-Klein. Mr Smith said: John Smith knows Dr. Jane Doe, Mr JOHN SMITH and Johnathan Smithson."),
+        (2, "г-н Иван Петров и Mrs Smith; Herr Smith"),
+        (3, "call 06 12 34 56 78 or 030 1234567, not 10 12 34 56 78 or 0.5 1234567"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.replace(df, key="k").collect()}
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Frau (\w+) (\w+)\. Mr (\w+) said: (\w+) (\w+) knows Dr\. (\w+) (\w+), Mr ([A-Z]+) ([A-Z]+) and Johnathan Smithson\.", out[1])
+    given, family = m[1], m[2]
+    assert (m[5], m[6], m[7], m[10], m[11]) == (family, given, family, given.upper(), family.upper())
+    assert m[3].endswith("a") and len({m[2], m[4], m[9]}) == 3 and not {"John", "Smith", "Anna", "Jane", "Doe"} & set(m.groups())
+    assert re.fullmatch(rf"г-н [А-Яа-я]+ [А-Яа-я]+ и Mrs {family}; Herr {family}", out[2]) and "Петров" not in out[2]
+    assert re.fullmatch(r"call \d\d \d\d \d\d \d\d \d\d or \d\d\d \d{7}, not 10 12 34 56 78 or 0\.5 1234567", out[3])
+    assert "06 12 34" not in out[3] and "030 1234567" not in out[3]
+    other = {r.doc_id: r.text for r in pii.replace(df, key="l").collect()}
+    assert all(other[i] != out[i] for i in out)
+
+
+def test_mac_is_hmac(spark):
+    import hmac
+
+    for key in ("k", "x" * 200):
+        got = spark.range(1).select(pii._mac(key, F.lit("grüße"))).first()[0]
+        assert got == hmac.new(key.encode(), "grüße".encode(), "sha512").hexdigest()
+
+
+def test_pii_full_formats(spark, monkeypatch):
+    """All values of a format are entities: surrogates grow instead of failing."""
+    monkeypatch.setattr(pii, "LONGER", 1)
+    e = spark.createDataFrame([("phone", f"{i}") for i in range(10, 20)] + [("ipv6", f"{i:04x}::") for i in range(3)], "kind string, value string")
+    got = pii.surrogates(e, "key").collect()
+    assert len({(r.kind, r.surrogate) for r in got}) == 13 and all(len(r.surrogate) >= 2 for r in got)
+    taken = {f"{i}" for i in range(10, 20)}
+    assert not taken & {r.surrogate for r in got} and all(r.surrogate[0] == "1" for r in got if r.kind == "phone")
+    text = "+1 1" + "0" * 7
+    df = spark.createDataFrame([(1, text), (2, "x " * 200_000 + text), (3, "a@b.org-10.0.0.1 078-05-1120")], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.replace(df).collect()}
+    assert out[2].text == "x " * 200_000 + out[1].text and out[1].text != text and out[3].n_entities >= 2
+
+
 def test_surrogates_are_distinct(spark):
     e = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(300)], "kind string, value string")
     got = pii.surrogates(e, "key").collect()
