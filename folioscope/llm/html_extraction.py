@@ -1,17 +1,17 @@
 """HTML extraction: the main text of web pages by differencing pages of near URLs.
 
-A page is cut into text blocks with the zone that its markup gives them: `main` (inside an
-article or main element), `chrome` (inside navigation, headers, footers, forms, adverts, ...) or
-open.  Each page is paired with one of two fixed pages of its parent folder, or else of its host
-(no nearest URL is searched).  The text lines of both are aligned by their longest common
-subsequence, and the lines that the pair shares are deleted: menus, notices and the like that
-carry no telling markup.
-
-Differencing alone would also delete what the articles of copies share, so lines inside the
-article element are kept, and where a page has such an element, it alone is the main text.
-
-The pair partner of a folder is one of two pages chosen by minima over hashes, so pairing takes
-one aggregation and no window over a host, however many pages it has.
+Within each host, pages stand in the order of their URL paths, and each is paired with the
+neighbour with which it shares the longest path prefix.  All text lines of both are aligned by
+their longest common subsequence, and lines that the pair shares are deleted: menus, notices,
+adverts and the like, whether their markup tells or not.
+
+Markup helps where lines alone can't decide.  Lines of an article or main element are kept though
+copies of the article share them, and what navigation, footers, forms, comments, ... hold goes
+though no other page has it.  But an article element isn't taken at its word: if the page's own
+lines outside it are longer (a teaser in an article, the story in a plain element), both count.
+
+Pairing sorts the host's pages over all partitions and joins on places, so a host may have any
+number of pages; pages with equal markup count once, at their least path.
 """
 
 from __future__ import annotations
@@ -22,11 +22,12 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .cluster import BROADCAST_BYTES, cut
+from .cluster import cut
 from .url_filter import host_and_path
 
 #: Elements whose content is no text.
@@ -40,6 +41,8 @@ _VOID = set("area base br col embed hr img input link meta param source track wb
 _CHROME_WORDS = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|header|masthead|footer|sidebar|side|aside|ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|banner|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|subscribe|newsletter|signup|login|share|sharing|social|related|recommended|breadcrumb|breadcrumbs|comment|comments|commentlist|disqus|replies|reply|widget|pagination|pager|search|toolbar|skip|contentinfo|complementary|form)(?=$|[\s_-])"
 )
+#: Inside an article only whole names count: its parts are often called "related-work" or "side-effects".
+_CHROME_NAMES = re.compile(_CHROME_WORDS.pattern.replace(r"[\s_-]", r"\s"))
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+))")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -52,12 +55,12 @@ WRAPPED = 3
 HIDDEN = 4
 
 
-def _marks_chrome(name: str, attrs: str) -> bool:
+def _marks_chrome(name: str, attrs: str, in_article: bool) -> bool:
     if not attrs or name in ("html", "body"):
         return False
     for key, a, b, c in _ATTR.findall(attrs):
         key, value = key.lower(), a or b or c
-        if key in ("class", "id", "role", "aria-label") and _CHROME_WORDS.search(value.lower()):
+        if key in ("class", "id", "role", "aria-label") and (_CHROME_NAMES if in_article else _CHROME_WORDS).search(value.lower()):
             return True
     return False
 
@@ -134,7 +137,7 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
             # a header inside an article may hold its title
             if zone == CHROME and name in _MAIN and not any(open_count.get(c) for c in _CHROME):
                 inside = WRAPPED
-            if name in _CHROME and not (name == "header" and zone in (MAIN, WRAPPED)) or _marks_chrome(name, m[3]):
+            if name in _CHROME and not (name == "header" and zone in (MAIN, WRAPPED)) or _marks_chrome(name, m[3], zone in (MAIN, WRAPPED) or name in _MAIN):
                 inside = CHROME
             if zone == HIDDEN or _hides(name, m[3]):
                 inside = HIDDEN
@@ -184,104 +187,175 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def common(a: list[int], b: list[int]) -> np.ndarray:
-    """Which of a's lines lie in a longest common subsequence of a and b."""
+def common(a: list[int], b: list[int], most: int = 1 << 28) -> np.ndarray:
+    """Which of a's lines lie in a longest common subsequence of a and b.
+
+    Bit-parallel: a row of the table of lengths is one integer, whose zeros are the places in b
+    where the length grows.  Rows are kept for the way back; where that takes more than `most`
+    bits, a is halved at the best place of b first.
+    """
     keep = np.zeros(len(a), dtype=bool)
-    low = 0
-    while low < min(len(a), len(b)) and a[low] == b[low]:
-        keep[low] = True
+    low, tail, top = 0, 0, min(len(a), len(b))
+    while low < top and a[low] == b[low]:
         low += 1
-    x, y = a[low:], b[low:]
-    tail = 0
-    while tail < min(len(x), len(y)) and x[-1 - tail] == y[-1 - tail]:
-        keep[len(a) - 1 - tail] = True
+    while tail < top - low and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    x, y = x[: len(x) - tail], y[: len(y) - tail]
-    where: dict[int, list[int]] = {}
-    for j, v in enumerate(y):
-        where.setdefault(v, []).append(j)
-    # longest rising chain of matching places (matches of a line in falling order)
-    ends: list[int] = []
-    heads: list[tuple] = []
-    from bisect import bisect_left
-
-    for i, v in enumerate(x):
-        for j in reversed(where.get(v, ())):
-            k = bisect_left(ends, j)
-            node = (i, heads[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                heads.append(node)
-            else:
-                ends[k] = j
-                heads[k] = node
-    node = heads[-1] if heads else None
-    while node:
-        keep[low + node[0]] = True
-        node = node[1]
+    keep[:low] = keep[len(a) - tail :] = True
+    x, y = a[low : len(a) - tail], b[low : len(b) - tail]
+    if not x or not y:
+        return keep
+    if len(x) > 1 and len(x) * len(y) > most:
+        half = len(x) // 2
+        ahead, back = _lengths(x[:half], y), _lengths(x[half:][::-1], y[::-1])[::-1]
+        at = int(np.argmax(ahead + back))
+        keep[low : len(a) - tail] = np.concatenate([common(x[:half], y[:at], most), common(x[half:], y[at:], most)])
+        return keep
+    rows = _rows(x, y)
+    j = len(y)
+    i = len(x)
+    while i and j:
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+        elif not rows[i - 1] >> (j - 1) & 1:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            keep[low + i] = True
     return keep
 
 
+def _steps(a: list[int], b: list[int]) -> Iterator[int]:
+    where: dict[int, int] = {}
+    for j, v in enumerate(b):
+        where[v] = where.get(v, 0) | 1 << j
+    every = row = (1 << len(b)) - 1
+    yield row
+    for v in a:
+        hit = row & where.get(v, 0)
+        row = (row + hit | row - hit) & every
+        yield row
+
+
+def _rows(a: list[int], b: list[int]) -> list[int]:
+    return list(_steps(a, b))
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of a and each beginning of b."""
+    last = 0
+    for last in _steps(a, b):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(last.to_bytes(-(-len(b) // 8), "little"), dtype=np.uint8), bitorder="little", count=len(b))
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
 def _hash(line: str) -> int:
     from hashlib import blake2b
 
     return int.from_bytes(blake2b(line.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
+def line_hashes(found: list[tuple[int, str]]) -> list[int]:
+    """The lines of a page that others are compared with: all that are shown."""
+    return [_hash(t) for z, t in found if z != HIDDEN]
+
+
+def decided(found: list[tuple[int, str]]) -> bool:
+    """Whether no partner can change the main text: an article is as long as all that is outside it."""
+    size = lambda zone: sum(len(t) for z, t in found if z == zone)
+    return size(OPEN) == 0 or 0 < size(MAIN) >= size(OPEN)
+
+
 def main_text(found: list[tuple[int, str]], partner: list[int] | None) -> list[str]:
     """Blocks of the main text; partner: line hashes of the paired page."""
-    if any(z == MAIN for z, _ in found):
-        return [t for z, t in found if z == MAIN]
-    rest = [t for z, t in found if z == OPEN]
-    wrapped = [t for z, t in found if z == WRAPPED]
-    if sum(map(len, wrapped)) > sum(map(len, rest)):
-        return wrapped
-    if partner is None or not rest:
-        return rest
-    shared = common([_hash(t) for t in rest], partner)
-    own = [t for t, s in zip(rest, shared, strict=True) if not s]
-    return own if own else rest  # a copy of its partner has nothing of its own
-
-
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", limit: int = BROADCAST_BYTES) -> DataFrame:
+    shown = [(z, t) for z, t in found if z != HIDDEN]
+    shared = common([_hash(t) for _, t in shown], partner) if partner is not None and not decided(found) else np.zeros(len(shown), dtype=bool)
+    own = {i for i, (z, _) in enumerate(shown) if z == OPEN and not shared[i]}
+    article = {i for i, (z, _) in enumerate(shown) if z == MAIN}
+    length = lambda places: sum(len(shown[i][1]) for i in places)
+    if not article:
+        wrapped = {i for i, (z, _) in enumerate(shown) if z == WRAPPED}
+        article = wrapped if length(wrapped) > length(own) else set()
+        places = article or own
+    else:
+        places = article | own if length(own) > length(article) else article
+    return [shown[i][1] for i in sorted(places)]
+
+
+def partners(pages: DataFrame) -> DataFrame:
+    """host, x, px: for each page of a host the page of the nearest URL path; pages: host, segs, x.
+
+    x stands for a page's markup.  Of a page's two neighbours in the host's order of paths the one
+    with more leading segments in common is nearest, of equally near ones the one before.
+    """
+    spark = pages.sparkSession
+    spots = pages.groupBy("host", "x").agg(F.min("segs").alias("segs"))
+    ordered = spots.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "host", "segs", "x").sortWithinPartitions("host", "segs", "x")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part), pa.int32()), pa.array(np.arange(at, at + b.num_rows), pa.int64())], names=[*b.schema.names, "part", "at"])
+            at += b.num_rows
+
+    placed = cut(ordered.mapInArrow(number, "host string, x bigint, segs array<string>, part int, at bigint"))
+    # a row for each partition
+    sizes = sorted(tuple(r) for r in placed.groupBy("part").count().collect())
+    starts = np.cumsum([0, *(n for _, n in sizes)]).tolist()
+    before = spark.createDataFrame([(p, starts[i]) for i, (p, _) in enumerate(sizes)], "part int, start bigint")
+    me = placed.join(F.broadcast(before), "part").select("host", "x", "segs", (F.col("start") + F.col("at")).alias("g"))
+    there = lambda step: me.select((F.col("g") + step).alias("g"), F.col("host").alias("o_host"), F.col("x").alias("px"), F.col("segs").alias("o_segs"), F.lit(step).alias("step"))
+    near = me.join(there(1).union(there(-1)), "g").where("host = o_host")
+    same = F.zip_with("segs", "o_segs", lambda p, q: F.coalesce(p == q, F.lit(False)))
+    prefix = F.when(F.forall(same, lambda z: z), F.size(same)).otherwise(F.array_position(same, False) - 1)
+    return near.groupBy("host", "x").agg(F.max_by("px", F.struct(prefix.alias("n"), F.col("step").alias("step"))).alias("px"))
+
+
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """key, url, text, n_chars: one row for each row of pages.
 
     text: the blocks of the main text joined by two line feeds; empty for null or empty html and
-    pages without text.  A null url pairs with nothing.  Null and repeated keys are kept.
+    pages without text, and where a page without an article element has no line of its own.  A
+    null url, one without a host or a host's only page pairs with nothing: nothing is deleted
+    there.  Ties of partners are broken by order.  Null and repeated keys and repeated rows are
+    kept (equal pages have equal texts); other columns are ignored, whatever their names; pages
+    are read whole, however long; an empty table gives no rows.
     """
     host, path = host_and_path(F.col("u"))
     source = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(html).alias("h"))
-    where = F.when(host != "", F.concat(host, F.regexp_extract(path, r"^(/[^/]*(?:/[^/]*)*)/[^/]*$", 1), F.lit("/")))
-    spot = F.struct(path.alias("p"), F.coalesce("u", F.lit("")).alias("u"), F.xxhash64("h").alias("x"))
-    light = source.select("u", "h", where.alias("folder"), F.when(host != "", host).alias("host"), spot.alias("s")).where("host is not null and h is not null")
-
-    # two pages of each folder and host: the least ones of each parity of their hash
-    places = light.select(F.explode(F.array_distinct(F.array("folder", "host"))).alias("place"), "s")
-    even = F.pmod(F.xxhash64("s.u", "s.x"), F.lit(2)) == 0
-    least = places.groupBy("place").agg(F.min(F.when(even, F.col("s"))).alias("a"), F.min(F.when(~even, F.col("s"))).alias("b"))
-    chosen = least.select("place", F.explode(F.array("a", "b")).alias("s")).where("s is not null")
+    source = source.select("k", "u", "h", F.when((host != "") & F.col("h").isNotNull(), host).alias("host"), F.split(path, "/").alias("segs"), F.xxhash64("h").alias("x"))
+    hosted = source.where("host is not null")
+    nearest = partners(hosted.select("host", "segs", "x"))
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [[_hash(t) for z, t in blocks(h) if z == OPEN] for h in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int64()))], names=["at", "lines"])
-
-    spots = chosen.select("s").distinct()
-    texts = light.select("s", "h").join(spots, "s").groupBy("s").agg(F.min("h").alias("h"))
-    hashed = texts.select(F.to_json("s").alias("at"), "h").mapInArrow(lines, "at string, lines array<bigint>")
-    partners = chosen.select("place", F.to_json("s").alias("at")).join(hashed, "at").groupBy("place").agg(F.collect_list(F.struct("at", "lines")).alias("pair"))
-    partners = cut(partners.where(F.size("pair") > 1))
-    size = partners.agg(F.sum(F.length("place") + F.aggregate("pair", F.lit(0), lambda a, x: a + F.length(x["at"]) + 8 * F.size(x["lines"])))).first()[0] or 0
-    small = F.broadcast(partners) if size <= limit else partners
-    me = source.select("k", "u", "h", where.alias("folder"), F.when(host != "", host).alias("host"), F.to_json(spot).alias("me"))
-    paired = me.join(small.select(F.col("place").alias("folder"), F.col("pair").alias("near")), "folder", "left").join(small.select(F.col("place").alias("host"), F.col("pair").alias("far")), "host", "left")
-    other = lambda c: F.filter(c, lambda x: x["at"] != F.col("me"))
-    both = F.concat(F.coalesce(other(F.col("near")), F.array()), F.coalesce(other(F.col("far")), F.array()))
-    ready = paired.select("k", "u", "h", F.get(both, F.lit(0))["lines"].alias("lines"))
+            got = [line_hashes(blocks(h)) for h in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.list_(pa.int64()))], names=["host", "px", "lines"])
+
+    each = hosted.select("host", "x", "h").mapInArrow(lines, "host string, px bigint, lines array<bigint>")
+    told = nearest.join(each.groupBy("host", "px").agg(F.any_value("lines").alias("lines")), ["host", "px"]).select("host", "x", "lines")
+
+    # what markup alone decides goes with a key of its own, and meets no partner
+    first = T.StructType([T.StructField("k", source.schema["k"].dataType), T.StructField("u", T.StringType()), T.StructField("host", T.StringType()), T.StructField("x", T.LongType()), T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("zones", T.ArrayType(T.ByteType()))])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, texts, zones = batch.column(3).to_pylist(), [], []
+            for i, h in enumerate(batch.column(2).to_pylist()):
+                found = [(z, t) for z, t in blocks(h) if z != HIDDEN]
+                if decided(found):
+                    found, hosts[i] = [(MAIN, t) for t in main_text(found, None)], None
+                texts.append([t for _, t in found])
+                zones.append([z for z, _ in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hosts, pa.string()), batch.column(4), pa.array(texts, pa.list_(pa.string())), pa.array(zones, pa.list_(pa.int8()))], names=first.names)
+
+    parsed = source.select("k", "u", "h", "host", "x").mapInArrow(parse, first)
+    spot = F.coalesce("host", F.concat(F.lit("/"), F.xxhash64("k", "u", "x").cast("string")))
+    ready = parsed.withColumn("host", spot).join(told, ["host", "x"], "left").select("k", "u", "texts", "zones", "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = ["\n\n".join(main_text(blocks(h), p)) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = ["\n\n".join(main_text(list(zip(z, t, strict=True)), p)) for t, z, p in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[key, "url", "text", "n_chars"])
 
     schema = T.StructType([T.StructField(key, source.schema["k"].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

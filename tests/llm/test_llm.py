@@ -258,10 +258,70 @@ def test_html_differencing(spark):
         return f"<body><div>Top menu</div><div>{own}</div><p>Say hello</p></body>"
 
     rows = [(i, f"http://a.org/x/{i}", page(f"own text {i}")) for i in range(6)] + [(10, None, page("q")), (11, "http://b.org/", None), (12, "http://c.org/1", ""), (0, "http://a.org/x/0", page("own text 0"))]
-    for limit in (1 << 20, 0):
-        df = spark.createDataFrame(rows, "page_id long, url string, html string")
-        got = [(r.page_id, r.text) for r in html_extraction.extract(df, limit=limit).collect()]
-        assert Counter(got) == Counter([(i, f"own text {i}") for i in (0, 0, 1, 2, 3, 4, 5)] + [(10, "Top menu\n\nq\n\nSay hello"), (11, ""), (12, "")])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("z")).withColumn("host", F.lit(1))
+    out = html_extraction.extract(df)
+    assert out.columns == ["page_id", "url", "text", "n_chars"] and html_extraction.extract(df.limit(0)).count() == 0
+    got = [(r.page_id, r.text) for r in out.collect()]
+    assert Counter(got) == Counter([(i, f"own text {i}") for i in (0, 0, 1, 2, 3, 4, 5)] + [(10, "Top menu\n\nq\n\nSay hello"), (11, ""), (12, "")])
+    keyless = html_extraction.extract(df.withColumn("page_id", F.lit(None).cast("long"))).collect()
+    assert Counter(r.text for r in keyless) == Counter(t for _, t in got)
+
+
+def test_html_common_lines_are_longest():
+    r = random.Random(1)
+
+    def longest(a, b):
+        rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
+        return rows[-1][-1]
+
+    for _ in range(300):
+        a, b = ([r.randint(0, 4) for _ in range(r.randint(0, 14))] for _ in range(2))
+        for most in (1 << 28, 9, 1):
+            shared = [x for x, k in zip(a, html_extraction.common(a, b, most), strict=True) if k]
+            rest = iter(b)
+            assert all(x in rest for x in shared) and len(shared) == longest(a, b)
+    assert html_extraction.common([1, 2] * 5000, [2, 1, 1] * 4000).sum() >= 8000
+
+
+def test_html_nearest_url(spark):
+    def page(*own):
+        return "<body><div>Site menu</div>" + "".join(f"<p>{x}</p>" for x in own) + "</body>"
+
+    rows = [
+        (1, "http://a.org/x/1", page("Menu A", "one")),
+        (2, "http://a.org/x/2", page("Menu A", "two")),
+        (3, "http://a.org/y/1", page("Menu B", "three")),
+        (4, "http://a.org/y/z/2", page("Menu B", "four")),
+        (5, "http://a.org/x-y/9", page("five")),
+        (6, "http://b.org/", page("alone")),
+        (7, "http://a.org/x/1", page("Menu A", "one")),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in html_extraction.extract(df).collect()}
+    assert got == {1: "one", 2: "two", 3: "three", 4: "four", 5: "five", 6: "Site menu\n\nalone", 7: "one"}
+    # the pairing against a search of all pages
+    r = random.Random(4)
+    paths = [["", *(r.choice("abc") for _ in range(r.randint(1, 5)))] for _ in range(120)]
+    pages = spark.createDataFrame([(r.choice(["g.org", "h.org"]), p, i) for i, p in enumerate(paths)], "host string, segs array<string>, x long")
+    host = {x.x: x.host for x in pages.collect()}
+    prefix = lambda p, q: next((k for k, (a, b) in enumerate(zip(p, q, strict=False)) if a != b), min(len(p), len(q)))
+    pairs = {x.x: x.px for x in html_extraction.partners(pages).collect()}
+    for i, p in enumerate(paths):
+        assert host[pairs[i]] == host[i] and prefix(p, paths[pairs[i]]) == max(prefix(p, q) for j, q in enumerate(paths) if j != i and host[j] == host[i])
+
+
+def test_html_markup_does_not_overrule():
+    text = lambda h, partner=None: html_extraction.main_text(html_extraction.blocks(h), partner)
+    named = "<article><h2 id='related-work'>Related work</h2><section id='search-algorithms'><p>Search</p></section><div class='side-effects'>Effects</div><div class='related'>more</div></article>"
+    assert text(named) == ["Related work", "Search", "Effects"]
+    teaser = "<div>Menu</div><article>Teaser</article><div class='post-body'><p>The long story is here.</p></div>"
+    menu = html_extraction.line_hashes(html_extraction.blocks("<div>Menu</div><p>other</p>"))
+    assert text(teaser, menu) == ["Teaser", "The long story is here."]
+    assert text("<div>Menu</div><p>x</p>", html_extraction.line_hashes(html_extraction.blocks("<div>Menu</div><p>x</p>"))) == []
+    assert text("<p>" + "word " * 300_000 + "</p>") == [("word " * 300_000).strip()]
 
 
 def test_license_windows(spark):
