@@ -254,17 +254,20 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each component: the one with the smallest key.
+    """docs with one row of each component: the one with the smallest key (of rows with that key, one text's).
 
-    Rows without a key stay.  Of rows with the same key and text one stays.
+    Rows without a key stay, and so do rows without words; of rows with the same key and text one
+    stays.  Rows are told apart by key and text, so different texts under one key are judged each
+    for itself.  Other columns are kept as they are; an empty table gives no rows.
     """
-    links = cut(join(docs, key, text, words, percent).where(F.col(key).isNotNull()))
-    drop = links.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone")).distinct()
-    twice = links.groupBy(key).count().where("count > 1").select(F.col(key).alias("__twice"))
-    kept = docs.join(drop, docs[key].eqNullSafe(drop["__gone"]), "left_anti")
-    once = kept.join(twice, kept[key].eqNullSafe(twice["__twice"]), "left_anti")
-    again = kept.join(twice, kept[key].eqNullSafe(twice["__twice"]), "left_semi").dropDuplicates([key, text])
-    return once.unionByName(again)
+    name = F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("a"), F.xxhash64(text).alias("b")))
+    links = cut(join(docs.select(name.alias("__id"), F.col(text).alias("__t")), "__id", "__t", words, percent).where("__id is not null"))
+    drop = links.where("__id <> component_id").select(F.col("__id").alias("__gone")).distinct()
+    twice = links.groupBy("__id").count().where("count > 1").select(F.col("__id").alias("__twice"))
+    kept = docs.withColumn("__id", name).join(drop, F.col("__id") == F.col("__gone"), "left_anti")
+    once = kept.join(twice, F.col("__id") == F.col("__twice"), "left_anti")
+    again = kept.join(twice, F.col("__id") == F.col("__twice"), "left_semi").dropDuplicates(["__id"])
+    return once.unionByName(again).select(*docs.columns)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

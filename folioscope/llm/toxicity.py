@@ -275,13 +275,14 @@ def held_out(key) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Network | None:
     """A network from the labelled rows that are not held out; None without rows of both labels.
 
-    Of rows with a repeated key the labels' maximum counts; null keys and labels are left out.
+    Of rows with a repeated key the labels' maximum counts and the least text is read; null keys
+    and labels are left out.
     """
     source = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null").where(~held_out("k"))
     known = source.groupBy("k").agg(F.max("y").alias("y"))
     some = [known.where(c).orderBy(F.xxhash64("k"), "k").limit(TRAIN_DOCS) for c in ("y > 0", "y <= 0")]
     chosen = cut(some[0].union(some[1]))
-    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("t").alias("t")).select("k", "t", "y")
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "t"):
@@ -334,7 +335,9 @@ def score(docs: DataFrame, net: Network | None, key: str = "doc_id", text: str =
     """key, held_out, score, predicted: one row for each row of docs.
 
     A null or empty text has no windows and scores as the network's bias; without a network all
-    score 0.  Null and repeated keys are kept; held_out of a null key is false.
+    score 0.  Null and repeated keys and repeated rows are kept (equal texts score the same);
+    held_out of a null key is false; other columns are ignored, whatever their names; texts are
+    scored whole, however long; an empty table gives no rows.
     """
     source = docs.select(F.col(key).alias("k"), F.coalesce(held_out(key), F.lit(False)).alias("o"), F.col(text).alias("t"))
     shared = docs.sparkSession.sparkContext.broadcast(net)
@@ -349,7 +352,11 @@ def score(docs: DataFrame, net: Network | None, key: str = "doc_id", text: str =
 
 
 def drop_toxic(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
-    """docs without the rows predicted toxic.  All columns are kept as they are."""
+    """docs without the rows predicted toxic, each row judged by its text alone.
+
+    All columns are kept as they are, null keys and repeated rows too; without a network, or
+    from an empty table, all rows stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
