@@ -168,7 +168,10 @@ def contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: s
     """key, n_words, n_hit, n_items, items_sha256, contaminated: one row for each row of docs.
 
     A null or empty text has no words, no items and is clean.  Items with a null id or text have
-    no windows; an empty benchmark leaves all clean.  Null and repeated keys are kept.
+    no windows (a null id can't be told, so its text is not looked for); an empty benchmark leaves
+    all clean.  Null and repeated keys and repeated rows are kept; other columns are ignored,
+    whatever their names; texts are read whole, however long.  Shingles equally rare are taken in
+    the order of their hashes, which no result depends on; an empty table gives no rows.
     """
     windows = cut(windows_of(bench, item, item_text))
     source = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
@@ -192,6 +195,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: s
 
 #: Bits of the Bloom filter of the shuffled way: 16 MB whatever the benchmark's size.
 BLOOM_BITS = 1 << 27
+#: Bytes of the filter that are sent at once.
+PAGE = 1 << 16
 
 
 def _by_shuffle(source: DataFrame, windows: DataFrame, key: str) -> DataFrame:
@@ -221,10 +226,16 @@ def _by_shuffle(source: DataFrame, windows: DataFrame, key: str) -> DataFrame:
         spots = np.flatnonzero(flags)
         yield pa.RecordBatch.from_arrays([pa.array(spots), pa.array(flags[spots].astype(np.int64))], names=["spot", "bits"])
 
+    def page(table: pa.Table) -> pa.Table:
+        flags = np.zeros(PAGE, dtype=np.uint8)
+        flags[table.column("spot").to_numpy() % PAGE] = table.column("bits").to_numpy()
+        return pa.table([table.column("page")[:1], pa.array([flags.tobytes()], pa.binary())], names=["page", "data"])
+
+    # the filter's bytes come in pages: BLOOM_BITS / 8 bytes in all, however many windows there are
     cells = prefix.select("sig").mapInArrow(bits, "spot bigint, bits bigint").groupBy("spot").agg(F.bit_or("bits").alias("bits"))
     flags = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)
-    for part in cells.toLocalIterator(prefetchPartitions=True):
-        flags[part[0]] = part[1]
+    for at, data in cells.withColumn("page", F.expr(f"spot div {PAGE}")).groupBy("page").applyInArrow(page, "page bigint, data binary").collect():
+        flags[at * PAGE : (at + 1) * PAGE] = np.frombuffer(data, dtype=np.uint8)[: len(flags) - at * PAGE]
     shared = source.sparkSession.sparkContext.broadcast(flags)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -324,6 +324,33 @@ def test_html_markup_does_not_overrule():
     assert text("<p>" + "word " * 300_000 + "</p>") == [("word " * 300_000).strip()]
 
 
+def test_embedding_heavy_filters(spark, monkeypatch):
+    """Tiles of heavy filters, told to the tasks and joined, and vectors of two lengths."""
+    r = np.random.default_rng(7)
+    base = r.standard_normal((6, 12))
+    x = [*(base[i % 6] + 0.25 * r.standard_normal(12) for i in range(150)), *r.standard_normal((20, 8))]
+    df = spark.createDataFrame([(i, [float(v) for v in y]) for i, y in enumerate(x)], "vec_id long, embedding array<double>")
+    unit_ = [y / np.linalg.norm(y) for y in x]
+    near = [[i != j and len(a) == len(b) and float(a @ b) >= 0.9 for j, b in enumerate(unit_)] for i, a in enumerate(unit_)]
+    for tile, heavy in ((16, 100_000), (16, 0), (1024, 0)):
+        monkeypatch.setattr(embedding_dedup, "TILE", tile)
+        monkeypatch.setattr(embedding_dedup, "HEAVY", heavy)
+        got = {v.vec_id: v.n_links for v in embedding_dedup.links(df).collect()}
+        want = {i: sum(n) for i, n in enumerate(near)}
+        assert all(got[i] <= want[i] for i in want) and sum(got.values()) >= 0.98 * sum(want.values()) > 500
+
+
+def test_embedding_recall_does_not_fall():
+    """Pairs at exactly the threshold, with the codes of tables of any size."""
+    for n in (2_000, 1_000_000, 100_000_000):
+        codes = embedding_dedup.codes_needed(64, n, 0.9)
+        a, b = embedding_dedup.pairs_at(64, 0.9, 300, 99)
+        met = np.zeros(300, dtype=bool)
+        for seed in range(codes):
+            met |= embedding_dedup.meets(embedding_dedup.Code(64, n, seed), a, b)
+        assert met.mean() >= 0.97
+
+
 def test_license_windows(spark):
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\n1. x"
     isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
