@@ -206,22 +206,56 @@ def index_decision(checksum_: Column, open_job: Column, current_job: Column, cur
     return F.when(open_job.isNotNull(), "join").when(same, "reuse").otherwise("submit")
 
 
+class Automaton:
+    """Suffix automaton of a text: all its substrings in space linear in its length."""
+
+    def __init__(self, text: str) -> None:
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.size, self.end = [-1], [0], [-1]
+        last = 0
+        for i, ch in enumerate(text):
+            new = self._state({}, self.size[last] + 1, i)
+            p = last
+            while p >= 0 and ch not in self.next[p]:
+                self.next[p][ch] = new
+                p = self.link[p]
+            if p < 0:
+                self.link[new] = 0
+            else:
+                q = self.next[p][ch]
+                if self.size[q] > self.size[p] + 1:
+                    twin = self._state(dict(self.next[q]), self.size[p] + 1, self.end[q])
+                    self.link[twin], self.link[q] = self.link[q], twin
+                    while p >= 0 and self.next[p].get(ch) == q:
+                        self.next[p][ch] = twin
+                        p = self.link[p]
+                    q = twin
+                self.link[new] = q
+            last = new
+
+    def _state(self, following: dict[str, int], size: int, end: int) -> int:
+        self.next.append(following)
+        self.link.append(0)
+        self.size.append(size)
+        self.end.append(end)
+        return len(self.size) - 1
+
+    def longest_in(self, body: str) -> tuple[int, int]:
+        """Where in the text its longest substring that body holds first begins, and its length."""
+        state, size, best = 0, 0, (0, 0)
+        for ch in body:
+            while state and ch not in self.next[state]:
+                state = self.link[state]
+                size = self.size[state]
+            if ch in self.next[state]:
+                state, size = self.next[state][ch], size + 1
+                best = min(best, (-size, self.end[state] - size + 1))
+        return (best[1], -best[0]) if best[0] else (0, 0)
+
+
 def longest_common(span: str, body: str) -> tuple[int, int]:
-    """Start in span and length of the longest common substring, the first on ties.
-
-    Binary search over the length with a set of substrings: a common one of length k has one of
-    every shorter length.
-    """
-    low, high, start = 0, min(len(span), len(body)), 0
-    while low < high:
-        k = (low + high + 1) // 2
-        seen = {body[i : i + k] for i in range(len(body) - k + 1)}
-        at = next((i for i in range(len(span) - k + 1) if span[i : i + k] in seen), -1)
-        if at >= 0:
-            low, start = k, at
-        else:
-            high = k - 1
-    return (start, low) if low else (0, 0)
+    """Start in span and length of the longest common substring, the first on ties."""
+    return Automaton(span).longest_in(body)
 
 
 @F.pandas_udf(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("size", T.IntegerType())]))

@@ -71,12 +71,16 @@ def expand(queries: DataFrame, glossary: DataFrame, query_key: str, text: str) -
     match first), or the query itself without a match.
     """
     rows = queries.select(query_key, F.col(text).alias("__q"), tx.glossary_form(F.col(text)).alias("__n"))
-    met = rows.join(F.broadcast(glossary), tx.bounded(F.col("__n"), F.col("norm")), "inner").select(query_key, "__n", "group_no", "norm")
+    # a word begins with one of the query's characters or pairs of them: an equal join, then the exact test
+    starts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("__n"), F.lit(1))), lambda i: F.array(F.substr("__n", i, F.lit(1)), F.substr("__n", i, F.lit(2))))))
+    asked = rows.select(query_key, "__n", F.explode(starts).alias("__s"))
+    words_ = glossary.where("norm <> ''").select("group_no", "norm", F.substring("norm", 1, 2).alias("__s"))
+    met = asked.join(words_, "__s").where(tx.bounded(F.col("__n"), F.col("norm"))).select(query_key, "__n", "group_no", "norm")
     groups = met.select(query_key, "__n", "group_no").distinct()
-    more = groups.join(F.broadcast(glossary), "group_no").where(~tx.bounded(F.col("__n"), F.col("norm")))
+    more = groups.join(glossary, "group_no").where(~tx.bounded(F.col("__n"), F.col("norm")))
     words = more.groupBy(query_key).agg(F.transform(F.array_sort(F.collect_list(F.struct("group_no", "pos", "word"))), lambda x: x["word"]).alias("more"))
     first = glossary.where("pos = 0").select("group_no", F.col("word").alias("canonical"))
-    matches = met.join(F.broadcast(first), "group_no").groupBy(query_key).agg(F.collect_list(F.struct("norm", "canonical")).alias("hits"))
+    matches = met.join(first, "group_no").groupBy(query_key).agg(F.collect_list(F.struct("norm", "canonical")).alias("hits"))
     out = rows.join(words, query_key, "left").join(matches, query_key, "left")
     sentence = F.when(F.col("hits").isNull(), F.col("__q")).otherwise(_rewrite("__n", "hits"))
     return out.select(query_key, F.array_join(F.concat(F.array("__q"), F.coalesce("more", F.array().cast("array<string>"))), " ").alias("keyword_text"), sentence.alias("sentence"))
