@@ -20,13 +20,13 @@ from ..functions import text as tx
 _SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(pre|script|style|textarea)\b.*?(?:</\1\s*>|\Z)|(?m:^ {0,3}(`{3,}|~{3,})[^\n]*\n)(?s:.*?)(?:(?m:^ {0,3}\2[`~]*[ \t]*$)|\Z)|(`+)(?!`)[^\n]*?(?<!`)\3(?!`)", re.S | re.I)
 _TABLE = re.compile(r"<table\b[^>]*>|</table\s*>", re.I)
 _IMAGE = re.compile(r"!\[((?:[^\]\[\\\n]|\\.)*)\]\(\s*(<[^>\n]*>|[^\s()\n]+)(?:\s+(?:\"[^\"\n]*\"|'[^'\n]*'))?\s*\)|<img\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _ROW = re.compile(r"^[ \t]*(?:>[ \t]?)*[^\n]*\|[^\n]*$")
 _RULE = re.compile(r"^[ \t]*(?:>[ \t]?)*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 
 
 def attributes(tag: str) -> dict[str, str]:
-    """Attributes of a tag; the first of a name counts, references are decoded."""
+    """Attributes of a tag; the first of a name counts, references are decoded, one without a value is empty."""
     out: dict[str, str] = {}
     for name, a, b, c in _ATTR.findall(tag):
         out.setdefault(name.lower(), unescape(a or b or c))

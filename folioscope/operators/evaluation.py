@@ -40,6 +40,21 @@ def metrics(hits: DataFrame, cases: DataFrame, text: Column, n: int = 10) -> Dat
     return out.select("case_id", "rank", hit(1), hit(3), hit(5), at_n, F.coalesce(1 / F.col("rank"), F.lit(0.0)).alias("reciprocal_rank"), F.coalesce(F.col("covered") / F.length("span"), F.lit(0.0)).alias("coverage"))
 
 
+def evaluate(cases: DataFrame, hits: DataFrame, n: int = 10) -> DataFrame:
+    """case_id, base, expanded (metrics as structs) and outcome of each case of an evaluation run.
+
+    hits: the search's results of each case in all editions (case_id, rank, doc_id, name, chunks,
+    before, after: arrays of texts).  The base body is the hit's chunks, the expanded one has its
+    neighbours, too; a case is a hit if the expanded body of one of the first n holds the span.
+    """
+    out = cases.select("case_id")
+    first = hits.where(F.col("rank") <= n)
+    for kind, parts in (("base", ["chunks"]), ("expanded", ["before", "chunks", "after"])):
+        got = metrics(first, cases, body([F.col(p) for p in parts]), n)
+        out = out.join(got.select("case_id", F.struct(*[c for c in got.columns if c != "case_id"]).alias(kind)), "case_id", "left")
+    return out.withColumn("outcome", outcome_of(F.coalesce(F.col("expanded.hit_at_n"), F.lit(False)), F.lit(None)))
+
+
 def latest_records(records: DataFrame) -> DataFrame:
     """The newest record of each golden set; of equal times the larger record id."""
     newest = F.max_by(F.struct(*records.columns), F.struct("started_at", "record_id"))

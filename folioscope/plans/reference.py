@@ -236,6 +236,31 @@ def e04(spark, d):
     return ev.metrics(hits, cases, ev.body([F.array("text")])).drop("coverage").withColumns({"rank": F.coalesce("rank", F.lit(-1)), "reciprocal_rank": F.round("reciprocal_rank", 6)})
 
 
+@query(
+    "e06_evaluation_run",
+    rf"""WITH {KEYWORD}, {LINES_SQL}, tok AS (SELECT doc_id, pos, text, len({W.format('text')}) AS n FROM chunks),
+  used AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS used FROM tok WHERE pos > 0),
+  bodies AS (SELECT t.doc_id, regexp_replace(t.text, '\s', '', 'g') AS base,
+    regexp_replace(t.text || coalesce((SELECT string_agg(u.text, '' ORDER BY u.pos) FROM used u WHERE u.doc_id = t.doc_id AND u.used <= 80), ''), '\s', '', 'g') AS expanded FROM tok t WHERE pos = 0),
+  span AS (SELECT item_id, regexp_replace(text, '\s', '', 'g') AS span FROM benchmark),
+  r AS (SELECT item_id, min(CASE WHEN contains(base, span) THEN rank END) AS b, min(CASE WHEN contains(expanded, span) THEN rank END) AS x FROM krank JOIN span USING (item_id) JOIN bodies USING (doc_id) WHERE rank <= 10 GROUP BY 1)
+  SELECT item_id AS case_id, coalesce(b, -1) AS base_rank, coalesce(x, -1) AS expanded_rank, CASE WHEN x IS NULL THEN 'miss' ELSE 'hit' END AS outcome FROM span LEFT JOIN r USING (item_id)""",
+)
+def e06(spark, d):
+    """Benchmark texts as golden sets: keyword search, a hit's first line with its neighbours, and the outcome."""
+    found = _keyword(spark, d, 10).select(F.col("item_id").alias("case_id"), "rank", "doc_id")
+    chunks = lines(spark, d).select("doc_id", F.lit("1").alias("version"), F.lit(True).alias("active"), F.lit("text").alias("kind"), F.col("pos").alias("order"), F.lit(None).cast("int").alias("split_index"), F.col("pos").cast("string").alias("chunk_key"), F.struct("pos", "text").alias("chunk_id"), F.size(tx.terms(F.col("text"))).alias("tokens"), F.array().cast("array<string>").alias("placeholder_ids"))
+    asked = found.select("doc_id").distinct().join(chunks.where("order = 0"), "doc_id")
+    hits = asked.select(F.col("doc_id").alias("hit_id"), "doc_id", "version", F.array("chunk_id").alias("members"), F.lit(None).cast("int").alias("asset_order"), "placeholder_ids")
+    near = rt.neighbours(hits, chunks.join(found.select("doc_id").distinct(), "doc_id", "left_semi"), 80)
+    texts = lambda c: F.transform(c, lambda x: x["text"]).alias(c)
+    seen = near.select(F.col("hit_id").alias("doc_id"), texts("before"), texts("after")).join(asked.select("doc_id", F.array("chunk_id.text").alias("chunks")), "doc_id")
+    cases = table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.lit(False).alias("edition_only"), F.lit(0).alias("doc_id"), F.lit("any").alias("name"), F.col("text").alias("answer_span"))
+    got = ev.evaluate(cases, found.join(seen, "doc_id").withColumn("name", F.lit("any")))
+    place = lambda kind: F.coalesce(F.col(f"{kind}.rank"), F.lit(-1)).alias(f"{kind}_rank")
+    return got.select("case_id", place("base"), place("expanded"), "outcome")
+
+
 @query("e05_coverage")
 def e05(spark, d):
     hits = _keyword(spark, d, 3).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select(F.col("item_id").alias("case_id"), "rank", "doc_id", "text", F.lit("any").alias("name"))

@@ -417,3 +417,16 @@ def test_edition_counts(spark):
     assert got == {1: (1, 1), 2: (1, 1), 3: (2, 1), 4: (0, 4), 5: (0, None)}
     pairs = cat.same_edition(df, df).groupBy("other_id").count().collect()
     assert {r.other_id: r["count"] for r in pairs} == {1: 1, 2: 1, 3: 2}
+
+
+def test_attributes():
+    got = assets.attributes("src=a.png alt='x > \"y\"' hidden ALT=z data-q=\"1 &amp; 2\" src=\"b.png\" / checked")
+    assert got == {"src": "a.png", "alt": 'x > "y"', "hidden": "", "data-q": "1 & 2", "checked": ""}
+
+
+def test_evaluate(spark):
+    cases = spark.createDataFrame([(1, False, "d", "n", "A B"), (2, False, "d", "n", "C"), (3, True, "e", "n", "A")], "case_id int, edition_only boolean, doc_id string, name string, answer_span string")
+    hits = spark.createDataFrame([(1, 1, "d", "n", ["xA"], [], ["By"]), (2, 11, "d", "n", ["C"], [], []), (3, 1, "d", "n", ["A"], [], []), (3, 2, "e", "n", ["A"], [], [])], "case_id int, rank int, doc_id string, name string, chunks array<string>, before array<string>, after array<string>")
+    got = {r.case_id: r for r in ev.evaluate(cases, hits).collect()}
+    assert [got[i].outcome for i in (1, 2, 3)] == ["hit", "miss", "hit"]
+    assert got[1].base["rank"] is None and got[1].expanded["rank"] == 1 and got[3].expanded["rank"] == 2 and not got[3].base.hit_at_1
