@@ -6,6 +6,7 @@ Placeholders: `[[<namespace>:<table|image>:<id> | <description>]]`.
 from __future__ import annotations
 
 import unicodedata
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import Column
@@ -206,6 +207,13 @@ def index_decision(checksum_: Column, open_job: Column, current_job: Column, cur
     return F.when(open_job.isNotNull(), "join").when(same, "reuse").otherwise("submit")
 
 
+@F.pandas_udf(T.LongType())
+def term_number(term: pd.Series) -> pd.Series:
+    """A term's 32-bit number, for stores that know terms by number: different terms may share one."""
+    known = {t: int.from_bytes(blake2b(t.encode("utf-8"), digest_size=4).digest(), "big") for t in term.dropna().unique()}
+    return term.map(known).astype("Int64")
+
+
 class Automaton:
     """Suffix automaton of a text: all its substrings in space linear in its length."""
 

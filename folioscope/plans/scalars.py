@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import nested
 from ..functions import text as tx
 from ..operators import assets as at
 from ..operators import catalog as cat
@@ -167,3 +168,26 @@ def c15(spark, d):
     md = table(spark, d, "documents").select("doc_id", F.concat(F.lit("| a | b |\n| - | - |\n| 1 | 2 |\n\n![alt](a/"), F.col("doc_id").cast("string"), F.lit(".png)\n\n"), F.coalesce("text", F.lit(""))).alias("text"))
     made = at.extract_assets(md, "doc_id", "text")
     return made.select("doc_id", F.size("assets").alias("n"), F.element_at("assets", -1)["path"].alias("path"))
+
+
+@query("x28_redacted", "SELECT event_id, '[redacted]' AS user_id, '[redacted]' AS token, value, '[redacted]' AS in_map, event_type AS kept FROM events")
+def x28(spark, d):
+    """Events with a nested record and a map, without the names that logs must not hold."""
+    e = table(spark, d, "events")
+    rows = e.select("event_id", c("user_id").alias("User_Id"), F.array(F.struct(c("props").alias("token"), "value")).alias("items"), F.create_map(F.lit("token"), c("props"), F.lit("kind"), c("event_type")).alias("m"))
+    out = nested.without_secrets(rows, ["token", "user_id"])
+    return out.select("event_id", c("User_Id").alias("user_id"), F.get("items", F.lit(0))["token"].alias("token"), F.get("items", F.lit(0))["value"].alias("value"), c("m")["token"].alias("in_map"), c("m")["kind"].alias("kept"))
+
+
+@query("p08_payload_round_trip", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def p08(spark, d):
+    """Records as payloads and back."""
+    rows = table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return nested.from_payload(nested.to_payload(rows, "doc_id"), "doc_id", rows.schema)
+
+
+@query("k04_term_numbers")
+def k04(spark, d):
+    """Term frequencies by 32-bit number, where terms that share one are counted together; tested against hashlib."""
+    terms = table(spark, d, "documents").select("doc_id", F.explode(tx.terms(c("text"))).alias("term"))
+    return terms.groupBy("doc_id", "term").count().groupBy("doc_id", tx.term_number("term").alias("number")).agg(F.sum("count").alias("tf"))

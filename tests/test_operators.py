@@ -430,3 +430,29 @@ def test_evaluate(spark):
     got = {r.case_id: r for r in ev.evaluate(cases, hits).collect()}
     assert [got[i].outcome for i in (1, 2, 3)] == ["hit", "miss", "hit"]
     assert got[1].base["rank"] is None and got[1].expanded["rank"] == 1 and got[3].expanded["rank"] == 2 and not got[3].base.hit_at_1
+
+
+def test_redaction_and_payloads(spark):
+    from pyspark.sql import functions as F
+
+    from folioscope.functions import nested
+
+    rows = spark.range(2).select(
+        F.col("id"),
+        F.when(F.col("id") == 0, F.struct(F.lit("s").alias("Password"), F.array(F.struct(F.lit(1).alias("token"), F.lit(2).alias("n"))).alias("xs"))).alias("a"),
+        F.create_map(F.lit("token"), F.lit("t"), F.lit("k"), F.lit("v")).alias("m"),
+    )
+    got = nested.without_secrets(rows, ["password", "TOKEN"]).orderBy("id").collect()
+    assert got[0].a.asDict(True) == {"Password": "[redacted]", "xs": [{"token": "[redacted]", "n": 2}]}
+    assert got[1].a is None and got[0].m == {"token": "[redacted]", "k": "v"}
+    flat = spark.createDataFrame([(1, None, 'a\\"b\n', [1.5, None]), (None, "x", "", [])], "doc_id int, edition string, text string, v array<double>")
+    back = nested.from_payload(nested.to_payload(flat, "doc_id"), "doc_id", flat.schema)
+    assert back.schema == flat.schema and sorted(map(str, back.collect())) == sorted(map(str, flat.collect()))
+
+
+def test_term_numbers(spark):
+    from hashlib import blake2b
+
+    df = spark.createDataFrame([("인증",), ("api",), (None,), ("api",)], "t string")
+    want = [int.from_bytes(blake2b(t.encode(), digest_size=4).digest(), "big") if t else None for t in ("인증", "api", None, "api")]
+    assert [r.n for r in df.select(tx.term_number("t").alias("n")).collect()] == want
