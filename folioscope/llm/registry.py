@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["lm_scoring", "bpe", "html_extraction", "decontamination", "license_scan", "url_filter", "pii", "embedding_dedup", "jaccard_join", "toxicity", "sentence_pieces", "ranked_search"]
+MODULES = ["lm_scoring", "bpe", "html_extraction", "decontamination", "license_scan", "url_filter", "pii", "embedding_dedup", "jaccard_join", "toxicity", "sentence_pieces", "ranked_search", "schema_rewrite"]
 
 
 def queries() -> dict:
