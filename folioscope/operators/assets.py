@@ -1,14 +1,15 @@
 """Tables and images of Markdown documents: extraction to placeholders, restoration, hints.
 
-Extraction reads a documented subset of Markdown in one pass over the lines: pipe tables with a
-delimiter row, `<table>` elements, inline images and `<img>` tags, outside code and comments.
+Extraction takes the blocks of `markdown`: pipe tables, `<table>` elements of HTML blocks, images in
+any of the three notations and `<img>` tags, outside code and comments, in time linear in the text.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from html import unescape
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,125 +17,204 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from . import markdown as md
 
-_SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(pre|script|style|textarea)\b.*?(?:</\1\s*>|\Z)|(?m:^ {0,3}(`{3,}|~{3,})[^\n]*\n)(?s:.*?)(?:(?m:^ {0,3}\2[`~]*[ \t]*$)|\Z)|(`+)(?!`)[^\n]*?(?<!`)\3(?!`)", re.S | re.I)
-_TABLE = re.compile(r"<table\b[^>]*>|</table\s*>", re.I)
-_IMAGE = re.compile(r"!\[((?:[^\]\[\\\n]|\\.)*)\]\(\s*(<[^>\n]*>|[^\s()\n]+)(?:\s+(?:\"[^\"\n]*\"|'[^'\n]*'))?\s*\)|<img\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
-_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-_ROW = re.compile(r"^[ \t]*(?:>[ \t]?)*[^\n]*\|[^\n]*$")
-_RULE = re.compile(r"^[ \t]*(?:>[ \t]?)*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
+#: What stands for a table or an image without a description (fixed values).
+NAMELESS = {"table": "표", "image": "이미지"}
+_FENCE_LINE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)$")
+_CELL = re.compile(r"<t[hd]\b[^>]*>(.*?)</t[hd]>", re.S | re.I)
+_CELL_END = re.compile(r"</t[hd]>", re.I)
 
 
 def attributes(tag: str) -> dict[str, str]:
     """Attributes of a tag; the first of a name counts, references are decoded, one without a value is empty."""
-    out: dict[str, str] = {}
-    for name, a, b, c in _ATTR.findall(tag):
-        out.setdefault(name.lower(), unescape(a or b or c))
+    return {name: md.decoded(tag[a:b]) for name, (a, b) in md.attribute_spans(tag).items()}
+
+
+@dataclass
+class _Spot:
+    """A table or an image in the source; images of its cells are known beforehand for pipe tables."""
+
+    kind: str
+    start: int
+    end: int
+    image: md.Found | None = None
+    path: tuple[int, int] | None = None
+    header: str | None = None
+    inner: list[_Spot] = field(default_factory=list)
+
+
+def _image(one: md.Found, place: Callable[[int], int], place_end: Callable[[int], int]) -> _Spot:
+    path = None if one.path_start is None else (place(one.path_start), place_end(one.path_end))
+    return _Spot("image", place(one.start), place_end(one.end), one, path)
+
+
+def _may_hold_image(text: str) -> bool:
+    return "![" in text or "<img" in text or "<" in text and "<img" in text.lower()
+
+
+def _spots(text: str) -> list[_Spot]:
+    """Tables and images of all leaves; they may overlap."""
+    blocks = md.Blocks(text)
+    out, open_tables = [], []
+    for leaf in blocks.leaves:
+        if leaf.kind == "html":
+            for name, closing, a, b in md.elements(text, leaf.start, leaf.end):
+                if name == "img":
+                    if one := md.element_image(text, a, b):
+                        out.append(_image(one, int, int))
+                elif not closing:
+                    out.append(_Spot("table", a, leaf.end))
+                    open_tables.append(out[-1])
+                elif open_tables:
+                    open_tables.pop().end = b
+        elif leaf.kind == "text":
+            joined = md.Joined(text, leaf.lines)
+            if _may_hold_image(joined.text):
+                out += [_image(x, joined.source, joined.source_end) for x in md.images(joined.text, blocks.links)]
+        else:
+            out.append(_pipe_table(text, leaf, blocks.links))
     return out
 
 
-def _cells(row: str) -> list[str]:
-    row = re.sub(r"^[ \t]*(?:>[ \t]?)*\|?|\|?[ \t]*$", "", row)
-    return [c.replace("\\|", "|").strip() for c in re.split(r"(?<!\\)\|", row)]
+def _pipe_table(text: str, leaf: md.Leaf, links: dict[str, str]) -> _Spot:
+    table = _Spot("table", leaf.start, leaf.end, header="")
+    heads = []
+    for r, (a, b) in enumerate(leaf.lines):
+        if r == 1 or r and not _may_hold_image(text[a:b]):
+            continue
+        for cell in md.cells(text, a, b)[: leaf.columns]:
+            joined = md.Joined(text, cell, "")
+            if not r and joined.text:
+                heads.append(joined.text)
+            if _may_hold_image(joined.text):
+                table.inner += [_image(x, joined.source, joined.source_end) for x in md.images(joined.text, links)]
+    table.header = ", ".join(heads)
+    return table
+
+
+def _without_fences(cell: str) -> str:
+    """The lines of a cell but for those that open or close a code block; the first line is never one."""
+    first, *rest = cell.split("\n")
+    out, fence = [first], ""
+    for line in rest:
+        m = _FENCE_LINE.match(line)
+        if m and fence and m[1].startswith(fence) and not m[2].strip():
+            fence = ""
+        elif m and not fence and not (m[1][0] == "`" and "`" in m[2]):
+            fence = m[1]
+        else:
+            out.append(line)
+    return "\n".join(out)
+
+
+def _without_tags(text: str) -> str:
+    last = text.rfind(">") + 1
+    return re.sub(r"<[^>]*>", "", text[:last]) + text[last:]
+
+
+def html_header(table: str) -> str:
+    """The cells of the first row of an HTML table, without tags, joined by commas."""
+    low = table.lower()
+    row = re.search(r"<tr\b[^>]*>", low)
+    end = low.find("</tr>", row.end()) if row else -1
+    if end < 0:
+        return ""
+    inner = table[row.end() : end]
+    last = max((m.end() for m in _CELL_END.finditer(inner)), default=0)
+    found = (_without_tags(_without_fences(m[1])).strip() for m in _CELL.finditer(inner[:last]))
+    return ", ".join(x for x in found if x)
+
+
+def _placed(spots: list[_Spot]) -> list[_Spot]:
+    """Tables and images outside tables, in order and apart; images in a table are its inner ones.
+
+    Of tables that overlap the outer one stays.  An image that reaches into a table from before it,
+    or over its end, is dropped, and so is one that overlaps an image before it.
+    """
+    spots = sorted(spots, key=lambda s: (s.start, -s.end))
+    tables: list[_Spot] = []
+    for s in spots:
+        if s.kind == "table":
+            if tables and s.start < tables[-1].end:
+                tables[-1].inner += s.inner
+            else:
+                tables.append(s)
+    starts, free, reached = [t.start for t in tables], [], -1
+    for s in spots:
+        if s.kind == "table":
+            continue
+        k = bisect_right(starts, s.start)
+        if k and s.start < tables[k - 1].end:
+            if s.end <= tables[k - 1].end:
+                tables[k - 1].inner.append(s)
+        elif not (k < len(tables) and s.end > starts[k]) and s.start >= reached:
+            free.append(s)
+            reached = s.end
+    for t in tables:
+        t.inner.sort(key=lambda s: s.start)
+    return sorted([*tables, *free], key=lambda s: s.start)
 
 
 def extract(text: str, namespace: str = tx.NAMESPACE) -> tuple[str, list[dict]]:
-    """Text with placeholders, and the assets in order: id, kind, markdown, path, alt, header, table_id."""
-    masked = _SKIP.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-    spans: list[tuple[int, int, str]] = []
-    depth, start = 0, 0
-    for m in _TABLE.finditer(masked):
-        if m[0][1] != "/":
-            depth, start = depth + 1, start if depth else m.start()
-        elif depth:
-            depth -= 1
-            if not depth:
-                spans.append((start, m.end(), "table"))
-    inside = 0
-    at, rows = 0, masked.split("\n")
-    i = 0
-    offsets = []
-    for r in rows:
-        offsets.append(at)
-        at += len(r) + 1
-    html = list(spans)
-    while i + 1 < len(rows):
-        while inside < len(html) and html[inside][1] <= offsets[i]:
-            inside += 1
-        free = not (inside < len(html) and html[inside][0] <= offsets[i])
-        if free and _ROW.match(rows[i]) and "|" in rows[i + 1] and _RULE.match(rows[i + 1]) and len(_cells(rows[i])) == len(_cells(rows[i + 1])):
-            j = i + 2
-            while j < len(rows) and rows[j].strip() and _ROW.match(rows[j]):
-                j += 1
-            spans.append((offsets[i], offsets[j - 1] + len(rows[j - 1]), "table"))
-            i = j
-        else:
-            i += 1
-    spans.sort()
+    """Text with placeholders, and the assets in order: id, kind, markdown, path, alt, header, table_id, places.
+
+    start and end are places in the text, path_start and path_end those of an image's path in the
+    source of its table (None outside tables, for references and for paths that stand elsewhere).
+    The images of a table follow it.
+    """
     assets: list[dict] = []
-    out, last, n_table, n_image, k = [], 0, 0, 0, 0
-    pending = [(m.start(), m.end(), m) for m in _IMAGE.finditer(masked)]
-    events = sorted([(a, b, "table", None) for a, b, _ in spans] + [(a, b, "image", m) for a, b, m in pending], key=lambda e: (e[0], e[2] != "table"))
-    table_end, table_id = -1, None
-
-    def image(m: re.Match, table: str | None) -> dict:
-        if m[3] is not None:
-            attr = attributes(text[m.start(3) : m.end(3)])
-            return {"path": attr.get("src", ""), "alt": attr.get("alt", ""), "kind": "image", "table_id": table}
-        return {"path": m[2].strip("<>"), "alt": m[1], "kind": "image", "table_id": table}
-
-    for a, b, kind, m in events:
-        if a < last and a >= table_end:
-            continue
-        if kind == "image" and a < table_end:
-            n_image += 1
-            assets.append(image(m, table_id) | {"id": f"i{n_image}", "markdown": text[a:b], "header": ""})
-            continue
-        if a < last:
-            continue
-        out.append(tx_guard(text[last:a], namespace))
-        if kind == "table":
-            n_table += 1
-            table_id, table_end = f"t{n_table}", b
-            body = text[a:b]
-            if body.lstrip().lower().startswith("<table"):
-                row = re.search(r"<tr\b.*?(?:</tr\s*>|\Z)", body, re.S | re.I)
-                header = [re.sub(r"<[^>]*>", "", c).strip() for c in re.findall(r"<t[hd]\b[^>]*>(.*?)(?=<t[hd]\b|</t[hdr]|\Z)", row[0] if row else "", re.S | re.I)]
-            else:
-                header = _cells(body.split("\n")[0])
-            label = ", ".join(h for h in header if h) or "table"
-            assets.append({"id": table_id, "kind": "table", "markdown": body, "path": None, "alt": None, "header": label, "table_id": None})
-            out.append(f"[[{namespace}:table:{table_id} | {_clean(label)}]]")
+    numbers = {"table": 0, "image": 0}
+    out, last = [], 0
+
+    def add(spot: _Spot, table: dict | None) -> dict:
+        numbers[spot.kind] += 1
+        one = {"id": f"{spot.kind[0]}{numbers[spot.kind]}", "kind": spot.kind, "markdown": text[spot.start : spot.end], "path": None, "alt": None, "table_id": table and table["id"]}
+        one |= {"start": spot.start, "end": spot.end, "path_start": None, "path_end": None}
+        if spot.kind == "table":
+            label = html_header(one["markdown"]) if spot.header is None else spot.header
         else:
-            n_image += 1
-            one = image(m, None)
-            assets.append(one | {"id": f"i{n_image}", "markdown": text[a:b], "header": ""})
-            out.append(f"[[{namespace}:image:i{n_image} | {_clean(one['alt'] or 'image')}]]")
-        last = b
-        k += 1
+            alt = spot.image.alt if (spot.image.alt or "").strip() else None
+            one |= {"path": spot.image.path, "alt": alt}
+            label = alt or re.split(r"[/\\]", re.split("[?#]", spot.image.path)[0])[-1]
+            if table and spot.path and table["start"] <= spot.path[0] <= spot.path[1] <= table["end"]:
+                one |= {"path_start": spot.path[0] - table["start"], "path_end": spot.path[1] - table["start"]}
+        one["header"] = _clean(label, NAMELESS[spot.kind])
+        assets.append(one)
+        return one
+
+    for spot in _placed(_spots(text)):
+        one = add(spot, None)
+        out += [tx_guard(text[last : spot.start], namespace), f"[[{namespace}:{spot.kind}:{one['id']} | {one['header']}]]"]
+        last = spot.end
+        for inner in spot.inner:
+            add(inner, one)
     out.append(tx_guard(text[last:], namespace))
     return "".join(out), assets
 
 
-def _clean(label: str) -> str:
+def _clean(label: str, fallback: str) -> str:
     label = re.sub(r"\s+", " ", label.replace("]]", " ")).strip().rstrip("] ")
-    return label if re.search(r"[^\W_]", label) else "asset"
+    return label if re.search(r"[^\W_]", label) else fallback
 
 
 def tx_guard(text: str, namespace: str) -> str:
     return re.sub(rf"\[(​*)\[{namespace}:", "[​\\1[" + namespace + ":", text)
 
 
-ASSET = "placeholder_id string, kind string, markdown string, path string, alt string, header string, table_id string"
+ASSET = "placeholder_id string, kind string, markdown string, path string, alt string, header string, table_id string, start int, end int, path_start int, path_end int"
 
 
 def extract_assets(docs: DataFrame, key: str, text: str, namespace: str = tx.NAMESPACE) -> DataFrame:
-    """key, indexing_markdown, assets of each document; a null text has null Markdown and no assets."""
-    source = docs.select(F.col(key).alias("k"), tx.normal_lines(F.col(text)).alias("t"))
+    """key, indexing_markdown, assets of each document; a null text has null Markdown and no assets.
+
+    Line ends stay as they are.
+    """
+    source = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     asset = T.StructType.fromDDL(ASSET)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([(f.name, pa.string()) for f in asset.fields]))
+        kind = pa.list_(pa.struct([(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.int32()) for f in asset.fields]))
         for batch in batches:
             got = [extract(t, namespace) if t is not None else (None, []) for t in batch.column(1).to_pylist()]
             rows = [[{("placeholder_id" if k == "id" else k): v for k, v in a.items()} for a in g[1]] for g in got]
