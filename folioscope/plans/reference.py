@@ -10,6 +10,8 @@ from ..operators import catalog as cat
 from ..operators import evaluation as ev
 from ..operators import retrieval as rt
 from ..operators import versions as vs
+from ..operators.keyword_index import KeywordIndex
+from ..sources.log import work_folder
 from ..sources.store import spread
 from ..streaming import events as st
 from .base import query
@@ -39,6 +41,15 @@ def k06(spark, d):
     return _keyword(spark, d).withColumn("score", F.round("score", 6))
 
 
+@query("k06_indexed_search")
+def k06_indexed(spark, d):
+    """The same hits from a persisted index that is built for it; tested against k06_keyword_search."""
+    index = KeywordIndex(spark, work_folder(spark, "keyword-index"), "doc_id")
+    texts = table(spark, d, "documents")
+    index.build(spread(texts.select("doc_id", "text")), "text")
+    return index.search(table(spark, d, "benchmark"), "item_id", "text", 30, total=rt.searchable_count(texts, "text")).withColumn("score", F.round("score", 6))
+
+
 VEC = "q AS (SELECT vec_id AS q_id, embedding AS qe FROM embeddings WHERE vec_id % 20 = 0)"
 DENSE = f"""{VEC}, dscore AS (SELECT q_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[])) AS score FROM embeddings, q),
   drank AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM dscore) WHERE rank <= 30)"""

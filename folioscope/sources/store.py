@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .log import Conflict, Folder
 
 TEXT, IMAGES = ("md",), ("png", "jpg", "jpeg", "gif", "svg", "webp")
 
@@ -22,30 +23,34 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 class Store:
-    """A table as versioned folders; a pointer file names the current one, so readers see one whole version."""
+    """A table as versioned folders; numbered pointer files name them, so readers see one whole version."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._folder = Folder(spark, path)
 
-    def _current(self) -> str | None:
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))) if self._fs.exists(self._path(self.path)) else []
-        marks = [n for n in names if n.startswith("current-")]
-        return marks[-1].split("-", 2)[2] if marks else None
+    def version(self) -> int:
+        """The current version; 0 before the first."""
+        return max((int(n.split("-")[1]) for n in self._folder.names() if n.startswith("current-")), default=0)
 
-    def read(self) -> DataFrame | None:
-        name = self._current()
-        return self.spark.read.parquet(f"{self.path}/data-{name}") if name else None
+    def read(self, version: int | None = None) -> DataFrame | None:
+        version = self.version() if version is None else version
+        return self.spark.read.parquet(f"{self.path}/data-{self._folder.text(f'current-{version:010d}')}") if version else None
 
-    def publish(self, table: DataFrame, *partition: str) -> None:
-        """Writes a new version, then moves the pointer; the old version stays readable for running queries."""
+    def publish(self, table: DataFrame, *partition: str, after: int | None = None) -> int:
+        """Writes a new version, then its pointer; old versions stay readable for running queries.
+
+        after: the version that the table was made from; Conflict if another one followed it.
+        """
         name = uuid4().hex
         writer = table.write.partitionBy(*partition) if partition else table.write
         writer.parquet(f"{self.path}/data-{name}")
-        number = len([s for s in self._fs.listStatus(self._path(self.path)) if s.getPath().getName().startswith("current-")])
-        self._fs.create(self._path(f"{self.path}/current-{number:010d}-{name}"), False).close()
+        number = (self.version() if after is None else after) + 1
+        while not self._folder.create(f"current-{number:010d}", name):
+            if after is not None:
+                raise Conflict(f"version {number} is another writer's")
+            number += 1
+        return number
 
     def active(self, doc_id: str) -> DataFrame:
         return self.read().where(F.col("active") & (F.col("doc_id") == doc_id))
