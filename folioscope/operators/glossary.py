@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
+from collections.abc import Iterator
 from pathlib import Path
 
-import pandas as pd
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import text as tx
+#: Bytes of a glossary that may go to all executors.
+GLOSSARY_BYTES = 16 << 20
 
 
 def normal(word: str) -> str:
@@ -63,45 +67,93 @@ class Glossary:
         return spark.createDataFrame(self.rows, "group_no int, pos int, word string, norm string")
 
 
+class Automaton:
+    """All words of a glossary as one automaton over normal forms, and what each match stands for."""
+
+    def __init__(self, rows: list[tuple[int, int, str, str]]) -> None:
+        """rows: (group, position, word, normal form)."""
+        self.groups: dict[int, list[tuple[int, str, str]]] = {}
+        for group, pos, word, norm in rows:
+            self.groups.setdefault(group, []).append((pos, word, norm))
+        self.trie, of = ahocorasick.Automaton(), {}
+        for group, words in self.groups.items():
+            words.sort()
+            for _, _, norm in words:
+                if norm:
+                    of.setdefault(norm, []).append(group)
+        for norm, groups in of.items():
+            self.trie.add_word(norm, (len(norm), norm, sorted(groups), _inner(norm[0]), _inner(norm[-1])))
+        if of:
+            self.trie.make_automaton()
+        self.any = bool(of)
+
+    def matches(self, text: str) -> list[tuple[int, int, str, list[int]]]:
+        """(start, end, normal form, groups) of all words in a normal form of a text, overlapping ones too.
+
+        A word that begins or ends with an ASCII letter or digit doesn't match inside a longer run of them.
+        """
+        out = []
+        for last, (size, norm, groups, inner_left, inner_right) in self.trie.iter(text) if self.any else ():
+            a, b = last + 1 - size, last + 1
+            if not (inner_left and a and _inner(text[a - 1])) and not (inner_right and b < len(text) and _inner(text[b])):
+                out.append((a, b, norm, groups))
+        return out
+
+    def expanded(self, query: str) -> tuple[str, str]:
+        """keyword text and sentence of a query."""
+        text = normal(query)
+        found = self.matches(text)
+        if not found:
+            return query, query
+        held = {norm for _, _, norm, _ in found}
+        more = [word for group in sorted({g for *_, groups in found for g in groups}) for _, word, norm in self.groups[group] if norm not in held]
+        first = {g: next((w for p, w, _ in self.groups[g] if p == 0), None) for *_, groups in found for g in groups}
+        spans = [(a, b, first[g]) for a, b, _, groups in found for g in groups if first[g] is not None]
+        return " ".join([query, *more]), replaced(text, spans)
+
+
+def _inner(char: str) -> bool:
+    return char.isascii() and char.isalnum()
+
+
+def replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with spans replaced: the longest first, then earlier ones; none that overlaps one taken before."""
+    starts: list[int] = []
+    taken: list[tuple[int, int, str]] = []
+    for a, b, word in sorted(spans, key=lambda s: (s[0] - s[1], s[0])):
+        k = bisect_left(starts, a)
+        if (not k or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0]):
+            starts.insert(k, a)
+            taken.insert(k, (a, b, word))
+    out, at = [], 0
+    for a, b, word in taken:
+        out += [text[at:a], word]
+        at = b
+    return "".join([*out, text[at:]])
+
+
 def expand(queries: DataFrame, glossary: DataFrame, query_key: str, text: str) -> DataFrame:
     """query_key, keyword_text, sentence.
 
     keyword_text: the query and all words of the groups it touches that it doesn't hold itself;
     sentence: the normalised query with each match replaced by its group's first word (longest
-    match first), or the query itself without a match.
-    """
-    rows = queries.select(query_key, F.col(text).alias("__q"), tx.glossary_form(F.col(text)).alias("__n"))
-    # a word begins with one of the query's characters or pairs of them: an equal join, then the exact test
-    starts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("__n"), F.lit(1))), lambda i: F.array(F.substr("__n", i, F.lit(1)), F.substr("__n", i, F.lit(2))))))
-    asked = rows.select(query_key, "__n", F.explode(starts).alias("__s"))
-    words_ = glossary.where("norm <> ''").select("group_no", "norm", F.substring("norm", 1, 2).alias("__s"))
-    met = asked.join(words_, "__s").where(tx.bounded(F.col("__n"), F.col("norm"))).select(query_key, "__n", "group_no", "norm")
-    groups = met.select(query_key, "__n", "group_no").distinct()
-    more = groups.join(glossary, "group_no").where(~tx.bounded(F.col("__n"), F.col("norm")))
-    words = more.groupBy(query_key).agg(F.transform(F.array_sort(F.collect_list(F.struct("group_no", "pos", "word"))), lambda x: x["word"]).alias("more"))
-    first = glossary.where("pos = 0").select("group_no", F.col("word").alias("canonical"))
-    matches = met.join(first, "group_no").groupBy(query_key).agg(F.collect_list(F.struct("norm", "canonical")).alias("hits"))
-    out = rows.join(words, query_key, "left").join(matches, query_key, "left")
-    sentence = F.when(F.col("hits").isNull(), F.col("__q")).otherwise(_rewrite("__n", "hits"))
-    return out.select(query_key, F.array_join(F.concat(F.array("__q"), F.coalesce("more", F.array().cast("array<string>"))), " ").alias("keyword_text"), sentence.alias("sentence"))
-
-
-def rewritten(query: str, hits: list[tuple[str, str]]) -> str:
-    """Longest words first, then earlier places; matches don't overlap."""
-    found = []
-    for norm, canonical in hits:
-        left = r"(?<![A-Za-z0-9])" if re.match("[A-Za-z0-9]", norm) else ""
-        right = r"(?![A-Za-z0-9])" if re.search("[A-Za-z0-9]$", norm) else ""
-        found += [(m.start(), m.start() + len(norm), canonical) for m in re.finditer(f"(?={left}{re.escape(norm)}{right})", query)]
-    taken: list[tuple[int, int, str]] = []
-    for a, b, c in sorted(found, key=lambda f: (f[0] - f[1], f[0])):
-        if all(b <= x or a >= y for x, y, _ in taken):
-            taken.append((a, b, c))
-    for a, b, c in sorted(taken, reverse=True):
-        query = query[:a] + c + query[b:]
-    return query
-
+    match first), or the query itself without a match.  A null query stays null.
 
-@F.pandas_udf(T.StringType())
-def _rewrite(q: pd.Series, hits: pd.Series) -> pd.Series:
-    return pd.Series([rewritten(a, [(h["norm"], h["canonical"]) for h in b]) if b is not None else a for a, b in zip(q, hits, strict=True)])
+    The glossary goes to the executors as one automaton, by which each query is read once; a
+    glossary above `GLOSSARY_BYTES` is refused, since its size comes from a file that people write.
+    """
+    words = glossary.select("group_no", "pos", "word", "norm")
+    size = words.agg(F.coalesce(F.sum(F.octet_length("word") + F.octet_length("norm")), F.lit(0)).alias("n")).first().n
+    if size > GLOSSARY_BYTES:
+        raise ValueError(f"a glossary of {size} bytes")
+    shared = queries.sparkSession.sparkContext.broadcast([tuple(r) for r in words.collect()])
+    source = queries.select(F.col(query_key).alias("k"), F.col(text).alias("t"))
+    schema = T.StructType([T.StructField(query_key, source.schema["k"].dataType), T.StructField("keyword_text", T.StringType()), T.StructField("sentence", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(shared.value)
+        for batch in batches:
+            got = [(None, None) if t is None else automaton.expanded(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[i] for g in got], pa.string()) for i in (0, 1))], names=schema.names)
+
+    return source.mapInArrow(run, schema)
