@@ -6,9 +6,12 @@ from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.log import work_folder
+
 KST = timezone(timedelta(hours=9))
 
 
@@ -29,6 +32,35 @@ def apply_model(rows: DataFrame, inputs: list[str], output: str, kind: str, load
     return rows.mapInPandas(run, schema)
 
 
+def in_rounds(rows: DataFrame, inputs: list[str], load: Callable[[], Callable[..., list]], check: Callable[[DataFrame], DataFrame], rounds: int = 3, wanted: Column | None = None) -> DataFrame:
+    """rows with a model's `answer`, what `check` makes of it, `fault` (null: none) and `asked`, how often.
+
+    load() makes the model once for each task; it gets batches of the inputs and of the faults of its
+    last answers, null in the first round.  check adds `fault` (and what it likes) to rows that have
+    an `answer`.  Only rows with a fault are asked again, at most `rounds` times; then they keep the
+    last answer and its fault.  wanted: which rows are asked at all; the others have no answer.
+
+    Each round is written to a folder of its own before the next one begins: no row is asked twice
+    for one round, whatever reads the result, and a lost executor repeats its part of a round only.
+    """
+    spark, folder = rows.sparkSession, work_folder(rows.sparkSession, "rounds")
+    fresh = rows.withColumns({"fault": F.lit(None).cast("string"), "__ask": F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))})
+    open_, done = fresh.where("__ask").drop("__ask"), []
+    for n in range(1, rounds + 1):
+        asked = check(apply_model(open_, [*inputs, "fault"], "answer", "string", load)).withColumn("asked", F.lit(n))
+        asked.write.parquet(f"{folder}/{n}")
+        stored = spark.read.schema(asked.schema).parquet(f"{folder}/{n}")
+        if n == rounds or stored.where("fault is not null").isEmpty():
+            done.append(stored)
+            break
+        done.append(stored.where("fault is null"))
+        open_ = stored.where("fault is not null").select(*rows.columns, "fault")
+    out = fresh.where("not __ask").drop("__ask").withColumn("asked", F.lit(0))
+    for part in done:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def longest_prefix(lines: list[str], fits: Callable[[str], bool]) -> str:
     """The longest prefix of lines that fits."""
     low, high = 0, len(lines)

@@ -119,6 +119,16 @@ scalar("m22_stop_reason", "orders", "o_orderkey", {"reason": (
 )})
 scalar("m28_failure_code", "orders", "o_orderkey", {"code": (lambda: vs.failure_code(F.when(c("o_orderkey") % 2 == 0, "STORE_UNAVAILABLE").when(c("o_orderkey") % 3 == 0, "ODD")), "CASE WHEN o_orderkey % 2 = 0 THEN 'STORE_UNAVAILABLE' ELSE 'INTERNAL_ERROR' END")})
 
+
+
+def token_counter(path: str):
+    """Counts the tokens of a text by a tokenizer file, without special tokens."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids)
+
+
 GLOSSARY = [["de", "von", "del"], ["market", "trade"]]
 
 
@@ -162,6 +172,15 @@ def c13(spark, d):
     return made.groupBy("doc_id").agg(F.count_if(c("kind") == "text").alias("n_text"), F.count_if(c("kind") == "asset").alias("n_asset"), F.bool_or(F.array_join("heading_path", ">") == "A>B").alias("path_kept"))
 
 
+@query("c06_token_chunks")
+def c06(spark, d):
+    """Whole texts in chunks of at most 128 tokens of a public vocabulary; tested against cuts one by one."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return ck.chunk(table(spark, d, "documents"), "doc_id", "text", 128, load_measure=lambda: token_counter(path)).select("doc_id", "chunk_key", "split_index", "text")
+
+
 @query("c15_extracted_assets", "SELECT doc_id, 2 AS n, 'a/' || doc_id || '.png' AS path FROM documents")
 def c15(spark, d):
     """Whole texts after a table and an image."""
