@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..operators import catalog as cat
 from ..operators import evaluation as ev
 from ..operators import retrieval as rt
+from ..operators import search
 from ..operators import versions as vs
 from ..operators.keyword_index import KeywordIndex
 from ..sources.log import work_folder
@@ -249,25 +250,35 @@ def e04(spark, d):
 
 @query(
     "e06_evaluation_run",
-    rf"""WITH {KEYWORD}, {LINES_SQL}, tok AS (SELECT doc_id, pos, text, len({W.format('text')}) AS n FROM chunks),
-  used AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS used FROM tok WHERE pos > 0),
-  bodies AS (SELECT t.doc_id, regexp_replace(t.text, '\s', '', 'g') AS base,
-    regexp_replace(t.text || coalesce((SELECT string_agg(u.text, '' ORDER BY u.pos) FROM used u WHERE u.doc_id = t.doc_id AND u.used <= 80), ''), '\s', '', 'g') AS expanded FROM tok t WHERE pos = 0),
+    rf"""WITH {LINES_SQL}, post AS (SELECT doc_id, pos, term, count(*) AS tf FROM (SELECT doc_id, pos, unnest({W.format('text')}) AS term FROM chunks) GROUP BY 1, 2, 3),
+  {ASK}, n AS (SELECT count(*) AS n FROM (SELECT DISTINCT doc_id, pos FROM post)),
+  idf AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post, n WHERE term IN (SELECT term FROM ask) GROUP BY term, n),
+  kscore AS (SELECT item_id, doc_id, pos, sum(tf * idf) AS score FROM post JOIN ask USING (term) JOIN idf USING (term) GROUP BY 1, 2, 3),
+  krank AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id, pos) AS rank FROM kscore) WHERE rank <= 10),
+  tok AS (SELECT doc_id, pos, text, len({W.format('text')}) AS n FROM chunks WHERE doc_id IN (SELECT doc_id FROM krank)),
+  hit AS (SELECT DISTINCT doc_id, pos AS p FROM krank),
+  near AS (SELECT h.doc_id, h.p, t.pos, t.pos < p AS b, abs(t.pos - p) AS dist, n, text FROM hit h JOIN tok t ON t.doc_id = h.doc_id AND t.pos <> p),
+  run AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, p ORDER BY dist, CASE WHEN b THEN 0 ELSE 1 END ROWS UNBOUNDED PRECEDING) AS used FROM near),
+  side AS (SELECT doc_id, p, string_agg(text, '' ORDER BY pos) FILTER (b) AS before, string_agg(text, '' ORDER BY pos) FILTER (NOT b) AS after FROM run WHERE used <= 80 GROUP BY 1, 2),
+  bodies AS (SELECT t.doc_id, t.pos, regexp_replace(t.text, '\s', '', 'g') AS base, regexp_replace(coalesce(before, '') || t.text || coalesce(after, ''), '\s', '', 'g') AS expanded
+    FROM hit JOIN tok t ON t.doc_id = hit.doc_id AND t.pos = hit.p LEFT JOIN side ON side.doc_id = hit.doc_id AND side.p = hit.p),
   span AS (SELECT item_id, regexp_replace(text, '\s', '', 'g') AS span FROM benchmark),
-  r AS (SELECT item_id, min(CASE WHEN contains(base, span) THEN rank END) AS b, min(CASE WHEN contains(expanded, span) THEN rank END) AS x FROM krank JOIN span USING (item_id) JOIN bodies USING (doc_id) WHERE rank <= 10 GROUP BY 1)
+  r AS (SELECT item_id, min(CASE WHEN contains(base, span) THEN rank END) AS b, min(CASE WHEN contains(expanded, span) THEN rank END) AS x FROM krank JOIN span USING (item_id) JOIN bodies USING (doc_id, pos) GROUP BY 1)
   SELECT item_id AS case_id, coalesce(b, -1) AS base_rank, coalesce(x, -1) AS expanded_rank, CASE WHEN x IS NULL THEN 'miss' ELSE 'hit' END AS outcome FROM span LEFT JOIN r USING (item_id)""",
 )
 def e06(spark, d):
-    """Benchmark texts as golden sets: keyword search, a hit's first line with its neighbours, and the outcome."""
-    found = _keyword(spark, d, 10).select(F.col("item_id").alias("case_id"), "rank", "doc_id")
-    chunks = lines(spark, d).select("doc_id", F.lit("1").alias("version"), F.lit(True).alias("active"), F.lit("text").alias("kind"), F.col("pos").alias("order"), F.lit(None).cast("int").alias("split_index"), F.col("pos").cast("string").alias("chunk_key"), F.struct("pos", "text").alias("chunk_id"), F.size(tx.terms(F.col("text"))).alias("tokens"), F.array().cast("array<string>").alias("placeholder_ids"))
-    asked = found.select("doc_id").distinct().join(chunks.where("order = 0"), "doc_id")
-    hits = asked.select(F.col("doc_id").alias("hit_id"), "doc_id", "version", F.array("chunk_id").alias("members"), F.lit(None).cast("int").alias("asset_order"), "placeholder_ids")
-    near = rt.neighbours(hits, chunks.join(found.select("doc_id").distinct(), "doc_id", "left_semi"), 80)
-    texts = lambda c: F.transform(c, lambda x: x["text"]).alias(c)
-    seen = near.select(F.col("hit_id").alias("doc_id"), texts("before"), texts("after")).join(asked.select("doc_id", F.array("chunk_id.text").alias("chunks")), "doc_id")
-    cases = table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.lit(False).alias("edition_only"), F.lit(0).alias("doc_id"), F.lit("any").alias("name"), F.col("text").alias("answer_span"))
-    got = ev.evaluate(cases, found.join(seen, "doc_id").withColumn("name", F.lit("any")))
+    """Benchmark texts as golden sets: keyword search of lines, the lines found with their neighbours, and the outcome."""
+    c = lines(spark, d).withColumn("chunk_id", F.struct("doc_id", "pos"))
+    asked = table(spark, d, "benchmark")
+    found = rt.keyword_search(rt.postings(c, "chunk_id", "text"), asked, "chunk_id", "item_id", "text", 10, total=rt.searchable_count(c, "text"))
+    string = lambda name: F.lit(None).cast("string").alias(name)
+    chunks = c.select(
+        "chunk_id", "doc_id", F.lit("1").alias("version"), F.lit("any").alias("name"), string("label"), F.lit(True).alias("active"), F.lit("text").alias("kind"), F.col("pos").alias("order"), string("split_group"),
+        F.lit(None).cast("int").alias("split_index"), F.col("pos").cast("string").alias("chunk_key"), "text", F.array().cast("array<string>").alias("heading_path"), F.size(tx.terms(F.col("text"))).alias("tokens"), F.array().cast("array<string>").alias("placeholder_ids"), F.lit(False).alias("is_latest_edition"),
+    )
+    hits = search.results([found], chunks, "item_id", 10, 80).withColumnRenamed("item_id", "case_id")
+    cases = asked.select(F.col("item_id").alias("case_id"), F.lit(False).alias("edition_only"), F.lit(0).alias("doc_id"), F.lit("any").alias("name"), F.col("text").alias("answer_span"))
+    got = ev.evaluate(cases, hits)
     place = lambda kind: F.coalesce(F.col(f"{kind}.rank"), F.lit(-1)).alias(f"{kind}_rank")
     return got.select("case_id", place("base"), place("expanded"), "outcome")
 
