@@ -41,10 +41,18 @@ _VOID = set("area base br col embed hr img input link meta param source track wb
 _CHROME_WORDS = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|header|masthead|footer|sidebar|side|aside|ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|banner|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|subscribe|newsletter|signup|login|share|sharing|social|related|recommended|breadcrumb|breadcrumbs|comment|comments|commentlist|disqus|replies|reply|widget|pagination|pager|search|toolbar|skip|contentinfo|complementary|form)(?=$|[\s_-])"
 )
-#: Inside an article only whole names count: its parts are often called "related-work" or "side-effects".
-_CHROME_NAMES = re.compile(_CHROME_WORDS.pattern.replace(r"[\s_-]", r"\s"))
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+))")
+#: Inside an article only whole names count, as its parts are often called "related-work" or "side-effects", and these parts of names:
+#: readers' comments and adverts under any name, and what says that it is a box of links, buttons or adverts.
+_BOXES = "(?:area|articles|banner|bar|block|box|button|buttons|container|content|icons|items|label|links|list|news|pages|panel|posts|products|section|slot|stories|tools|unit|widget|wrapper)"
+_CHROME_NAMES = re.compile(
+    _CHROME_WORDS.pattern.replace(r"[\s_-]", r"\s")
+    + r"|(?:^|[\s_-])(?:comment|comments|commentlist|disqus|advert|adverts|advertisement|sponsored|newsletter|breadcrumb|breadcrumbs)(?=$|[\s_-])"
+    + rf"|(?:^|[\s_-])(?:ad|ads|promo|related|recommended|share|sharing|social|subscribe|cookie|consent)[_-](?:share|sharing|{_BOXES})(?=$|[\s_-])"
+)
+#: Attributes as HTML has them: a quote opens a string right after the equals sign only.
+_ATTRIBUTES = r"""(?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))?+|=)*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRIBUTES})(?:>|\Z)", re.S)
+_ATTR = re.compile(r"""([^\s/>=]+)\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>"'][^\s>]*))""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -115,7 +123,7 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
         name = m[2]
         if name is None:
             if m[0].startswith("<![CDATA[") and not silent:
-                text.append(m[0][9:-3].replace("&", "&amp;"))
+                text.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
         name = name.lower()
         if not m[1]:
