@@ -573,3 +573,35 @@ def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert lm_scoring.score(none).count() == jaccard_join.join(none).count() == license_scan.scan(none).count() == bpe.encode(none, bpe.vocabulary_path()).count() == 0
     assert not any(unicodedata.category(c) == "Cs" for c in "")
+
+
+def test_html_stray_quotes_and_unclosed_markup():
+    text = lambda h: html_extraction.main_text(html_extraction.blocks(h), None)
+    assert text('<article><p><a href="x"">One</a></p><p>Two</p></article>') == ["One", "Two"]
+    assert text("<article><p title=it's>Body one</p><p>Body two</p></article>") == ["Body one", "Body two"]
+    assert text('<article><p class=a"b>One</p><p id=\'x\'\'>Two</p><p =">Three</p></article>') == ["One", "Two", "Three"]
+    assert text("<article><p>One</p><![CDATA[the end") == ["One", "the end"]
+    assert text('<article><p title="a > b">One</p><img alt=\'<p>no</p>\'><p data-x = "1">Two</p></article>') == ["One", "Two"]
+    assert text('<article><p>One</p><p title="never closed>Two</p></article>') == ["One"]
+
+
+@pytest.mark.parametrize("name", ["comments-list", "comment-body", "user_comment", "related-posts", "advert-box", "social-share", "ad-slot", "share-buttons", "newsletter-signup", "promo_banner", "recommended-articles"])
+def test_html_boxes_inside_an_article_go(name):
+    for attribute in (f'class="{name}"', f"id='{name}'", f"class=big-{name}"):
+        page = f"<article><h1>Title</h1><p>Body</p><section {attribute}><p>Reader: nice!</p></section><p>End</p></article>"
+        assert html_extraction.main_text(html_extraction.blocks(page), None) == ["Title", "Body", "End"], attribute
+
+
+@pytest.mark.parametrize("name", ["related-work", "side-effects", "social-sciences", "ad-hoc", "share-price", "header-text", "commentary", "promotion", "form-and-function"])
+def test_html_parts_of_an_article_stay(name):
+    page = f'<article><h1>Title</h1><section class="{name}"><p>Body</p></section></article>'
+    assert html_extraction.main_text(html_extraction.blocks(page), None) == ["Title", "Body"]
+
+
+@pytest.mark.parametrize("name", ["Attribution", "Attribution-ShareAlike", "Attribution-NoDerivatives", "Attribution-NonCommercial", "Attribution-NonCommercial-ShareAlike", "Attribution-NonCommercial-NoDerivatives"])
+def test_licences_of_one_family_are_told_apart(spark, name):
+    sign = {"Attribution": "BY", "ShareAlike": "SA", "NoDerivatives": "ND", "NonCommercial": "NC"}
+    want = "-".join(["CC", *(sign[x] for x in name.split("-")), "4.0"])
+    texts = [f"This work is licensed under a Creative Commons {name} 4.0 International License.", f"x y. Licensed under {want.replace('-', ' ', 1).replace('-4.0', ' 4.0')}.\nz", f"words before this work is licensed\nunder a Creative Commons {name}\n4.0 International License and after"]
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert [(r.licences, r.n_notices) for r in sorted(got)] == [(want, 1)] * 3
