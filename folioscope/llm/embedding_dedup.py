@@ -15,7 +15,7 @@ first of them.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, exp, lgamma, log, pi, sqrt
+from math import acos, ceil, exp, lgamma, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,8 @@ CODES, FILTERS = 4, 4
 RECALL = 0.995
 #: Random pairs from which a code's share of lost pairs is estimated, and codes that filter ids have room for.
 PAIRS, MOST_CODES = 4000, 256
+#: The least components of a block, the most words of its code, and the greatest inner product that a filter asks for.
+NARROW, MOST_WORDS, CLOSEST = 4, 4096, 0.95
 #: A vector also takes the directions that fall short of its best one by this at most.
 SLACK = 0.015
 #: Vectors of a tile.
@@ -47,6 +49,8 @@ HEAVY = 100_000
 
 def cap(dim: int, t: float) -> float:
     """Share of the unit sphere with an inner product of at least t with a fixed direction."""
+    if dim < 3:
+        return acos(t) / pi if dim == 2 else 0.5
     c = exp(lgamma(dim / 2) - lgamma((dim - 1) / 2)) / sqrt(pi)
     x = np.linspace(t, 1, 4001)
     y = np.maximum(1 - x * x, 0) ** ((dim - 3) / 2)
@@ -61,7 +65,9 @@ class Code:
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         # about two vectors of an unrelated kind in a filter, whatever n is
         words = max(2.0, FILTERS * max(n, 2) / 2)
-        blocks = min(dim, max(2, ceil(log(words) / log(96))))
+        blocks = min(max(1, dim // NARROW), max(2, ceil(log(words) / log(96))))
+        # smaller caps than pairs are near would part pairs without sparing any: in few dimensions that bounds the filters
+        words = max(2.0, min(words, FILTERS / max(cap(dim, CLOSEST), 1e-300), float(MOST_WORDS) ** blocks))
         self.size = max(2, ceil(words ** (1 / blocks)))
         ends = np.linspace(0, dim, blocks + 1).astype(int)
         self.parts = []
