@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -33,7 +33,11 @@ def metrics(hits: DataFrame, cases: DataFrame, text: Column, n: int = 10) -> Dat
     whole = F.contains("body", F.col("span"))
     part = rows.withColumn("c", F.when(whole, F.struct((F.instr("body", F.lit("")) * 0).alias("start"), F.length("span").alias("size"))).otherwise(tx.common_span("span", "body")))
     good = part.where(F.col("c.size") >= F.least(F.lit(LEAST_COVER), F.length("span")))
-    covered = good.select("case_id", F.explode(F.expr("sequence(c.start, c.start + c.size - 1)")).alias("p")).distinct().groupBy("case_id").agg(F.count("*").alias("covered"))
+    # what each part adds to those that start before it: the union of intervals without a row for each character
+    spans = good.select("case_id", F.col("c.start").alias("from"), (F.col("c.start") + F.col("c.size")).alias("to"))
+    reached = F.max("to").over(Window.partitionBy("case_id").orderBy("from", "to").rowsBetween(Window.unboundedPreceding, -1))
+    gained = F.greatest(F.lit(0), F.col("to") - F.greatest("from", F.coalesce(reached, F.col("from"))))
+    covered = spans.withColumn("gained", gained).groupBy("case_id").agg(F.sum("gained").alias("covered"))
     out = asked.join(rank, "case_id", "left").join(covered, "case_id", "left")
     hit = lambda k: F.coalesce(F.col("rank") <= k, F.lit(False)).alias(f"hit_at_{k}")
     at_n = F.coalesce(F.col("rank") <= n, F.lit(False)).alias("hit_at_n")

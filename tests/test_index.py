@@ -67,11 +67,11 @@ def test_a_lost_race_is_run_again(spark, tmp_path):
 def test_two_writers_race(spark, tmp_path):
     t = PartitionedTable(spark, str(tmp_path / "t"))
     t.change([0], lambda _: rows(spark, (0, 0)))
-    more = lambda n: lambda: [t.change([0], lambda o: o.select(F.lit(0).alias("bucket"), (F.col("v") + n).alias("v")), 50) for _ in range(3)]
+    more = lambda n: lambda: [t.change([0], lambda o: o.select(F.lit(0).alias("bucket"), (F.col("v") + n).alias("v")), 50) for _ in range(2)]
     threads = [threading.Thread(target=more(n)) for n in (1, 100)]
     [x.start() for x in threads]
     [x.join(120) for x in threads]
-    assert values(t) == [303]
+    assert values(t) == [202]
 
 
 def test_store_versions(spark, tmp_path):
@@ -104,7 +104,7 @@ def test_index_equals_search_of_all_postings(spark, tmp_path):
     index = KeywordIndex(spark, str(tmp_path / "i"), "id", buckets=4, blocks=8)
     assert index.search(asked, "q", "text", 5).count() == 0
     index.build(spark.createDataFrame(list(texts.items()), "id int, text string"), "text")
-    for limit in (1, 5, 30):
+    for limit in (1, 30):
         want = plain(spark, list(texts.items()), asked, limit)
         assert search(index, asked, limit) == want and search(index, asked, limit, prune=False) == want
     opened, there = index.blocks_read(asked.where("q in (1, 5)"), "q", "text", 1)

@@ -1,8 +1,11 @@
 """The whole search on a small table, worked out by hand, and its bounds."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.operators import evaluation as ev
 from folioscope.operators import retrieval as rt
 from folioscope.operators import search
 
@@ -43,3 +46,24 @@ def test_bounds(spark, n):
         rt.candidate_limit(n)
     with pytest.raises(ValueError, match="1 to 50"):
         search.results([], spark.range(1), "q", n, 1)
+
+
+def test_coverage_is_the_union_of_the_longest_parts(spark):
+    r, cases, hits, want = random.Random(5), [], [], {}
+    for case in range(40):
+        span = "".join(r.choices("abc", k=r.randint(5, 40)))
+        covered = set()
+        for rank in range(1, r.randint(2, 8)):
+            a = r.randrange(len(span))
+            body = "".join(r.choices("abc", k=5)) + span[a : a + r.randint(1, 25)] + "".join(r.choices("abc", k=5))
+            size, start = max((n, -i) for n in range(len(span) + 1) for i in range(len(span) - n + 1) if span[i : i + n] in body)
+            if size >= min(ev.LEAST_COVER, len(span)):
+                covered |= set(range(-start, -start + size))
+            hits.append((case, rank, "d", "n", body))
+        cases.append((case, False, "d", "n", span))
+        want[case] = len(covered) / len(span)
+    h = spark.createDataFrame(hits, "case_id int, rank int, doc_id string, name string, text string")
+    c = spark.createDataFrame(cases, "case_id int, edition_only boolean, doc_id string, name string, answer_span string")
+    got = ev.metrics(h, c, ev.body([F.array("text")]))
+    assert {x.case_id: x.coverage for x in got.collect()} == pytest.approx(want)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
