@@ -270,13 +270,14 @@ def e06(spark, d):
     """Benchmark texts as golden sets: keyword search of lines, the lines found with their neighbours, and the outcome."""
     c = lines(spark, d).withColumn("chunk_id", F.struct("doc_id", "pos"))
     asked = table(spark, d, "benchmark")
-    found = rt.keyword_search(rt.postings(c, "chunk_id", "text"), asked, "chunk_id", "item_id", "text", 10, total=rt.searchable_count(c, "text"))
+    found = rt.keyword_search(rt.postings(c, "chunk_id", "text"), asked, "chunk_id", "item_id", "text", 10, total=rt.searchable_count(c, "text")).cache()
     string = lambda name: F.lit(None).cast("string").alias(name)
     chunks = c.select(
         "chunk_id", "doc_id", F.lit("1").alias("version"), F.lit("any").alias("name"), string("label"), F.lit(True).alias("active"), F.lit("text").alias("kind"), F.col("pos").alias("order"), string("split_group"),
         F.lit(None).cast("int").alias("split_index"), F.col("pos").cast("string").alias("chunk_key"), "text", F.array().cast("array<string>").alias("heading_path"), F.size(tx.terms(F.col("text"))).alias("tokens"), F.array().cast("array<string>").alias("placeholder_ids"), F.lit(False).alias("is_latest_edition"),
     )
-    hits = search.results([found], chunks, "item_id", 10, 80).withColumnRenamed("item_id", "case_id")
+    # both are the few rows of the hits, which every metric reads again
+    hits = search.results([found], chunks, "item_id", 10, 80).withColumnRenamed("item_id", "case_id").cache()
     cases = asked.select(F.col("item_id").alias("case_id"), F.lit(False).alias("edition_only"), F.lit(0).alias("doc_id"), F.lit("any").alias("name"), F.col("text").alias("answer_span"))
     got = ev.evaluate(cases, hits)
     place = lambda kind: F.coalesce(F.col(f"{kind}.rank"), F.lit(-1)).alias(f"{kind}_rank")

@@ -15,6 +15,7 @@ from ..operators import chunking as ck
 from ..operators import evaluation as ev
 from ..operators import glossary as gl
 from ..operators import versions as vs
+from ..sources.store import spread
 from .base import query
 from .corpus import table
 
@@ -178,7 +179,7 @@ def c06(spark, d):
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return ck.chunk(table(spark, d, "documents"), "doc_id", "text", 128, load_measure=lambda: token_counter(path)).select("doc_id", "chunk_key", "split_index", "text")
+    return ck.chunk(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", 128, load_measure=lambda: token_counter(path)).select("doc_id", "chunk_key", "split_index", "text")
 
 
 @query("c15_extracted_assets", "SELECT doc_id, 2 AS n, 'a/' || doc_id || '.png' AS path FROM documents")
