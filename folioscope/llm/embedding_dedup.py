@@ -9,7 +9,7 @@ looking at the others.  Vectors are joined on filters and verified by their exac
 
 Equal vectors collapse before the join.  A filter with very many vectors is cut into tiles, and
 each pair of tiles is a group of its own.  A pair that shares several filters is counted in the
-first of them.
+first of them: each row carries the numbers of its vector's earlier filters, four bytes each.
 """
 
 from __future__ import annotations
@@ -29,18 +29,23 @@ from .graph import Forest, components
 from .words import tidy
 
 THRESHOLD = 0.9
-#: Independent product codes at least, and filters that a vector has in each, on average.
-CODES, FILTERS = 4, 4
+#: Independent product codes at least; filters that a vector would have in each by alpha alone, on average, and
+#: unrelated vectors that a filter would then hold.  Large filters are few: fewer rows go through the shuffle, and
+#: what they hold is compared by one matrix product.
+CODES, FILTERS, UNRELATED = 4, 2, 32
 #: Expected share of the pairs at exactly the threshold that share a filter, whatever n is.
 RECALL = 0.995
 #: Random pairs from which a code's share of lost pairs is estimated, and codes that filter ids have room for.
 PAIRS, MOST_CODES = 4000, 256
 #: The least components of a block, the most words of its code, and the greatest inner product that a filter asks for.
 NARROW, MOST_WORDS, CLOSEST = 4, 4096, 0.95
-#: A vector also takes the directions that fall short of its best one by this at most.
-SLACK = 0.015
+#: A vector also takes the directions that fall short of its best one by this at most, in standard deviations of
+#: an inner product (1 / sqrt(dim)), and in many or few dimensions never more than the second.
+SLACK, WIDEST = 0.12, 0.015
 #: Vectors of a tile.
 TILE = 1024
+#: Filters of a matrix that tells which members share one.
+SLAB = 4096
 #: Members up to which groups are verified many at a time.
 SMALL = 16
 #: Heavy filters that the driver may tell all tasks of (others are joined).
@@ -63,8 +68,8 @@ class Code:
     def __init__(self, dim: int, n: int, seed: int) -> None:
         rng = np.random.Generator(np.random.PCG64([seed, dim]))
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-        # about two vectors of an unrelated kind in a filter, whatever n is
-        words = max(2.0, FILTERS * max(n, 2) / 2)
+        # a filter holds as many vectors of an unrelated kind whatever n is
+        words = max(2.0, FILTERS * max(n, 2) / UNRELATED)
         blocks = min(max(1, dim // NARROW), max(2, ceil(log(words) / log(96))))
         # smaller caps than pairs are near would part pairs without sparing any: in few dimensions that bounds the filters
         words = max(2.0, min(words, FILTERS / max(cap(dim, CLOSEST), 1e-300), float(MOST_WORDS) ** blocks))
@@ -74,6 +79,8 @@ class Code:
         for a, b in zip(ends[:-1], ends[1:], strict=True):
             x = rng.standard_normal((self.size, b - a))
             self.parts.append((a, b, x / np.linalg.norm(x, axis=1, keepdims=True) * sqrt((b - a) / dim)))
+        self.words = self.size**blocks
+        self.slack = min(WIDEST, SLACK / sqrt(dim))
         share, lo, hi = FILTERS / float(self.size) ** blocks, 0.0, 1.0
         for _ in range(40):
             mid = (lo + hi) / 2
@@ -86,7 +93,7 @@ class Code:
         dots = [y[:, a:b] @ c.T for a, b, c in self.parts]
         best = np.cumsum([d.max(axis=1) for d in dots][::-1], axis=0)[::-1]  # the most that blocks i.. can add
         # a vector between the directions takes those near its best, so none is left out
-        reach = np.minimum(self.alpha, best[0] - SLACK)
+        reach = np.minimum(self.alpha, best[0] - self.slack)
         row, code, total = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
         for i, d in enumerate(dots):
             rest = best[i + 1] if i + 1 < len(dots) else np.zeros(len(x))
@@ -196,6 +203,8 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", th
     by_dim = {r[0] // width: r[1] for r in classes.groupBy(F.length("v")).count().collect()}
     n = sum(by_dim.values())
     needed = {dim: codes_needed(dim, n, threshold) for dim in by_dim}
+    # filters of all codes of a dimension in one numbering, as narrow as it can be
+    number_type = {dim: "<u4" if needed[dim] * Code(dim, n, 0).words <= 1 << 32 else "<i8" for dim in by_dim}
     codes: dict[int, list[Code]] = {}
 
     def code(dim: int) -> list[Code]:
@@ -212,31 +221,48 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", th
                     for size in sorted({len(r) for r in raw}):
                         of = [i for i, r in enumerate(raw) if len(r) == size]
                         x = _unit([raw[i] for i in of], kind)
-                        found = [c.decode(x) for c in code(x.shape[1])]
+                        dim = x.shape[1]
+                        found = [c.decode(x) for c in code(dim)]
                         row = np.concatenate([f[0] for f in found])
-                        fid = np.concatenate([(f[1] << 8) | s for s, f in enumerate(found)])
+                        fid = np.concatenate([f[1] + s * c.words for s, (f, c) in enumerate(zip(found, code(dim), strict=True))])
                         order = np.lexsort((fid, row))
                         row, fid = row[order], fid[order]
-                        ends = np.cumsum(np.bincount(row, minlength=len(of)))
                         if heavy is None:
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fid), x.shape[1])), pa.array(fid)], names=["dim", "fid"])
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fid), dim)), pa.array(fid)], names=["dim", "fid"])
                             continue
                         rep, w = batch.column(1).to_numpy()[of], batch.column(2).to_numpy()[of]
-                        all_of = [fid[e - c : e].tobytes() for e, c in zip(ends, np.bincount(row, minlength=len(of)), strict=True)]
-                        out = []
-                        for r, f in zip(row.tolist(), fid.tolist(), strict=True):
-                            tiles = heavy.get((x.shape[1], f), 1)
+                        first = np.searchsorted(row, np.arange(len(of)))
+                        numbers, width = fid.astype(number_type[dim]).tobytes(), np.dtype(number_type[dim]).itemsize
+                        out, earlier = [], []
+                        for i, (r, f) in enumerate(zip(row.tolist(), fid.tolist(), strict=True)):
+                            tiles = heavy.get((dim, f), 1)
                             mine = int(rep[r]) * 0x9E3779B97F4A7C15 % (1 << 64) % tiles if tiles > 1 else 0
                             out += [(r, f, mine, min(mine, o), max(mine, o)) for o in range(tiles)]
+                            earlier += [numbers[first[r] * width : i * width]] * tiles
                         if out:
                             r, f, mine, lo, hi = map(np.array, zip(*out, strict=True))
-                            columns = [pa.array(np.full(len(r), x.shape[1])), *map(pa.array, (f, lo, hi, mine, rep[r], w[r])), pa.array([raw[of[i]] for i in r], pa.binary()), pa.array([all_of[i] for i in r], pa.binary())]
+                            columns = [pa.array(np.full(len(r), dim)), *map(pa.array, (f, lo, hi, mine, rep[r], w[r])), pa.array([raw[of[i]] for i in r], pa.binary()), pa.array(earlier, pa.binary())]
                             yield pa.RecordBatch.from_arrays(columns, names=MEMBER)
 
         return run
 
+    def met_before(table: pa.Table, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which rows of a share an earlier filter with which of b; filters are looked at some thousand at a time."""
+        kind_of = number_type[table.column("dim")[0].as_py()]
+        lists = [np.frombuffer(f.as_py(), dtype=kind_of) for f in table.column("earlier")]
+        owner, ids = np.repeat(np.arange(len(lists)), [len(f) for f in lists]), np.concatenate(lists)
+        place = np.unique(ids, return_inverse=True)[1]
+        order = np.argsort(place, kind="stable")
+        owner, place = owner[order], place[order]
+        met = np.zeros((len(a), len(b)), dtype=bool)
+        for at in range(0, int(place[-1]) + 1 if len(place) else 0, SLAB):
+            i, j = np.searchsorted(place, (at, at + SLAB))
+            has = np.zeros((len(lists), SLAB), dtype=np.float32)
+            has[owner[i:j], place[i:j] - at] = 1
+            met |= has[a] @ has[b].T > 0
+        return met
+
     def verify(table: pa.Table) -> pa.Table:
-        fid = table.column("fid")[0].as_py()
         rep, w, mine = (table.column(c).to_numpy() for c in ("rep", "w", "tile"))
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         x = _unit(table.column("v").to_pylist(), kind)
@@ -248,12 +274,11 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", th
         forest, count = Forest(), np.zeros(len(rep), dtype=np.int64)
         i, j = np.nonzero(near)
         if len(i):
-            earlier = [np.frombuffer(f.as_py(), dtype=np.int64) for f in table.column("fs")]
-            earlier = [f[f < fid] for f in earlier]
-            ids, place = np.unique(np.concatenate(earlier), return_inverse=True)
-            has = np.zeros((len(rep), max(1, len(ids))), dtype=np.float32)
-            has[np.repeat(np.arange(len(rep)), [len(f) for f in earlier]), place] = 1
-            new = near & ~((has[a] @ has[b].T) > 0)
+            # only rows with something near need their lists
+            on_a, on_b = np.unique(i), np.unique(j)
+            some, at = np.unique(np.concatenate([a[on_a], b[on_b]]), return_inverse=True)
+            new = near.copy()
+            new[np.ix_(on_a, on_b)] &= ~met_before(table.take(pa.array(some)), at[: len(on_a)], at[len(on_a) :])
             count[a] += new @ w[b]
             if lo != hi:
                 count[b] += w[a] @ new
@@ -289,7 +314,7 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", th
             of = table.column("dim").to_numpy() == dim
             rows, mine = table.filter(pa.array(of)), group[of]
             x = _unit(rows.column("v").to_pylist(), kind)
-            rep, w, fid, fs = rows.column("rep").to_numpy(), rows.column("w").to_numpy(), rows.column("fid").to_numpy(), rows.column("fs")
+            rep, w, earlier = rows.column("rep").to_numpy(), rows.column("w").to_numpy(), rows.column("earlier")
             forest, count = Forest(), np.zeros(len(rep), dtype=np.int64)
             for k in range(1, SMALL):
                 i = np.flatnonzero(mine[:-k] == mine[k:])
@@ -298,8 +323,7 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", th
                 for i in i[np.einsum("ij,ij->i", x[i], x[i + k]) >= threshold].tolist():
                     j = i + k
                     forest.join(int(rep[i]), int(rep[j]))
-                    shared = np.intersect1d(np.frombuffer(fs[i].as_py(), dtype=np.int64), np.frombuffer(fs[j].as_py(), dtype=np.int64))
-                    if shared[0] == fid[i]:
+                    if not len(np.intersect1d(*(np.frombuffer(earlier[p].as_py(), dtype=number_type[dim]) for p in (i, j)))):
                         count[i] += w[j]
                         count[j] += w[i]
             hit = np.flatnonzero([int(r) in forest.parent for r in rep])
@@ -307,14 +331,14 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", th
 
     sizes = classes.select("v", "rep", "w").mapInArrow(filters(None), "dim bigint, fid bigint").groupBy("dim", "fid").count().where(F.col("count") > TILE)
     heavy = cut(sizes.select("dim", "fid", F.ceil(F.col("count") / TILE).alias("tiles")))
-    schema = "dim bigint, fid bigint, lo bigint, hi bigint, tile bigint, rep bigint, w bigint, v binary, fs binary"
+    schema = "dim bigint, fid bigint, lo bigint, hi bigint, tile bigint, rep bigint, w bigint, v binary, earlier binary"
     known = {(r[0], r[1]): r[2] for r in heavy.collect()} if heavy.count() <= HEAVY else {}
     members = classes.select("v", "rep", "w").mapInArrow(filters(known), schema)
     if heavy.count() > HEAVY:
         tile = F.pmod(F.xxhash64("rep"), F.coalesce("tiles", F.lit(1)))
         members = members.drop("lo", "hi", "tile").join(heavy, ["dim", "fid"], "left").withColumn("tile", tile)
         members = members.withColumn("o", F.explode(F.expr("sequence(0L, coalesce(tiles, 1L) - 1)")))
-        members = members.select("dim", "fid", F.least("tile", "o").alias("lo"), F.greatest("tile", "o").alias("hi"), "tile", "rep", "w", "v", "fs")
+        members = members.select("dim", "fid", F.least("tile", "o").alias("lo"), F.greatest("tile", "o").alias("hi"), "tile", "rep", "w", "v", "earlier")
     group = ["dim", "fid", "lo", "hi"]
     dealt = members.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *group).sortWithinPartitions(*group)
     found = cut(dealt.mapInArrow(in_order, "rep bigint, n bigint, root bigint"))
@@ -329,7 +353,7 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", th
     return out.select(F.col("k").alias(key), "n_links", "component_id", F.col("k").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-MEMBER = ["dim", "fid", "lo", "hi", "tile", "rep", "w", "v", "fs"]
+MEMBER = ["dim", "fid", "lo", "hi", "tile", "rep", "w", "v", "earlier"]
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
