@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import changes, reference, scalars  # noqa: F401
+from . import changes, reference, runs, scalars  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
 
