@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import answers, changes, reference, runs, scalars  # noqa: F401
+from . import answers, changes, flow, reference, runs, scalars  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
 
