@@ -9,19 +9,23 @@ written as the mention was.  Where a format has no free value left, surrogates g
 address becomes a full IPv6 address), so no table of entities is too large.
 
 Names of persons are replaced word by word: "Mr Smith" keeps the family name that "Mr John Smith"
-has got.  Persons are found by a title; a full name found so is also replaced where it stands in
-the same text without one.  Only DataFrame functions are used.
+has got.  Persons are found by a title.  A full name found so is replaced without a title in every
+text of the corpus, and the family name alone in texts that name the person.  A title that tells no
+gender takes it from the corpus (`resolved`), so "Dr Jane Doe" is "Ms Jane Doe".  Only DataFrame
+functions are used.
 """
 
 from __future__ import annotations
 
 import hashlib
+import warnings
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import cut
+from .cluster import BROADCAST_BYTES, cut
 
 #: Setting that holds the key; another key gives unrelated surrogates.
 KEY_SETTING = "spark.folioscope.pii.key"
@@ -35,6 +39,8 @@ _TITLES = {
     "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа", "Госпожа", "г-жа", "Г-жа"],
     "n": ["Dr", "Prof"],
 }
+#: Titles that are common words as well: names behind them are replaced there, and full ones in the same text, but nowhere else.
+_UNSURE = ["Miss", "Sr"]
 #: Ends of made-up given names by gender and script, and syllables of names: lists of our own choice.
 _ENDS = {
     ("m", "latin"): "ban den fin gor kas lim mir nel pas ron".split(),
@@ -69,6 +75,8 @@ PATTERNS = {
     "person": r"(?<![\p{L}\p{N}])(?:" + "|".join(t for ts in _TITLES.values() for t in ts) + rf")\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
 PATTERN = "(?:" + "|".join(PATTERNS.values()) + ")"
+#: Two name words or more in a row, in which untitled names are looked up.
+RUN = rf"(?<![\p{{L}}\p{{N}}]){_NAME}(?: {_NAME})+"
 #: What every entity holds: a quick test for texts without any.
 HINT = "[0-9@]|sk-|gh[pousr]_|AKIA|[0-9A-Fa-f]{32}|::|[0-9A-Fa-f]:[0-9A-Fa-f]|" + "|".join(t for ts in _TITLES.values() for t in ts)
 
@@ -105,17 +113,56 @@ def _name_words(e: Column) -> Column:
     return F.split(F.regexp_replace(e, r"^\S+ ", ""), " ")
 
 
-def parts(e: Column, kind: Column) -> Column:
-    """(kind, value) of what an entity is made of: a person's words (gender|script|given and script|family), else itself."""
+def mention(e: Column, kind: Column) -> Column:
+    """(of, value): what an entity means.  A full name is a person (gender by title|words), a single one a family name."""
     title, words = F.rtrim(_title(e), F.lit(".")), _name_words(e)
     gender = F.when(title.isin(_TITLES["m"]), "m").when(title.isin(_TITLES["f"]), "f").otherwise("n")
+    of = F.when((kind == "person") & (F.size(words) == 1), "family").otherwise(kind)
+    value = F.when(of == "person", F.concat_ws("|", gender, F.lower(F.array_join(words, " ")))).when(of == "family", _family(F.get(words, F.lit(0)))).otherwise(canonical(e, kind))
+    return F.struct(of.alias("of"), value.alias("value"))
+
+
+def _family(w: Column) -> Column:
+    return F.concat_ws("|", _script(w), F.lower(w))
+
+
+def _parts(gender: Column, words: Column) -> Column:
+    """(kind, value) of a person's words: gender|script|given, then script|family."""
 
     def part(w: Column, i: Column) -> Column:
-        given = (i == 0) & (F.size(words) > 1)
-        value = F.concat_ws("|", F.when(given, gender), _script(w), F.lower(w))
-        return F.struct(F.when(given, "given").otherwise("family").alias("kind"), value.alias("value"))
+        return F.struct(F.when(i == 0, "given").otherwise("family").alias("kind"), F.concat_ws("|", F.when(i == 0, gender), _family(w)).alias("value"))
+
+    return F.transform(words, part)
+
+
+def resolved(persons: DataFrame) -> DataFrame:
+    """value, name, gender of distinct persons (value: gender by title|name).
+
+    Where the title tells no gender it is that of the same full name elsewhere, else that of the given
+    name, if titles agree on it in the whole corpus; else n.  A name with titles of both genders is two persons.
+    """
+    title, name = F.substring_index("value", "|", 1), F.substring_index("value", "|", -1)
+    rows = persons.select("value", title.alias("title"), name.alias("name"), F.substring_index(name, " ", 1).alias("given"))
+    told = rows.where("title != 'n'")
+    agreed = lambda by: told.groupBy(by).agg(F.min("title").alias(f"of_{by}"), F.max("title").alias("__last")).where(F.col(f"of_{by}") == F.col("__last")).drop("__last")
+    rows = rows.join(agreed("name"), "name", "left").join(agreed("given"), "given", "left")
+    return rows.select("value", "name", F.when(F.col("title") != "n", F.col("title")).otherwise(F.coalesce("of_name", "of_given", F.lit("n"))).alias("gender"))
+
+
+def _runs(t: Column) -> Column:
+    """Two and three name words in a row, wherever they stand in t, distinct."""
 
-    return F.when(kind == "person", F.transform(words, part)).otherwise(F.array(F.struct(kind.alias("kind"), canonical(e, kind).alias("value"))))
+    def grams(words: Column, n: int) -> Column:
+        return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    runs = F.transform(F.regexp_extract_all(t, F.lit(RUN), F.lit(0)), lambda r: F.split(r, " "))
+    return F.array_distinct(F.flatten(F.transform(runs, lambda w: F.concat(grams(w, 2), grams(w, 3)))))
+
+
+def _bounded(df: DataFrame, width: Column) -> DataFrame:
+    """A stored table, marked for broadcast if its rows of `width` bytes are small together."""
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if size + 64 * n <= BROADCAST_BYTES else df
 
 
 def _mac(key: str, message: Column) -> Column:
@@ -166,6 +213,11 @@ def _chars(value: Column) -> Column:
     return F.filter(F.split(value, ""), lambda c: c != "")
 
 
+def _mod97(value: Column) -> Column:
+    """Remainder by 97 of digits and letters A-Z (10 to 35)."""
+    return F.aggregate(_chars(value), F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
+
+
 def _luhn_sum(digits: Column) -> Column:
     """Luhn sum of a string of digits, the last one undoubled."""
     rev = F.reverse(_chars(digits))
@@ -192,6 +244,10 @@ def surrogate(kind: Column, value: Column, stream: Column, domain_stream: Column
     body = F.left(card, F.length(card) - 1)
     luhn = F.when(_luhn_sum(value) % 10 == 0, F.concat(body, F.pmod(10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string"))).otherwise(card)
     country = F.left(value, F.lit(1))
+    # check digits of an IBAN that had right ones
+    account, state = F.substr(digits, F.lit(5)), F.left(value, F.lit(2))
+    right = _mod97(F.concat(F.substr(value, F.lit(5)), F.left(value, F.lit(4)))) == 1
+    iban = F.concat(state, F.when(right, F.lpad((98 - _mod97(F.concat(account, state, F.lit("00")))).cast("string"), 2, "0")).otherwise(F.substr(digits, F.lit(3), F.lit(2))), account)
     head = F.split(value, r"\|")
 
     def name(script: Column, n: int, end: Column) -> Column:
@@ -214,16 +270,15 @@ def surrogate(kind: Column, value: Column, stream: Column, domain_stream: Column
         .when(kind == "secret", secret)
         .when(kind == "card", luhn)
         .when(kind == "phone", F.concat(country, F.substr(digits, F.lit(2))))
-        .when(kind == "iban", F.concat(F.left(value, F.lit(2)), F.substr(digits, F.lit(3))))
+        .when(kind == "iban", iban)
         .when(kind == "given", given)
         .when(kind == "family", family)
         .otherwise(digits)
     )
 
 
-def written(e: Column, kind: Column, values: Column) -> Column:
-    """The canonical surrogates `values` of an entity's parts written as the entity `e` was."""
-    value = F.get(values, F.lit(0))
+def written(e: Column, kind: Column, value: Column) -> Column:
+    """The canonical surrogate `value` written as the entity `e` was."""
     walked = F.aggregate(
         _chars(e),
         F.struct(F.lit(0).alias("i"), F.lit("").alias("out")),
@@ -231,80 +286,133 @@ def written(e: Column, kind: Column, values: Column) -> Column:
         lambda a: F.concat(a["out"], F.substr(value, a["i"] + 1)),
     )
     upper = (e == F.upper(e)) & kind.isin("email", "ipv6", "secret")
-    return F.when(kind == "person", F.concat(F.regexp_extract(e, r"^\S+ ", 0), _full_name(e, values))).when(kind.isin("ssn", "phone", "card", "iban"), walked).when(upper, F.upper(value)).otherwise(value)
+    named = F.concat(F.regexp_extract(e, r"^\S+ ", 0), _cased(_name_words(e), value))
+    return F.when(kind == "person", named).when(kind.isin("ssn", "phone", "card", "iban"), walked).when(upper, F.upper(value)).otherwise(value)
 
 
-def _full_name(e: Column, values: Column) -> Column:
-    """A person's name without the title, in surrogates, each word in the mention's case."""
-    last = lambda v: F.substring_index(v, "|", -1)
-    cased = F.zip_with(_name_words(e), values, lambda w, v: F.when((F.length(w) > 1) & (w == F.upper(w)), F.upper(last(v))).otherwise(F.initcap(last(v))))
-    return F.array_join(cased, " ")
+def _cased(words: Column, value: Column) -> Column:
+    """The surrogate of a name, each word in the case of the mention's."""
+    new = F.split(F.substring_index(value, "|", -1), " ")
+    return F.array_join(F.zip_with(words, new, lambda w, v: F.when((F.length(w) > 1) & (w == F.upper(w)), F.upper(v)).otherwise(F.initcap(v))), " ")
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """kind, value, surrogate: distinct surrogates, none of them an entity of the corpus."""
+    """kind, value, surrogate: distinct surrogates, none of them an entity of the corpus.
+
+    It ends: the entities to be served only get fewer, while from the draw `LONGER` on (4 for names and mail) surrogates
+    grow by a sign or a syllable at the latest every fourth draw, so there are at least ten times as many; addresses turn into 2^128.
+    """
     shuffled = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entities = cut(entities.select("kind", "value").distinct())
-    rest, done = entities, entities.select("kind", "value", F.lit("").alias("surrogate")).limit(0)
+    rest, served = entities, []
     for draw in count():
         # few bytes but much work: dealt out again, and the streams are columns, computed once for a row
         dealt = rest.repartition(shuffled, "kind", "value")
         seeds = dealt.select("kind", "value", _hexes(key, F.concat_ws("|", "kind", "value", F.lit(draw))).alias("h"), _hexes(key, F.concat_ws("|", F.lit("domain"), F.substring_index("value", "@", -1))).alias("d"))
         streams = seeds.select("kind", "value", _stream(F.col("h")).alias("h"), _stream(F.col("d")).alias("d"))
-        drawn = streams.select("kind", "value", surrogate(F.col("kind"), F.col("value"), F.col("h"), F.col("d"), draw).alias("surrogate"))
-        free = drawn.join(entities.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_anti").join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        first = free.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
-        done = cut(done.unionByName(first.select("kind", "value", "surrogate")))
-        rest = cut(rest.join(done, ["kind", "value"], "left_anti"))
+        free = streams.select("kind", "value", surrogate(F.col("kind"), F.col("value"), F.col("h"), F.col("d"), draw).alias("surrogate"))
+        for taken in [entities.select("kind", F.col("value").alias("surrogate"))] + [d.select("kind", "surrogate") for d in served]:
+            free = free.join(taken, ["kind", "surrogate"], "left_anti")
+        first = cut(free.groupBy("kind", "surrogate").agg(F.min("value").alias("value")).select("kind", "value", "surrogate"))
+        served.append(first)
+        rest = cut(rest.join(first, ["kind", "value"], "left_anti"))
         if rest.isEmpty():
-            return done
+            return reduce(DataFrame.unionByName, served)
+
+
+def _standing_for(mentions: DataFrame, key: str) -> DataFrame:
+    """kind, value, surrogate of all that is mentioned; a person's surrogate is those of its words."""
+    named = mentions.kind == "person"
+    people = cut(resolved(cut(mentions.where(named).select("value").distinct())))
+    part = people.select("value", F.posexplode(_parts(F.col("gender"), F.split("name", " "))).alias("i", "p")).select(F.col("value").alias("person"), "i", "p.kind", "p.value")
+    table = surrogates(mentions.where(~named).select("kind", "value").unionByName(part.select("kind", "value")), key)
+    words = F.transform(F.array_sort(F.collect_list(F.struct("i", F.substring_index("surrogate", "|", -1).alias("w")))), lambda x: x["w"])
+    whole = part.join(table, ["kind", "value"]).groupBy("person").agg(F.array_join(words, " ").alias("surrogate"))
+    return table.unionByName(whole.select(F.lit("person").alias("kind"), F.col("person").alias("value"), "surrogate"))
 
 
 def replace(docs: DataFrame, text: str = "text", key: str = KEY, report: bool = True) -> DataFrame:
     """docs with every entity of `text` replaced; with `report`, columns n_entities and entity_kinds follow.
 
-    entity_kinds: sorted, distinct, joined by commas.  A null text stays null and has none; rows
+    entity_kinds: sorted, distinct, joined by commas; names without a title count as well.  A null text stays null and has none; rows
     without entities (empty texts, too) stay as they are, repeated rows get the same text, and
     null or repeated keys don't matter.  Texts are read whole, however long; an empty table gives
     no rows.  Where patterns overlap, the first in the text counts, of those at one place the first
-    kind of `PATTERNS`.  With `report`, columns of those names that docs already has are replaced.
+    kind of `PATTERNS`; of names without a title the longest.  With `report`, columns of those names that docs already has are replaced.
     """
     kept = [c for c in docs.columns if not report or c not in ("n_entities", "entity_kinds")]
     others = F.struct(F.lit(0).alias("__0"), *[F.col(c) for c in kept if c != text]).alias("__row")
     rows = docs.select(others, F.col(text).alias("__t"))
     whole = F.coalesce(F.col("__t"), F.lit(""))
     some = whole.rlike(HINT)
-    none = rows.where(~some | ~whole.rlike(PATTERN))
+    plain = rows.where(~some | ~whole.rlike(PATTERN))
+    hashed = F.unhex(F.sha2("__t", 256)).alias("__h")
     # rows with entities are stored with what they mention, so the pattern runs twice over other texts and once more here
     found = F.transform(F.regexp_extract_all("__t", F.lit(PATTERN), F.lit(0)), lambda e: F.struct(e.alias("e"), kind_of(e).alias("kind")))
-    with_any = rows.where(some & whole.rlike(PATTERN)).select("__row", "__t", found.alias("__e"))
-    with_any = with_any.select("__row", "__t", F.transform("__e", lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), parts(x["e"], x["kind"]).alias("parts"))).alias("__e"), F.sha2("__t", 256).alias("__h"))
-    with_any = cut(with_any)
-    # what each text mentions; then what stands for it
-    said = F.array_distinct(F.flatten(F.transform("__e", lambda x: x["parts"])))
-    mentions = cut(with_any.select("__h", F.explode(said).alias("m")).distinct().select("__h", "m.kind", "m.value"))
-    table = surrogates(mentions, key)
+    texts = rows.where(some & whole.rlike(PATTERN)).select("__row", "__t", found.alias("__e"))
+    texts = cut(texts.select("__row", "__t", F.transform("__e", lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), mention(x["e"], x["kind"]).alias("m"))).alias("__e"), hashed))
+
+    # titled names; full ones are looked for in all texts
+    titled = texts.select("__h", F.explode(F.array_distinct(F.filter("__e", lambda x: x["kind"] == "person"))).alias("x"))
+    spelled = F.array_join(_name_words(F.col("x.e")), " ")
+    sure = ~F.rtrim(_title(F.col("x.e")), F.lit(".")).isin(_UNSURE)
+    titled = titled.select("__h", spelled.alias("old"), sure.alias("sure"), F.col("x.m.of").alias("kind"), F.col("x.m.value").alias("value"))
+    full = titled.where("kind = 'person'")
+    known = cut(full.where("sure").select(F.substring_index("value", "|", -1).alias("name")).distinct())
+    names = full.select("__h", "old", F.lit(0).alias("rank"), "kind", "value")
+    people = titled.where("sure").select("__h", "old")
+    if not known.isEmpty():
+        looked = plain.where(F.col("__t").rlike(RUN)).select(hashed, "__t").unionByName(texts.select("__h", "__t"))
+        runs = looked.select("__h", F.explode(_runs(F.col("__t"))).alias("old"))
+        hits = cut(runs.join(_bounded(known, F.octet_length("name")), F.lower("old") == F.col("name")).select("__h", "old").distinct())
+        # untitled names make their texts part of the work; if these are few, their hashes go out, else the texts meet them by hash
+        marks = cut(hits.select("__h", F.lit(True).alias("__hit")).distinct())
+        sized = _bounded(marks, F.lit(32))
+        flagged = plain.select("__row", "__t", hashed).join(sized, "__h", "left")
+        flagged = flagged if sized is not marks else cut(flagged)
+        named = cut(flagged.where("__hit").select("__row", "__t", F.filter(F.array(F.lit(None).cast(texts.schema["__e"].dataType.elementType)), lambda x: x.isNotNull()).alias("__e"), "__h"))
+        plain, texts = flagged.where("__hit is null").select("__row", "__t"), texts.unionByName(named)
+        names = names.unionByName(hits.select("__h", "old", F.lit(1).alias("rank"), F.lit("person").alias("kind"), F.concat(F.lit("n|"), F.lower("old")).alias("value")))
+        people = people.unionByName(hits)
+    last = F.substring_index("old", " ", -1)
+    names = names.unionByName(people.select("__h", last.alias("old"), F.lit(2).alias("rank"), F.lit("family").alias("kind"), _family(last).alias("value")))
+    names = names.groupBy("__h", "old").agg(F.min(F.struct("rank", "kind", "value")).alias("m")).select("__h", "old", "m.kind", "m.value")
+
+    # what each text mentions, titled or not; then what stands for it
+    said = F.array_distinct(F.transform("__e", lambda x: x["m"]))
+    mentions = texts.select("__h", F.explode(said).alias("m")).distinct().select("__h", F.lit(None).cast("string").alias("old"), F.col("m.of").alias("kind"), "m.value")
+    mentions = cut(mentions.unionByName(names))
     label = lambda kind, value: F.concat_ws(":", kind, value)
-    maps = mentions.join(table, ["kind", "value"]).groupBy("__h").agg(F.map_from_entries(F.collect_list(F.struct(label("kind", "value").alias("k"), F.col("surrogate").alias("v")))).alias("__m"))
-    joined = with_any.join(maps.withColumnRenamed("__h", "__h2"), F.col("__h") == F.col("__h2"))
-    values = F.transform("__e", lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), F.transform(x["parts"], lambda p: F.element_at(F.col("__m"), label(p["kind"], p["value"]))).alias("v")))
-    joined = joined.select("__row", "__t", values.alias("__e"))
-    new = F.transform("__e", lambda x: written(x["e"], x["kind"], x["v"]))
-    merged = F.array_join(F.zip_with(F.split("__t", PATTERN, -1), new, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
-    # full names stand for their person without a title, too; longer ones go first
-    full = F.filter("__e", lambda x: (x["kind"] == "person") & (F.size(x["v"]) > 1))
-    names = F.array_distinct(F.transform(full, lambda x: F.struct((-F.length(x["e"])).alias("n"), F.array_join(_name_words(x["e"]), " ").alias("old"), _full_name(x["e"], x["v"]).alias("new"))))
-    alone = lambda t, n: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), n["old"], F.lit(r"\E(?![\p{L}\p{N}])")), n["new"])
-    changed = joined.select("__row", merged.alias("__t"), F.array_sort(names).alias("__names"), "__e")
-    changed = changed.select("__row", F.aggregate("__names", F.col("__t"), alone).alias("__t"), F.size("__e").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct(F.transform("__e", lambda x: x["kind"]))), ",").alias("entity_kinds"))
-    plain = none.select("__row", "__t", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("entity_kinds"))
-    both = plain.unionByName(changed)
+    by_label = F.collect_list(F.when(F.col("old").isNull(), F.struct(label("kind", "value").alias("k"), F.col("surrogate").alias("v"))))
+    by_name = F.collect_list(F.when(F.col("old").isNotNull(), F.struct((-F.length("old")).alias("n"), F.col("old").alias("k"), _cased(F.split("old", " "), F.col("surrogate")).alias("v"))))
+    maps = mentions.join(_standing_for(mentions, key), ["kind", "value"]).groupBy("__h").agg(F.map_from_entries(by_label).alias("__m"), F.array_sort(by_name).alias("__names"))
+    joined = texts.join(maps.withColumnRenamed("__h", "__h2"), F.col("__h") == F.col("__h2"))
+    new = F.transform("__e", lambda x: written(x["e"], x["kind"], F.element_at(F.col("__m"), label(x["m"]["of"], x["m"]["value"]))))
+    # names stand between the entities; the longest first
+    either = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?<!\p{L}[\-'’])(?=\p{Lu})(?:"), F.array_join(F.transform("__names", lambda x: F.concat(F.lit(r"\Q"), x["k"], F.lit(r"\E"))), "|"), F.lit(r")(?![\p{L}\p{N}]|[\-'’]\p{Lu})"))
+    joined = joined.select("__row", "__e", new.alias("__new"), F.split("__t", PATTERN, -1).alias("__p"), F.when(F.size("__names") > 0, either).alias("__either"), F.map_from_entries(F.transform("__names", lambda x: F.struct(x["k"], x["v"]))).alias("__m"))
+    joined = joined.withColumn("__q", F.when(F.col("__either").isNotNull(), F.transform("__p", lambda p: F.regexp_extract_all(p, F.col("__either"), F.lit(0)))))
+    woven = lambda parts, between: F.array_join(F.zip_with(parts, between, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+    piece = F.zip_with("__p", "__q", lambda p, q: woven(F.split(p, F.col("__either"), -1), F.transform(q, lambda x: F.element_at(F.col("__m"), x))))
+    n_names = F.coalesce(F.size(F.flatten("__q")), F.lit(0))
+    kinds = F.concat(F.transform("__e", lambda x: x["kind"]), F.when(F.col("__either").isNotNull() & (n_names > 0), F.array(F.lit("person"))).otherwise(F.array().cast("array<string>")))
+    changed = joined.select(
+        "__row",
+        woven(F.when(F.col("__either").isNotNull(), piece).otherwise(F.col("__p")), F.col("__new")).alias("__t"),
+        (F.size("__e") + F.when(F.col("__either").isNotNull(), n_names).otherwise(0)).cast("long").alias("n_entities"),
+        F.array_join(F.array_sort(F.array_distinct(kinds)), ",").alias("entity_kinds"),
+    )
+    untouched = plain.select("__row", "__t", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("entity_kinds"))
+    both = untouched.unionByName(changed)
     return both.select(*[F.col("__t").alias(c) if c == text else F.col("__row")[c].alias(c) for c in kept], *(["n_entities", "entity_kinds"] if report else []))
 
 
 def key_of(spark: SparkSession) -> str:
-    """The key that the session names."""
-    return spark.conf.get(KEY_SETTING, KEY)
+    """The key that the session names; the built-in one, which anybody can read, is told of on a cluster."""
+    named = spark.conf.get(KEY_SETTING, None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        warnings.warn(f"{KEY_SETTING} is not set: surrogates are made with a key that is public")
+    return named or KEY
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
