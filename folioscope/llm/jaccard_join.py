@@ -242,7 +242,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 
     component_id is the smallest key reachable by links.  A null or empty text has no shingles
     and no links.  Rows with equal texts link, also where keys repeat; a null key takes part in
-    links but is never a component_id (null if no row of the component has a key).
+    links but is never a component_id (null if no row of the component has a key).  Texts are read
+    whole, however long, an empty table gives no rows, and other columns are left out, whatever their names.
     """
     rows, links = near_sets(docs, key, text, words, percent)
     light = rows.select("rid", F.col("k").alias(key), F.col("n").alias("n_shingles"))
@@ -264,10 +265,10 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     links = cut(join(docs.select(name.alias("__id"), F.col(text).alias("__t")), "__id", "__t", words, percent).where("__id is not null"))
     drop = links.where("__id <> component_id").select(F.col("__id").alias("__gone")).distinct()
     twice = links.groupBy("__id").count().where("count > 1").select(F.col("__id").alias("__twice"))
-    kept = docs.withColumn("__id", name).join(drop, F.col("__id") == F.col("__gone"), "left_anti")
+    kept = docs.select(name.alias("__id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")).join(drop, F.col("__id") == F.col("__gone"), "left_anti")
     once = kept.join(twice, F.col("__id") == F.col("__twice"), "left_anti")
     again = kept.join(twice, F.col("__id") == F.col("__twice"), "left_semi").dropDuplicates(["__id"])
-    return once.unionByName(again).select(*docs.columns)
+    return once.unionByName(again).select("__row.*")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     """key, n_words, log_score (sum of ln S), mean_log_score: one row for each row of docs.
 
     A null or empty text has no words: log_score 0, mean_log_score null.  Repeated rows count
-    as often as they occur, and a null key is kept.  An empty table gives no rows.
+    as often as they occur, and a null key is kept.  An empty table gives no rows.  Texts are read whole,
+    however long, and other columns are left out, whatever their names.
     """
     chunks = chunked(docs, key, text, LETTERS, CHUNK)
     n_total = chunks.agg(F.sum("n_words")).first()[0] or 0
