@@ -52,7 +52,7 @@ def k19(spark, d):
     """Keyword and dense hits fused, weighed for latest editions, grouped and completed, with neighbours, cut to what is visible."""
     known, asked = docs(spark, d), table(spark, d, "benchmark")
     rows = lines(spark, d).withColumn("chunk_id", F.struct("doc_id", "pos"))
-    keyword = rt.keyword_search(rt.postings(rows, "chunk_id", "text"), asked, "chunk_id", "item_id", "text", 30, total=rt.searchable_count(rows, "text"))
+    keyword = rt.keyword_search_texts(rows, asked, "chunk_id", "text", "item_id", "text", 30)
     v = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
     vectors = asked.select("item_id").join(v.select(c("doc_id").alias("item_id"), c("embedding").alias("qe")), "item_id")
     dense = rt.dense_search(v, vectors, "doc_id", "embedding", "item_id", "qe", 30).withColumn("chunk_id", F.struct("doc_id", F.lit(0).alias("pos")))

@@ -29,7 +29,7 @@ KEYWORD = f"""{POST}, {ASK}, n AS (SELECT count(DISTINCT doc_id) AS n FROM post)
 
 def _keyword(spark: SparkSession, d: str, limit: int = 30) -> DataFrame:
     texts = table(spark, d, "documents")
-    return rt.keyword_search(rt.postings(spread(texts.select("doc_id", "text")), "doc_id", "text"), table(spark, d, "benchmark"), "doc_id", "item_id", "text", limit, total=rt.searchable_count(texts, "text"))
+    return rt.keyword_search_texts(spread(texts.select("doc_id", "text")), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text", limit)
 
 
 @query("k05_postings", f"WITH {POST} SELECT * FROM post")
@@ -270,7 +270,7 @@ def e06(spark, d):
     """Benchmark texts as golden sets: keyword search of lines, the lines found with their neighbours, and the outcome."""
     c = lines(spark, d).withColumn("chunk_id", F.struct("doc_id", "pos"))
     asked = table(spark, d, "benchmark")
-    found = rt.keyword_search(rt.postings(c, "chunk_id", "text"), asked, "chunk_id", "item_id", "text", 10, total=rt.searchable_count(c, "text")).cache()
+    found = rt.keyword_search_texts(c, asked, "chunk_id", "text", "item_id", "text", 10).cache()
     string = lambda name: F.lit(None).cast("string").alias(name)
     chunks = c.select(
         "chunk_id", "doc_id", F.lit("1").alias("version"), F.lit("any").alias("name"), string("label"), F.lit(True).alias("active"), F.lit("text").alias("kind"), F.col("pos").alias("order"), string("split_group"),

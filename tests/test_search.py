@@ -1,5 +1,6 @@
 """The whole search on a small table, worked out by hand, and its bounds."""
 
+import math
 import random
 
 import pytest
@@ -67,3 +68,27 @@ def test_coverage_is_the_union_of_the_longest_parts(spark):
     got = ev.metrics(h, c, ev.body([F.array("text")]))
     assert {x.case_id: x.coverage for x in got.collect()} == pytest.approx(want)
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("block", [2, 10_000])
+def test_keyword_search_of_texts_makes_no_rows_of_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(rt, "QUERY_BLOCK", block)
+    monkeypatch.setattr(rt, "TILE", 7)
+    r, words = random.Random(3), [f"w{i}" for i in range(12)]
+    texts = [((i, i % 3), " ".join(r.choices(words, k=r.randint(1, 9)))) for i in range(120)] + [((200, 0), None), ((201, 0), "- ")]
+    asked = [(q, " ".join(r.choices(words, k=3))) for q in range(5)] + [(0, "w1 W2"), (8, "none"), (9, None)]
+    chunks = spark.createDataFrame(texts, "k struct<a: int, b: int>, text string").repartition(3)
+    queries = spark.createDataFrame(asked, "q int, text string")
+    got = rt.keyword_search_texts(chunks, queries, "k", "text", "q", "text", 7)
+    held = {k: t.split() for k, t in texts if t and t != "- "}
+    df = {w: sum(w in t for t in held.values()) for w in words}
+    want = set()
+    for q in {q for q, _ in asked}:
+        terms = {w for k, t in asked if k == q and t for w in t.lower().split()} & set(words)
+        score = {k: sum(t.count(w) * math.log(1 + (len(held) - df[w] + 0.5) / (df[w] + 0.5)) for w in terms) for k, t in held.items() if terms & set(t)}
+        want |= {(q, i + 1, k, round(score[k], 6)) for i, k in enumerate(sorted(score, key=lambda k: (-round(score[k], 9), k))[:7])}
+    assert {(x.q, x["rank"], tuple(x.k), round(x.score, 6)) for x in got.collect()} == want
+    from folioscope import plans
+
+    plan = plans.queries()["k06_keyword_search"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
