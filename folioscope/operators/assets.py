@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..functions.batches import pieces
 from . import markdown as md
 
 #: What stands for a table or an image without a description (fixed values).
@@ -215,7 +216,7 @@ def extract_assets(docs: DataFrame, key: str, text: str, namespace: str = tx.NAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.int32()) for f in asset.fields]))
-        for batch in batches:
+        for batch in pieces(batches, 1):
             got = [extract(t, namespace) if t is not None else (None, []) for t in batch.column(1).to_pylist()]
             rows = [[{("placeholder_id" if k == "id" else k): v for k, v in a.items()} for a in g[1]] for g in got]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array(rows, kind)], names=[key, "indexing_markdown", "assets"])

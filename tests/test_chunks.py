@@ -154,3 +154,18 @@ def test_faulty_models_fail_loudly(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id int, text string")
     with pytest.raises(Exception, match="results for"):
         ck.model_sections_of(docs, "doc_id", "text", lambda: lambda t, f: []).select(F.col("asked")).collect()
+
+
+def test_batches_go_in_pieces_of_bounded_bytes(monkeypatch):
+    import pyarrow as pa
+
+    from folioscope.functions import batches
+    from folioscope.operators import assets, chunking
+
+    monkeypatch.setattr(batches, "PIECE_BYTES", 10)
+    texts = ["a" * 4, None, "b" * 6, "c", "d" * 30, "", "e" * 3]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts, pa.string())], names=["k", "t"])
+    got = [x.column(1).to_pylist() for x in batches.pieces(iter([batch, batch.slice(0, 0), batch.slice(5)]), 1)]
+    assert got == [texts[:3], texts[3:4], texts[4:5], texts[5:], texts[5:]]
+    # both makers of Python objects take their rows so
+    assert assets.pieces is batches.pieces and chunking.pieces is batches.pieces
