@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..sources.log import PartitionedTable
-from .retrieval import inverse_frequency, postings, top
+from .retrieval import inverse_frequency, postings, search_words, top
 
 #: Of a query's blocks the best ones that are scored for its first threshold.
 FIRST_BLOCKS = 4
@@ -96,19 +96,26 @@ class KeywordIndex:
         df = heads.groupBy("term").agg(F.sum("n").alias("df"))
         weight = asked.join(df, "term").select(query_key, "term", inverse_frequency(F.lit(total), F.col("df")).alias("idf"))
         if not prune:
-            return self._scored(rows, weight, None, query_key, limit)
+            return self._ranked(rows, df, queries, query_key, query_text, limit, total)
         bound = weight.join(heads, "term").groupBy(query_key, "block").agg(F.sum(F.col("max_tf") * F.col("idf")).alias("bound"))
         best = bound.withColumn("__r", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("bound"), "block"))).where(F.col("__r") <= FIRST_BLOCKS)
         first = self._scored(rows, weight, best.select(query_key, "block"), query_key, limit)
         # a query with fewer rows than it wants has no threshold yet
         least = first.groupBy(query_key).agg(F.when(F.count("*") == limit, F.min("score")).alias("least"))
         open_ = bound.join(least, query_key, "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-6))
-        return self._scored(rows, weight, open_.select(query_key, "block"), query_key, limit)
+        # blocks that some query opens; scoring them for the others as well doesn't change what these find
+        return self._ranked(rows.join(open_.select("block").distinct(), "block", "left_semi"), df, queries, query_key, query_text, limit, total)
 
-    def _scored(self, rows: DataFrame, weight: DataFrame, some: DataFrame | None, query_key: str, limit: int) -> DataFrame:
-        """The best chunks of the given blocks of each query (None: of all)."""
+    def _ranked(self, rows: DataFrame, df: DataFrame, queries: DataFrame, query_key: str, query_text: str, limit: int, total: int) -> DataFrame:
+        """The best chunks of these rows for each query; a chunk's words meet in one row, so pairs of query and chunk are no rows."""
+        held = rows.join(df.select("term"), "term", "left_semi").select("term", F.explode("entries").alias("e"))
+        words = held.groupBy(F.col("e.key").alias("k")).agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("e.tf").cast("int")))).alias("words"))
+        return search_words(words.withColumn("size", F.lit(0).cast("long")), True, queries, self.key, query_key, query_text, limit, total, known=df)
+
+    def _scored(self, rows: DataFrame, weight: DataFrame, some: DataFrame, query_key: str, limit: int) -> DataFrame:
+        """The best chunks of a few given blocks of each query."""
         held = rows.select("block", "term", "entries")
-        pairs = weight.join(held, "term") if some is None else some.join(weight, query_key).join(held, ["term", "block"])
+        pairs = some.join(weight, query_key).join(held, ["term", "block"])
         entries = pairs.select(query_key, "idf", F.explode("entries").alias("e"))
         scores = entries.groupBy(query_key, F.col("e.key").alias(self.key)).agg(F.sum(F.col("e.tf") * F.col("idf")).alias("score"))
         return top(scores, query_key, self.key, limit)

@@ -173,3 +173,16 @@ def test_indexed_query_equals_the_plain_one(spark):
 
     d, key = "/root/testdata/sf0.001", lambda r: (r["item_id"], r["rank"], r["doc_id"], r["score"])
     assert sorted(map(key, plans.queries()["k06_indexed_search"](spark, d).collect())) == sorted(map(key, plans.queries()["k06_keyword_search"](spark, d).collect()))
+
+
+def test_an_indexed_search_makes_no_rows_of_pairs(spark, tmp_path):
+    r, words = random.Random(9), [f"w{i}" for i in range(15)]
+    chunks = spark.createDataFrame([(i, " ".join(r.choices(words, k=r.randint(1, 12)))) for i in range(200)], "id int, text string")
+    asked = spark.createDataFrame([(q, " ".join(r.choices(words, k=4))) for q in range(6)], "q int, text string")
+    index = KeywordIndex(spark, str(tmp_path / "i"), "id", buckets=2, blocks=3)
+    index.build(chunks, "text")
+    found = [index.search(asked, "q", "text", 9, total=200, prune=p) for p in (True, False)]
+    assert all("Join" not in x._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0] for x in found)
+    rows = [sorted((x.q, x["rank"], x.id, round(x.score, 6)) for x in f.collect()) for f in found]
+    want = sorted((x.q, x["rank"], x.id, round(x.score, 6)) for x in rt.keyword_search(rt.postings(chunks, "id", "text"), asked, "id", "q", "text", 9).collect())
+    assert rows[0] == rows[1] == want
