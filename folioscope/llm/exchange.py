@@ -203,7 +203,7 @@ def totals(chunks: DataFrame, items: Items, n_words: int, per_word: float = 1.0)
 
     asked = "chunk bigint, shard int, values binary, counts binary"
     flags = cut(chunks.mapInArrow(ask, asked).groupBy("shard").applyInArrow(repeats, "chunk bigint, shard int, flags binary"))
-    whole = _with(chunks, flags, ask_whole, asked)
+    whole = with_chunk(chunks, flags, ask_whole, asked)
     answers = whole.groupBy("shard").applyInArrow(answer, "chunk bigint, shard int, totals binary")
     none = F.lit(None).cast("binary")
     return flags.select("chunk", "shard", "flags", none.alias("totals")).union(answers.select("chunk", "shard", none, "totals"))
@@ -215,7 +215,9 @@ def _repeated(table: pa.Table, n: int) -> np.ndarray:
     return np.concatenate([np.zeros(0, bool), *[_flags(table.column("flags")[int(i)].as_py()) for i in order]]) if len(order) else np.zeros(n, bool)
 
 
-def _with(chunks: DataFrame, answers: DataFrame, use: Callable[[Chunk, pa.Table], pa.Table], schema) -> DataFrame:
+def with_chunk(chunks: DataFrame, answers: DataFrame, use: Callable[[Chunk, pa.Table], pa.Table], schema) -> DataFrame:
+    """use(chunk, the answers with its number) for every chunk; chunks stay where they are."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = use(Chunk(left), right)
         tidy()
@@ -237,4 +239,4 @@ def per_chunk(chunks: DataFrame, answers: DataFrame, use: Callable[[Chunk, np.nd
             total[often] = np.concatenate([unpack(whole.column("totals")[int(i)].as_py()) for i in order])
         return use(chunk, total)
 
-    return _with(chunks, answers, run, schema)
+    return with_chunk(chunks, answers, run, schema)

@@ -2,12 +2,14 @@
 
 Each step is a minimum per node (combined before the shuffle) and a join on the node, in which the
 skew join splits a hub with very many neighbours.  Edges are first thinned to a spanning
-forest inside each partition.
+forest inside each partition, then in partitions merged to some `TASK_EDGES`; where one such
+partition holds them all, its forest is the result without a step.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 
 from .cluster import cut
 
+#: Edges of a merged partition, about; more edges are in more partitions.
+TASK_EDGES = 1 << 18
+
 
 class Forest:
     """Union-find over arbitrary integers; the root is the smallest member."""
@@ -76,9 +81,12 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     No edges give no rows.  Self loops are ignored, repeated edges count once.
     """
     now = cut(edges.select("src", "dst").where("src <> dst").mapInArrow(_thin, "src bigint, dst bigint"))
+    parts = max(1, ceil(now.count() / TASK_EDGES))
+    if parts < now.rdd.getNumPartitions():
+        now = cut(now.coalesce(parts).mapInArrow(_thin, "src bigint, dst bigint"))
     now = now.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
     for _ in range(limit):
-        if _settled(now):
+        if parts == 1 or _settled(now):
             break
         # large star: larger neighbours of a node are linked to the smallest of it and its neighbours
         both = now.union(now.select("dst", "src"))

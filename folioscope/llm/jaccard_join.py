@@ -27,18 +27,20 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .cluster import cut
 from .codec import spread
-from .exchange import Chunk, chunked, per_chunk, totals
+from .exchange import Chunk, chunked, per_chunk, totals, with_chunk
 from .graph import Forest, components
 from .words import SPACED, mix, shingles, tidy
 
 #: Documents of a tile, and how many of a large block are in all its tiles, about.
 TILE, PIVOTS = 128, 32
+#: Sets that are probed for at a time.
+PROBES = 16
 #: Weight of a probe against a merge step in the choice of how many lists are long.
 MU = 0.3
 
@@ -74,37 +76,39 @@ class Lists:
         #: (list, place) of every entry, as ascending numbers
         self.entry = (np.cumsum(new) - 1) * self.n + self.place
 
-    def divide_skip(self, query: np.ndarray, need: int, done: Callable[[int], bool] = lambda place: False) -> Iterator[int]:
+    def divide_skip(self, query: np.ndarray, need: int | np.ndarray, done: Callable[[int], bool] = lambda place: False) -> Iterator[int]:
         """Places of sets that hold at least `need` items of the query, and of which `done` isn't true.
 
-        The longest lists (fewer than `need`) are set aside.  The others are merged (sorted in one
-        array, which gives what a heap would), and what occurs often enough among them is probed
-        for in the long ones, by binary search, the most frequent first.
+        need: one number, or one for each place.  The longest lists (fewer than the least of them) are
+        set aside.  The others are merged (sorted in one array, which gives what a heap would), and
+        what occurs often enough among them is probed for in the long ones, by binary search, the
+        most frequent first, `PROBES` at a time.
         """
         at = np.searchsorted(self.items, query)
-        at = at[at < len(self.items)] if len(self.items) else at[:0]
-        at = at[np.isin(self.items[at], query)]
-        if len(at) < need:
+        query, at = query[at < len(self.items)], at[at < len(self.items)]
+        at = at[self.items[at] == query]
+        need = np.broadcast_to(need, self.n)
+        least = int(need.min()) if self.n else 1
+        if len(at) < least:
             return
         size = self.first[at + 1] - self.first[at]
         order = np.argsort(size, kind="stable")
         at, size = at[order], size[order]
-        n_long = min(need - 1, int(need / (MU * log2(max(2, size[-1])) + 1)))
+        n_long = min(least - 1, int(least / (MU * log2(max(2, size[-1])) + 1)))
         short, long = at[: len(at) - n_long], at[len(at) - n_long :]
         merged = np.sort(self.place[spread(self.first[short], size[: len(short)])])
         edge = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
         found, count = merged[edge], np.diff(np.concatenate([edge, [len(merged)]]))
-        likely = np.flatnonzero(count >= need - n_long)
-        for k in likely[np.argsort(-count[likely], kind="stable")].tolist():
-            x, c = int(found[k]), int(count[k])
-            if done(x):
-                continue
-            if c < need and n_long:
-                wanted = long * self.n + x
-                spot = np.minimum(np.searchsorted(self.entry, wanted), len(self.entry) - 1)
-                c += int((self.entry[spot] == wanted).sum())
-            if c >= need:
-                yield x
+        likely = np.flatnonzero(count >= need[found] - n_long)
+        likely = likely[np.argsort(-count[likely], kind="stable")]
+        for i in range(0, len(likely), PROBES):
+            some = np.array([k for k in likely[i : i + PROBES].tolist() if not done(int(found[k]))], dtype=np.int64)
+            wanted = long * self.n + found[some, None].astype(np.int64)
+            spot = np.minimum(np.searchsorted(self.entry, wanted), len(self.entry) - 1)
+            enough = count[some] + (self.entry[spot] == wanted).sum(axis=1) >= need[found[some]]
+            for x in found[some[enough]].tolist():
+                if not done(x):
+                    yield x
 
 
 def _search(percent: int):
@@ -118,19 +122,16 @@ def _search(percent: int):
             if k is not None:
                 forest.join(r, k)
         index = sorted(np.flatnonzero(side < 2).tolist(), key=lambda i: (sizes[i], rid[i]))
-        lists, names = Lists([sets[i] for i in index]), rid[index].tolist()
+        lists, names, held = Lists([sets[i] for i in index]), rid[index].tolist(), sizes[index]
         for q in np.flatnonzero(side != 1).tolist():
-            a, need = int(rid[q]), _overlap(int(sizes[q]), percent)
+            a, n = int(rid[q]), int(sizes[q])
             same = lambda place: forest.find(names[place]) == forest.find(a)  # noqa: B023, E731
             if all(map(same, range(len(index)))):
                 continue
-            for place in lists.divide_skip(sets[q], need, same):
-                i = index[place]
-                s, t = (sets[q], sets[i]) if len(sets[q]) <= len(sets[i]) else (sets[i], sets[q])
-                at = np.minimum(np.searchsorted(t, s), len(t) - 1)
-                both = int((t[at] == s).sum())
-                if 100 * both >= percent * (int(sizes[q]) + int(sizes[i]) - both):
-                    forest.join(a, names[place])
+            # the overlap from which sets of these sizes link; a set that has no such overlap needs more items than there are
+            need = -(-percent * (n + held) // (100 + percent))
+            for place in lists.divide_skip(sets[q], np.maximum(need, _overlap(n, percent)), same):
+                forest.join(a, names[place])
         src, dst = forest.pairs()
         tidy()
         return pa.table([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
@@ -138,34 +139,52 @@ def _search(percent: int):
     return run
 
 
-def _searched(members: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """src, dst: forests of the links in all groups; members: rid, known, g, lo, hi, side."""
-    full = members.join(rows.select("rid", "n", "items"), "rid")
+def _searched(members: DataFrame, spots: Column, chunks: DataFrame, words: int, percent: int) -> DataFrame:
+    """src, dst: forests of the links in all groups.
+
+    members: rid, chunk, known and places, one row for each rid; spots makes of a place `p` (which
+    has a g) the lo, hi and side of the groups that the row is in.  The shingles of members are
+    taken from their chunk anew, so they move only to their groups.
+    """
+    kind = members.schema["places"].dataType
+    schema = T.StructType([*(T.StructField(x, T.LongType()) for x in ("rid", "known", "n")), T.StructField("items", T.BinaryType()), T.StructField("places", kind)])
+
+    def give(chunk: Chunk, asked: pa.Table) -> pa.Table:
+        at = asked.column("rid").to_numpy() - chunk.row
+        size = chunk.first[at + 1] - chunk.first[at]
+        s, f = _distinct(chunk.hash[spread(chunk.first[at], size)], np.concatenate([[0], np.cumsum(size)]), words)
+        items = pa.array([s[a:z].tobytes() for a, z in zip(f[:-1], f[1:], strict=True)], pa.binary())
+        return pa.table([asked.column("rid"), asked.column("known"), pa.array(np.diff(f), pa.int64()), items, asked.column("places")], names=schema.names)
+
+    got = with_chunk(chunks, members, give, schema)
+    placed = got.select("rid", "known", "n", "items", F.explode("places").alias("p"))
+    full = placed.select("rid", "known", "n", "items", "p.g", F.explode(spots).alias("s")).select("rid", "known", "n", "items", "g", "s.*")
     return cut(full.groupBy("g", "lo", "hi").applyInArrow(_search(percent), "src bigint, dst bigint"))
 
 
-def _links(reps: DataFrame, percent: int) -> DataFrame:
-    """src, dst: edges that connect what links connect; reps: rid, n, items, prefix."""
+def _links(reps: DataFrame, chunks: DataFrame, words: int, percent: int) -> DataFrame:
+    """src, dst: edges that connect what links connect; reps: rid, chunk, prefix."""
     rare = reps.select("rid", F.explode("prefix").alias("x"))
     least = rare.groupBy("x").agg(F.min("rid").alias("m"), F.count("*").alias("c")).where("c > 1")
     blocks = components(rare.join(least, "x").select(F.col("rid").alias("src"), F.col("m").alias("dst")))
     sizes = blocks.groupBy("component").agg(F.count("*").alias("b"))
-    placed = cut(blocks.join(sizes, "component").select(F.col("node").alias("rid"), "component", "b"))
+    placed = cut(blocks.join(sizes, "component").select(F.col("node").alias("rid"), "component", "b").join(reps.select("rid", "chunk"), "rid"))
 
     # a block of few rows is one group; a large one has tiles, and some rows of it are in all its tiles
     tiles = F.when(F.col("b") > TILE, F.ceil(F.col("b") / TILE)).otherwise(F.lit(1))
     pivot = (F.col("b") > TILE) & (F.pmod(F.xxhash64("rid", F.lit(1)), "b") < PIVOTS)
-    mine = F.when(pivot, F.sequence(F.lit(0).cast("long"), tiles - 1)).otherwise(F.array(F.pmod(F.xxhash64("rid"), tiles)))
+    place = F.struct(F.col("component").alias("g"), tiles.alias("tiles"), F.pmod(F.xxhash64("rid"), tiles).alias("mine"), pivot.alias("pivot"))
     none = F.lit(None).cast("long")
-    first = placed.select("rid", none.alias("known"), F.col("component").alias("g"), F.explode(mine).alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(0).alias("side"))
-    found = _searched(first, reps, percent)
+    first = placed.select("rid", "chunk", none.alias("known"), F.array(place).alias("places"))
+    spot = "named_struct('lo', cast({} as bigint), 'hi', cast({} as bigint), 'side', {})"
+    found = _searched(first, F.expr(f"transform(CASE WHEN p.pivot THEN sequence(0L, p.tiles - 1) ELSE array(p.mine) END, v -> {spot.format('v', 0, 0)})"), chunks, words, percent)
     large = placed.where(F.col("b") > TILE)
     if large.isEmpty():
         return found
 
     # what is left are pairs of different components that share a rare shingle
     known = components(found).select(F.col("node").alias("rid"), F.col("component").alias("known"))
-    held = cut(rare.join(large.join(known, "rid", "left").select("rid", F.coalesce("known", "rid").alias("known")), "rid"))
+    held = cut(rare.join(large.join(known, "rid", "left").select("rid", "chunk", F.coalesce("known", "rid").alias("known")), "rid"))
     signs = [F.bit_xor(F.xxhash64("rid", F.lit(i))).alias(f"s{i}") for i in range(2)]
     parts = held.groupBy("x", "known").agg(F.count("*").alias("c"), *signs)
     holders = parts.groupBy("x").agg(F.max_by("known", F.struct("c", "known")).alias("main"), F.max("c").alias("mains"), F.sum("c").alias("all"), F.count("*").alias("parts"), F.bit_xor("s0").alias("s0"), F.bit_xor("s1").alias("s1"))
@@ -173,14 +192,13 @@ def _links(reps: DataFrame, percent: int) -> DataFrame:
     once = holders.where("parts > 1").groupBy("s0", "s1", "all").agg(F.min_by(F.struct("x", "main", "mains"), "x").alias("h"))
     groups = cut(once.select("h.x", "h.main", F.when(F.col("all") <= TILE, 0).otherwise(F.ceil(F.col("h.mains") / TILE)).alias("t"), F.ceil((F.col("all") - F.col("h.mains")) / TILE).alias("u")))
     # the largest component of the holders has t tiles, the others u; pairs inside it are known
-    at = held.join(groups, "x").withColumn("a", F.pmod(F.xxhash64("rid"), F.greatest("t", F.lit(1)))).withColumn("o", F.pmod(F.xxhash64("rid"), "u"))
-    spot = "named_struct('lo', cast({} as bigint), 'hi', cast({} as bigint), 'side', {})"
-    spots = f"""CASE WHEN t = 0 THEN array({spot.format(0, 0, 0)})
-        WHEN known = main THEN transform(sequence(0L, u - 1), v -> {spot.format("a", "v", 1)})
-        ELSE concat(transform(sequence(0L, t - 1), v -> {spot.format("v", "o", 2)}),
-                    transform(sequence(0L, u - 1), v -> {spot.format("t + least(o, v)", "greatest(o, v)", "CASE WHEN o = v THEN 0 WHEN o < v THEN 1 ELSE 2 END")})) END"""
-    rest = at.select("rid", "known", F.col("x").alias("g"), F.explode(F.expr(spots)).alias("s")).select("rid", "known", "g", "s.lo", "s.hi", "s.side")
-    return found.union(_searched(rest, reps, percent))
+    place = F.struct(F.col("x").alias("g"), "t", "u", F.pmod(F.xxhash64("rid"), F.greatest("t", F.lit(1))).alias("a"), F.pmod(F.xxhash64("rid"), "u").alias("o"), (F.col("known") == F.col("main")).alias("main"))
+    rest = held.join(groups, "x").groupBy("rid", "chunk", "known").agg(F.collect_list(place).alias("places"))
+    spots = f"""CASE WHEN p.t = 0 THEN array({spot.format(0, 0, 0)})
+        WHEN p.main THEN transform(sequence(0L, p.u - 1), v -> {spot.format("p.a", "v", 1)})
+        ELSE concat(transform(sequence(0L, p.t - 1), v -> {spot.format("v", "p.o", 2)}),
+                    transform(sequence(0L, p.u - 1), v -> {spot.format("p.t + least(p.o, v)", "greatest(p.o, v)", "CASE WHEN p.o = v THEN 0 WHEN p.o < v THEN 1 ELSE 2 END")})) END"""
+    return found.union(_searched(rest, F.expr(spots), chunks, words, percent))
 
 
 def near_sets(docs: DataFrame, key: str, text: str, words: int, percent: int, word_bytes: np.ndarray = SPACED) -> tuple[DataFrame, DataFrame]:
@@ -196,11 +214,10 @@ def near_sets(docs: DataFrame, key: str, text: str, words: int, percent: int, wo
         row = np.repeat(np.arange(len(n)), n)
         shared = np.bincount(row, weights=df > 1, minlength=len(n)).astype(np.int64)
         alive = (n > 0) & (100 * shared >= percent * n)
-        same, items, prefix = np.zeros((2, len(n)), dtype=np.int64), [None] * len(n), [None] * len(n)
+        same, prefix = np.zeros((2, len(n)), dtype=np.int64), [None] * len(n)
         for i in np.flatnonzero(alive):
             x, d = s[f[i] : f[i + 1]], df[f[i] : f[i + 1]]
             same[:, i] = np.array([mix(x).sum(), np.bitwise_xor.reduce(mix(x + np.uint64(77)))]).view(np.int64)
-            items[i] = x[d > 1].tobytes()
             rare = np.lexsort((x, d))[: len(x) - _overlap(len(x), percent) + 1]
             prefix[i] = x[rare][d[rare] > 1].view(np.int64)
         gone = ~alive
@@ -211,10 +228,10 @@ def near_sets(docs: DataFrame, key: str, text: str, words: int, percent: int, wo
                 pa.array(n),
                 pa.array(same[0], mask=gone),
                 pa.array(same[1], mask=gone),
-                pa.array(items, pa.binary()),
+                pa.array(np.full(len(n), chunk.id)),
                 pa.array(prefix, pa.list_(pa.int64())),
             ],
-            names=["rid", "k", "n", "same", "same2", "items", "prefix"],
+            names=["rid", "k", "n", "same", "same2", "chunk", "prefix"],
         )
 
     schema = T.StructType(
@@ -224,7 +241,7 @@ def near_sets(docs: DataFrame, key: str, text: str, words: int, percent: int, wo
             T.StructField("n", T.LongType()),
             T.StructField("same", T.LongType()),
             T.StructField("same2", T.LongType()),
-            T.StructField("items", T.BinaryType()),
+            T.StructField("chunk", T.LongType()),
             T.StructField("prefix", T.ArrayType(T.LongType())),
         ]
     )
@@ -233,8 +250,8 @@ def near_sets(docs: DataFrame, key: str, text: str, words: int, percent: int, wo
     classes = cut(alive.groupBy("same", "same2", "n").agg(F.min("rid").alias("rep")))
     copies = alive.select("rid", "same", "same2", "n").join(classes, ["same", "same2", "n"]).where("rid <> rep").select(F.col("rid").alias("src"), F.col("rep").alias("dst"))
 
-    reps = alive.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "n", "items", "prefix")
-    return rows, components(_links(reps, percent).union(copies))
+    reps = alive.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "chunk", "prefix")
+    return rows, components(_links(reps, chunks, words, percent).union(copies))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:

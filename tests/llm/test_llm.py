@@ -605,3 +605,39 @@ def test_licences_of_one_family_are_told_apart(spark, name):
     texts = [f"This work is licensed under a Creative Commons {name} 4.0 International License.", f"x y. Licensed under {want.replace('-', ' ', 1).replace('-4.0', ' 4.0')}.\nz", f"words before this work is licensed\nunder a Creative Commons {name}\n4.0 International License and after"]
     got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
     assert [(r.licences, r.n_notices) for r in sorted(got)] == [(want, 1)] * 3
+
+
+def test_divide_skip_with_a_bound_for_each_place():
+    r = random.Random(3)
+    sets = [np.array(sorted(r.sample(range(10**6), 30) + r.sample(range(10**6, 10**6 + 60), 50)), dtype=np.uint64) for _ in range(60)]
+    lists = jaccard_join.Lists(sets)
+    for q in sets[:20]:
+        q = np.array(sorted({*q.tolist(), *(int(x) - 1 for x in q[:20] if x)}), dtype=np.uint64)  # next to items that are in no list
+        need = np.array([r.randint(35, 60) for _ in sets])
+        want = [i for i, s in enumerate(sets) if len(np.intersect1d(q, s)) >= need[i]]
+        assert sorted(lists.divide_skip(q, need)) == want
+
+
+def test_components_of_merged_partitions(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(400) if i % 10] + [(5, 395), (1000, 1000)]
+    frame = spark.createDataFrame(edges, "src long, dst long").repartition(16)
+    forest = graph.Forest()
+    for a, b in edges:
+        forest.join(a, b)
+    want = {x: forest.find(x) for e in edges[:-1] for x in e}
+    for most in (1 << 18, 100, 1):
+        monkeypatch.setattr(graph, "TASK_EDGES", most)
+        before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+        assert {r.node: r.component for r in graph.components(frame).collect()} == want
+        jobs = len(set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - set(before))
+        if most == 1 << 18:
+            few = jobs
+    assert few < jobs
+
+
+def test_shingles_of_a_search_move_only_to_their_groups(spark):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*words[:i], f"x{i}", *words[i:]])) for i in range(20)]
+    out, links = jaccard_join.near_sets(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 4, 85)
+    assert "items" not in out.columns and out.count() == 20
+    assert links.select("component").distinct().count() == 1 and links.count() == 20
