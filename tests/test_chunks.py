@@ -169,3 +169,39 @@ def test_batches_go_in_pieces_of_bounded_bytes(monkeypatch):
     assert got == [texts[:3], texts[3:4], texts[4:5], texts[5:], texts[5:]]
     # both makers of Python objects take their rows so
     assert assets.pieces is batches.pieces and chunking.pieces is batches.pieces
+
+
+def test_remembered_words_have_the_tokens_of_whole_texts(monkeypatch):
+    from folioscope.plans import scalars
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    file = path("byte_bpe_50k.json")
+    plain, encoded = Tokenizer.from_file(file), []
+    monkeypatch.setattr(scalars, "KNOWN_WORDS", 300)
+    count, r = scalars.token_counter(file), random.Random(5)
+    signs = ["a", "Zo", "'s", "'ll", "'", "'S", " ", "  ", "\n", "\n\n", "\t", "\r", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", " ", "​", "　", "1", "²", "½", "٣", "é", "é", "ß", "ſ", "ʼs", "漢", "가", "😀", "_", "-", "...", "\x00", "\x7f", "Ⅷ", "\U0001e900", "<|endoftext|>"]
+    for _ in range(3000):
+        text = "".join(r.choices(signs[: r.choice([20, len(signs)])], k=r.randint(0, 25)))
+        assert count(text) == len(plain.encode(text, add_special_tokens=False).ids), repr(text)
+    texts = [chr(i) + "a" + chr(i) + " " + chr(i) + "1" for i in range(0x3000) if not 0xD800 <= i < 0xE000]
+    assert [count(t) for t in texts] == [len(plain.encode(t, add_special_tokens=False).ids) for t in texts]
+
+    # a text of known words isn't encoded again
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def __getattr__(self, name):
+            return getattr(self.tokenizer, name)
+
+        def encode(self, text, **kw):
+            encoded.append(text)
+            return self.tokenizer.encode(text, **kw)
+
+    monkeypatch.setattr("tokenizers.Tokenizer", type("T", (), {"from_file": staticmethod(lambda p: Counting(plain))}))
+    again = scalars.token_counter(file)
+    again("some words and some words")
+    first = len(encoded)
+    again(" some words and some")
+    assert len(encoded) == first == 4
