@@ -120,12 +120,14 @@ def names_after(docs: DataFrame, prefix: str, after: str, limit: int = 100) -> D
 
 
 def siblings(docs: DataFrame) -> DataFrame:
-    """doc_id, editions: distinct editions of the document's name among visible documents and its own, newest first."""
-    own = docs.where("edition_date is not null").select("doc_id", F.col("label").alias("label"), F.col("edition_date").alias("d"))
-    other = visible(docs).where("edition_date is not null").select("name", F.col("label"), F.col("edition_date").alias("d")).distinct()
-    every = docs.select("doc_id", "name").join(other, "name").select("doc_id", "label", "d").union(own).distinct()
-    sorted_ = F.array_sort(F.collect_list(F.struct(F.datediff(F.lit("9999-01-01").cast("date"), "d").alias("age"), "label", "d")))
-    return docs.select("doc_id").join(every.groupBy("doc_id").agg(F.transform(sorted_, lambda x: F.struct(x["label"].alias("label"), x["d"].alias("edition_date"))).alias("editions")), "doc_id", "left")
+    """doc_id, editions: distinct editions of the document's name among visible documents and its own, newest first; one row for each row of docs."""
+    edition = F.struct(F.datediff(F.lit("9999-01-01").cast("date"), "edition_date").alias("age"), "label", F.col("edition_date").alias("d"))
+    # a name's editions are collected once, not once for each of its documents
+    seen = visible(docs).where("edition_date is not null").groupBy("name").agg(F.array_sort(F.collect_set(edition)).alias("seen"))
+    own = F.when(F.col("edition_date").isNotNull(), F.array(edition))
+    every = F.when(own.isNull() | F.array_contains("seen", own[0]), F.col("seen")).when(F.col("seen").isNull(), own).otherwise(F.array_sort(F.concat("seen", own)))
+    found = docs.select("doc_id", "name", "label", "edition_date").join(seen, "name", "left")
+    return found.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.transform(every, lambda x: F.struct(x["label"].alias("label"), x["d"].alias("edition_date")))).alias("editions"))
 
 
 def summary_view(docs: DataFrame, versions: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -456,3 +456,13 @@ def test_term_numbers(spark):
     df = spark.createDataFrame([("인증",), ("api",), (None,), ("api",)], "t string")
     want = [int.from_bytes(blake2b(t.encode(), digest_size=4).digest(), "big") if t else None for t in ("인증", "api", None, "api")]
     assert [r.n for r in df.select(tx.term_number("t").alias("n")).collect()] == want
+
+
+def test_editions_are_collected_once_for_a_name(spark):
+    from folioscope.operators import catalog as cat
+
+    docs = spark.range(200).selectExpr("id AS doc_id", "'n' AS name", "cast(id % 3 AS string) AS label", "date_add(date'2024-01-01', cast(id % 2 AS int)) AS edition_date", "id = 0 AS deleted", "'searchable' AS search_state")
+    got = cat.siblings(docs)
+    assert {tuple((x.label, x.edition_date.day) for x in r.editions) for r in got.collect()} == {(("0", 2), ("1", 2), ("2", 2), ("0", 1), ("1", 1), ("2", 1))}
+    # no row for each document and edition
+    assert "Generate" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and plan.count("Join") == 1
