@@ -6,6 +6,7 @@ Placeholders: `[[<namespace>:<table|image>:<id> | <description>]]`.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from hashlib import blake2b
 
 import pandas as pd
@@ -207,6 +208,10 @@ def index_decision(checksum_: Column, open_job: Column, current_job: Column, cur
     return F.when(open_job.isNotNull(), "join").when(same, "reuse").otherwise("submit")
 
 
+#: Terms whose numbers are remembered at once.
+KNOWN_TERMS = 500_000
+
+
 @F.pandas_udf(T.LongType())
 def term_number(term: pd.Series) -> pd.Series:
     """A term's 32-bit number, for stores that know terms by number: different terms may share one."""
@@ -214,6 +219,22 @@ def term_number(term: pd.Series) -> pd.Series:
     return term.map(known).astype("Int64")
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def term_numbers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The numbers of arrays of terms, with repeats; a term is hashed once for a task, or `KNOWN_TERMS` others."""
+
+    class Known(dict):
+        def __missing__(self, t: str) -> int:
+            if len(self) >= KNOWN_TERMS:
+                self.clear()
+            self[t] = int.from_bytes(blake2b(t.encode("utf-8"), digest_size=4).digest(), "big")
+            return self[t]
+
+    known = Known()
+    for terms_ in batches:
+        yield terms_.map(lambda x: None if x is None else [known[t] for t in x])
+
+
 class Automaton:
     """Suffix automaton of a text: all its substrings in space linear in its length."""
 

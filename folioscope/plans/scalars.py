@@ -251,5 +251,6 @@ def p08(spark, d):
 @query("k04_term_numbers")
 def k04(spark, d):
     """Term frequencies by 32-bit number, where terms that share one are counted together; tested against hashlib."""
-    terms = table(spark, d, "documents").select("doc_id", F.explode(tx.terms(c("text"))).alias("term"))
-    return terms.groupBy("doc_id", "term").count().groupBy("doc_id", tx.term_number("term").alias("number")).agg(F.sum("count").alias("tf"))
+    texts = spread(table(spark, d, "documents").select("doc_id", "text"))
+    numbers = texts.select("doc_id", tx.term_numbers(tx.terms(c("text"))).alias("numbers"))
+    return numbers.select("doc_id", F.explode("numbers").alias("number")).groupBy("doc_id", "number").agg(F.count("*").alias("tf"))

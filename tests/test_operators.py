@@ -466,3 +466,9 @@ def test_editions_are_collected_once_for_a_name(spark):
     assert {tuple((x.label, x.edition_date.day) for x in r.editions) for r in got.collect()} == {(("0", 2), ("1", 2), ("2", 2), ("0", 1), ("1", 1), ("2", 1))}
     # no row for each document and edition
     assert "Generate" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and plan.count("Join") == 1
+
+
+def test_numbers_of_arrays_of_terms(spark, monkeypatch):
+    df = spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (3, None)], "k int, t array<string>")
+    one = {r.t: r.n for r in spark.createDataFrame([("a",), ("b",)], "t string").select("t", tx.term_number("t").alias("n")).collect()}
+    assert {r.k: r.n for r in df.select("k", tx.term_numbers("t").alias("n")).collect()} == {1: [one["a"], one["b"], one["a"]], 2: [], 3: None}
