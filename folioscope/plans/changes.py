@@ -5,7 +5,7 @@ Stand-ins: jobs and index records are orders, assets and chunks are lineitem, lo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import assets as at
@@ -14,6 +14,7 @@ from ..operators import chunking as ck
 from ..operators import evaluation as ev
 from ..operators import retrieval as rt
 from ..operators import versions as vs
+from ..sources.store import parts_of
 from ..streaming import events as st
 from .base import query
 from .corpus import DOCS_SQL, docs, table
@@ -62,6 +63,11 @@ def records(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(c("o_custkey").alias("golden_set_id"), c("o_orderkey").alias("record_id"), c("o_orderdate").alias("started_at"), F.when(s == "O", "hit").when(s == "F", "miss").otherwise("evaluating").alias("outcome"))
 
 
+def same(text: str, key: Column) -> Column:
+    """One text for all that has a key; a literal would leave the columns that a join deals rows by."""
+    return F.when(key.isNotNull(), text)
+
+
 # Scans and sinks
 
 
@@ -138,10 +144,11 @@ def p05(spark, d):
 @query("j02_chunks_of_hits", "SELECT l_orderkey AS doc_id, list(CAST(l_linenumber AS VARCHAR) ORDER BY l_linenumber) AS keys FROM lineitem WHERE l_linenumber <> 3 AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45 AND l_linenumber <> 3) GROUP BY 1")
 def j02(spark, d):
     """Hits on large lines of an order bring all active lines of the order, as one split group each."""
-    chunks = table(spark, d, "lineitem").select(c("l_orderkey").alias("doc_id"), F.lit("1").alias("version"), (c("l_linenumber") != 3).alias("active"), F.lit("g").alias("split_group"), c("l_linenumber").alias("split_index"), c("l_linenumber").cast("string").alias("chunk_key"), c("l_linenumber").alias("key"), c("l_returnflag").alias("text"), F.array("l_linestatus").alias("heading_path"), "l_quantity")
+    scan = table(spark, d, "lineitem")
+    chunks = scan.select(c("l_orderkey").alias("doc_id"), same("1", c("l_orderkey")).alias("version"), (c("l_linenumber") != 3).alias("active"), same("g", c("l_orderkey")).alias("split_group"), c("l_linenumber").alias("split_index"), c("l_linenumber").cast("string").alias("chunk_key"), c("l_linenumber").alias("key"), c("l_returnflag").alias("text"), F.array("l_linestatus").alias("heading_path"), "l_quantity")
     ranked = chunks.where("active and l_quantity > 45").select(c("doc_id").alias("q"), "doc_id", "version", "split_group", "key", F.lit(1.0).alias("score"), c("key").alias("order"))
-    groups = rt.group_fragments(ranked, "q", "key", 1)
-    return rt.complete_fragments(groups, chunks, "q", "key").select("doc_id", F.transform("chunks", lambda x: x["chunk_key"]).alias("keys"))
+    groups = rt.group_fragments(ranked.repartition(parts_of(scan), "q"), "q", "key", 1)
+    return rt.complete_fragments(groups, chunks, "q", "key", parts_of(scan)).select("doc_id", F.transform("chunks", lambda x: x["chunk_key"]).alias("keys"))
 
 
 @query("j05_answer_reference", f"WITH {DOCS_SQL} SELECT c_custkey, coalesce(name, '알 수 없는 문서') AS answer_name, label AS answer_label FROM customer LEFT JOIN (SELECT * FROM docs WHERE NOT deleted) ON doc_id = c_custkey")
@@ -212,8 +219,10 @@ HITS = "hits AS (SELECT l_orderkey AS q, row_number() OVER (PARTITION BY l_order
 
 
 def hits(spark, d):
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    return table(spark, d, "lineitem").select(c("l_orderkey").alias("q"), place.alias("rank"), c("l_partkey").alias("doc_id"), c("l_quantity").alias("s"))
+    scan = table(spark, d, "lineitem")
+    rows = scan.select(c("l_orderkey").alias("q"), "l_linenumber", c("l_partkey").alias("doc_id"), "l_suppkey", "l_extendedprice", c("l_quantity").alias("s"))
+    place = F.row_number().over(Window.partitionBy("q").orderBy("l_linenumber", "doc_id", "l_suppkey", "l_extendedprice"))
+    return rows.repartition(parts_of(scan), "q").select("q", place.alias("rank"), "doc_id", "s")
 
 
 @query("k09_rank_map", f"WITH {HITS} SELECT q, doc_id, min(rank) AS rank FROM hits WHERE doc_id % 3 > 0 GROUP BY 1, 2")
@@ -232,7 +241,7 @@ GROUPS = f"{HITS}, g AS (SELECT q, CASE WHEN rank > 2 THEN 'g' ELSE 'k' || rank
 
 
 def groups(spark, d):
-    x = hits(spark, d).withColumns({"score": c("s"), "order": c("rank"), "split_group": F.when(c("rank") > 2, "g"), "key": c("rank"), "doc_id": c("q"), "version": F.lit("1")})
+    x = hits(spark, d).withColumns({"score": c("s"), "order": c("rank"), "split_group": F.when(c("rank") > 2, "g"), "key": c("rank"), "doc_id": c("q"), "version": same("1", c("q"))})
     return rt.group_fragments(x, "q", "key", 2)
 
 
@@ -243,8 +252,8 @@ def k14(spark, d):
 
 @query("k15_completed_fragments", f"WITH {GROUPS}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY ord) AS rank FROM g) SELECT q, rank, 'h' || ord AS first_path, n FROM r WHERE rank <= 2")
 def k15(spark, d):
-    x = hits(spark, d).select(c("q").alias("doc_id"), F.lit("1").alias("version"), F.lit(True).alias("active"), F.when(c("rank") > 2, "g").alias("split_group"), c("rank").alias("split_index"), c("rank").cast("string").alias("chunk_key"), c("rank").alias("key"), F.array(F.concat(F.lit("h"), c("rank").cast("string"))).alias("heading_path"), F.lit("t").alias("text"), F.lit("text").alias("kind"), F.array().cast("array<string>").alias("placeholder_ids"))
-    out = rt.complete_fragments(groups(spark, d), x, "q", "key")
+    x = hits(spark, d).select(c("q").alias("doc_id"), same("1", c("q")).alias("version"), F.lit(True).alias("active"), F.when(c("rank") > 2, "g").alias("split_group"), c("rank").alias("split_index"), c("rank").cast("string").alias("chunk_key"), c("rank").alias("key"), F.array(F.concat(F.lit("h"), c("rank").cast("string"))).alias("heading_path"), F.lit("t").alias("text"), F.lit("text").alias("kind"), F.array().cast("array<string>").alias("placeholder_ids"))
+    out = rt.complete_fragments(groups(spark, d), x, "q", "key", parts_of(table(spark, d, "lineitem")))
     return out.select("q", "rank", F.array_join("heading_path", "").alias("first_path"), F.size("chunks").alias("n"))
 
 

@@ -22,6 +22,19 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+#: Rows that a task is dealt where several steps sort them.
+ROWS = 1 << 18
+
+
+def parts_of(scan: DataFrame) -> int:
+    """Partitions of some `ROWS` rows of a scan, one for each core at least.
+
+    Partitions that Spark packs by bytes hold narrow rows by the million, and a task's memory grows with them.
+    Parquet files count from their footers.
+    """
+    return max(scan.sparkSession.sparkContext.defaultParallelism, -(-scan.count() // ROWS))
+
+
 class Store:
     """A table as versioned folders; numbered pointer files name them, so readers see one whole version."""
 
