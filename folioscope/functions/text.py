@@ -209,7 +209,17 @@ def index_decision(checksum_: Column, open_job: Column, current_job: Column, cur
 
 
 #: Terms whose numbers are remembered at once.
-KNOWN_TERMS = 500_000
+KNOWN_TERMS = 100_000
+
+
+class KnownNumbers(dict):
+    """32-bit numbers of terms; a term is hashed once for `KNOWN_TERMS` others."""
+
+    def __missing__(self, t: str) -> int:
+        if len(self) >= KNOWN_TERMS:
+            self.clear()
+        self[t] = number = int.from_bytes(blake2b(t.encode("utf-8"), digest_size=4).digest(), "big")
+        return number
 
 
 @F.pandas_udf(T.LongType())
@@ -222,15 +232,7 @@ def term_number(term: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def term_numbers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The numbers of arrays of terms, with repeats; a term is hashed once for a task, or `KNOWN_TERMS` others."""
-
-    class Known(dict):
-        def __missing__(self, t: str) -> int:
-            if len(self) >= KNOWN_TERMS:
-                self.clear()
-            self[t] = int.from_bytes(blake2b(t.encode("utf-8"), digest_size=4).digest(), "big")
-            return self[t]
-
-    known = Known()
+    known = KnownNumbers()
     for terms_ in batches:
         yield terms_.map(lambda x: None if x is None else [known[t] for t in x])
 

@@ -16,8 +16,9 @@ from ..operators import catalog as cat
 from ..operators import chunking as ck
 from ..operators import evaluation as ev
 from ..operators import glossary as gl
+from ..operators import retrieval as rt
 from ..operators import versions as vs
-from ..sources.store import spread
+from ..sources.store import spread, text_parts_of
 from .base import query
 from .corpus import table
 
@@ -251,6 +252,5 @@ def p08(spark, d):
 @query("k04_term_numbers")
 def k04(spark, d):
     """Term frequencies by 32-bit number, where terms that share one are counted together; tested against hashlib."""
-    texts = spread(table(spark, d, "documents").select("doc_id", "text"))
-    numbers = texts.select("doc_id", tx.term_numbers(tx.terms(c("text"))).alias("numbers"))
-    return numbers.select("doc_id", F.explode("numbers").alias("number")).groupBy("doc_id", "number").agg(F.count("*").alias("tf"))
+    texts = table(spark, d, "documents").select("doc_id", "text")
+    return rt.numbered_postings(texts, "doc_id", "text", text_parts_of(texts))

@@ -35,6 +35,18 @@ def parts_of(scan: DataFrame) -> int:
     return max(scan.sparkSession.sparkContext.defaultParallelism, -(-scan.count() // ROWS))
 
 
+#: Tasks for each split of a scan where texts are dealt by key, so that a task sorts half a split.
+TASKS_OF_SPLIT = 2
+
+
+def text_parts_of(scan: DataFrame) -> int:
+    """Partitions of a scan whose texts are dealt by key, one for each core at least.
+
+    A split has bounded bytes, so what a task sorts doesn't grow with the table.
+    """
+    return max(scan.sparkSession.sparkContext.defaultParallelism, TASKS_OF_SPLIT * scan.rdd.getNumPartitions())
+
+
 class Store:
     """A table as versioned folders; numbered pointer files name them, so readers see one whole version."""
 
