@@ -33,3 +33,11 @@ def pieces(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBa
 def word_pieces(batches: Iterator[pa.RecordBatch], lists: int) -> Iterator[pa.RecordBatch]:
     """The rows of batches in order; a piece holds at most `PIECE_WORDS` items of the lists of a column, or one row."""
     return _cut(batches, lambda b: pc.list_value_length(b.column(lists)), PIECE_WORDS)
+
+
+def changes(keys: pa.Array) -> np.ndarray:
+    """Of each row whether its key is another than the one before; the first counts as the same.  Null equals null."""
+    if pa.types.is_struct(keys.type):
+        return np.logical_or.reduce([changes(c) for c in [keys.is_null(), *keys.flatten()]])
+    codes = np.asarray(pc.dictionary_encode(keys, null_encoding="encode").indices)
+    return np.concatenate([[False], codes[1:] != codes[:-1]])[: len(keys)]

@@ -11,7 +11,7 @@ from ..operators import evaluation as ev
 from ..operators import retrieval as rt
 from ..operators import search
 from ..operators import versions as vs
-from ..operators.keyword_index import KeywordIndex
+from ..operators.keyword_index import KeywordIndex, blocks_of
 from ..sources.log import work_folder
 from ..sources.store import spread
 from ..streaming import events as st
@@ -45,9 +45,9 @@ def k06(spark, d):
 @query("k06_indexed_search")
 def k06_indexed(spark, d):
     """The same hits from a persisted index that is built for it; tested against k06_keyword_search."""
-    index = KeywordIndex(spark, work_folder(spark, "keyword-index"), "doc_id")
-    texts = table(spark, d, "documents")
-    index.build(spread(texts.select("doc_id", "text")), "text")
+    texts = table(spark, d, "documents").select("doc_id", "text")
+    index = KeywordIndex(spark, work_folder(spark, "keyword-index"), "doc_id", blocks=blocks_of(texts))
+    index.build(texts, "text")
     return index.search(table(spark, d, "benchmark"), "item_id", "text", 30, total=rt.searchable_count(texts, "text")).withColumn("score", F.round("score", 6))
 
 

@@ -39,12 +39,12 @@ def parts_of(scan: DataFrame) -> int:
 TASKS_OF_SPLIT = 2
 
 
-def text_parts_of(scan: DataFrame) -> int:
+def text_parts_of(scan: DataFrame, tasks: int = TASKS_OF_SPLIT) -> int:
     """Partitions of a scan whose texts are dealt by key, one for each core at least.
 
     A split has bounded bytes, so what a task sorts doesn't grow with the table.
     """
-    return max(scan.sparkSession.sparkContext.defaultParallelism, TASKS_OF_SPLIT * scan.rdd.getNumPartitions())
+    return max(scan.sparkSession.sparkContext.defaultParallelism, tasks * scan.rdd.getNumPartitions())
 
 
 class Store:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.operators import keyword_index
 from folioscope.operators import retrieval as rt
 from folioscope.operators.keyword_index import KeywordIndex
 from folioscope.sources.log import Conflict, Folder, PartitionedTable
@@ -186,3 +187,45 @@ def test_an_indexed_search_makes_no_rows_of_pairs(spark, tmp_path):
     rows = [sorted((x.q, x["rank"], x.id, round(x.score, 6)) for x in f.collect()) for f in found]
     want = sorted((x.q, x["rank"], x.id, round(x.score, 6)) for x in rt.keyword_search(rt.postings(chunks, "id", "text"), asked, "id", "q", "text", 9).collect())
     assert rows[0] == rows[1] == want
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "struct<a:int,b:string>"])
+def test_parts_of_blocks(spark, tmp_path, monkeypatch, kind):
+    """Parts end within a block, also where one key has several rows, and an upsert makes them anew."""
+    monkeypatch.setattr(keyword_index, "PART_CHUNKS", 4)
+    monkeypatch.setattr(keyword_index, "PART_WORDS", 90)
+    key = {"int": int, "string": str}.get(kind, lambda i: (i // 9, str(i)))
+    texts = [*documents(5, 150), (150, "w59 " * 120), (3, "w3 w4 twice"), (3, None), (7, "w0 twice"), (151, None), (152, "...")]
+    asked = spark.createDataFrame([(str(q), t) for q, (_, t) in enumerate(documents(6, 12))] + [("x", None), (None, "w59 twice"), ("y", "nowhere")], "q string, text string")
+    table = lambda rows: spark.createDataFrame([(key(k), t) for k, t in rows], f"id {kind}, text string")
+    hits = lambda df: sorted((str(r["q"]), r["rank"], r["id"], round(r["score"], 6)) for r in df.collect())
+    want = lambda rows: hits(rt.keyword_search(rt.postings(table(rows), "id", "text"), asked, "id", "q", "text", 7))
+    index = KeywordIndex(spark, str(tmp_path / "i"), "id", buckets=2, blocks=3)
+    index.build(table(texts).repartition(3), "text")
+    read = index.table.read()
+    assert read.where("term IS NULL AND n > 4").count() == 0 and read.agg(F.max("part")).first()[0] > 3
+    assert index.total() == len({k for k, t in texts if t and "w" in t})
+    assert hits(index.search(asked, "q", "text", 7)) == hits(index.search(asked, "q", "text", 7, prune=False)) == want(texts)
+    index.upsert(table([(3, "w5 w5"), (20, None), (999, "twice w59")]), "text")
+    texts = [(k, t) for k, t in texts if k not in (3, 20)] + [(3, "w5 w5"), (999, "twice w59")]
+    assert hits(index.search(asked, "q", "text", 7)) == want(texts)
+
+
+def test_queries_in_several_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rt, "QUERY_BLOCK", 2)
+    texts = documents(8, 60)
+    asked = spark.createDataFrame([(q, t) for q, (_, t) in enumerate(documents(9, 5))], "q int, text string")
+    index = KeywordIndex(spark, str(tmp_path / "i"), "id", buckets=2, blocks=2)
+    index.build(spark.createDataFrame(texts, "id int, text string"), "text")
+    assert search(index, asked, 4) == plain(spark, texts, asked, 4)
+
+
+def test_a_build_shuffles_texts_only(spark, tmp_path, monkeypatch):
+    """No row for each posting, neither where parts are made nor where they are searched."""
+    plans, write = [], PartitionedTable.write
+    monkeypatch.setattr(PartitionedTable, "write", lambda self, rows, some: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), write(self, rows, some))[1])
+    index = KeywordIndex(spark, str(tmp_path / "i"), "id", buckets=2, blocks=2)
+    index.build(spark.createDataFrame(documents(2, 50), "id int, text string"), "text")
+    found = index.search(spark.createDataFrame([(1, "w1 w2")], "q int, text string"), "q", "text", 3)
+    assert len(plans) == 1 and "Generate" not in plans[0] and "Aggregate" not in plans[0] and plans[0].count("Repartition") == 1
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
