@@ -36,8 +36,8 @@ from .retrieval import Best, inverse_frequency, score_matrices, term_blocks, top
 
 #: Of a query's parts the best ones that are scored for its first threshold.
 FIRST_PARTS = 4
-#: Chunks of a part (their numbers are short), and words after which a part ends.
-PART_CHUNKS, PART_WORDS = 1 << 13, 1 << 21
+#: Chunks of a part (their numbers are short), and bytes of words, with 8 for each, after which a part ends.
+PART_CHUNKS, PART_BYTES = 1 << 13, 1 << 25
 #: Tasks for each split of the texts: a task sorts the rows of its parts, which are several times larger.
 BUILD_TASKS = 4
 #: By how much a bound may miss a threshold, which is a sum in another order.
@@ -136,23 +136,25 @@ class KeywordIndex:
                 other |= moved
                 other[0] |= last is None
                 lengths = np.asarray(pc.list_value_length(lists), dtype=np.int64)
+                upto = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(lists.flatten()), dtype=np.int64) + 8)])
+                sizes = np.diff(upto[np.concatenate([[0], np.cumsum(lengths)])])
                 a = 0
                 while a < len(piece):
                     # a part ends with its block, or before a chunk when it is full
-                    if chunks and other[a] and (moved[a] or chunks >= PART_CHUNKS or size >= PART_WORDS):
+                    if chunks and other[a] and (moved[a] or chunks >= PART_CHUNKS or size >= PART_BYTES):
                         yield from made(block, part, words, at, keys)
                         part = 0 if moved[a] else part + 1
                         chunks, size, words, at, keys = 0, 0, [], [], []
                     block = int(blocks[a])
                     number = chunks + np.cumsum(other[a:]) - 1
-                    full = (number >= PART_CHUNKS) | (size + np.cumsum(lengths[a:]) - lengths[a:] >= PART_WORDS)
+                    full = (number >= PART_CHUNKS) | (size + np.cumsum(sizes[a:]) - sizes[a:] >= PART_BYTES)
                     stop = np.flatnonzero((moved[a:] | (full & other[a:]))[1:])
                     z = a + 1 + int(stop[0]) if len(stop) else len(piece)
                     some = lists.slice(a, z - a)
                     words.append(some.flatten())
                     at.append(np.repeat(number[: z - a], lengths[a:z]))
                     keys.append(ks.slice(a, z - a).filter(pa.array(other[a:z])))
-                    chunks, size, a = int(number[z - a - 1]) + 1, size + int(lengths[a:z].sum()), z
+                    chunks, size, a = int(number[z - a - 1]) + 1, size + int(sizes[a:z].sum()), z
                 last = ks.slice(len(ks) - 1)
             if chunks:
                 yield from made(block, part, words, at, keys)

@@ -189,11 +189,18 @@ def test_an_indexed_search_makes_no_rows_of_pairs(spark, tmp_path):
     assert rows[0] == rows[1] == want
 
 
+@pytest.fixture
+def short_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.mark.parametrize("kind", ["int", "string", "struct<a:int,b:string>"])
-def test_parts_of_blocks(spark, tmp_path, monkeypatch, kind):
+def test_parts_of_blocks(spark, tmp_path, monkeypatch, short_batches, kind):
     """Parts end within a block, also where one key has several rows, and an upsert makes them anew."""
     monkeypatch.setattr(keyword_index, "PART_CHUNKS", 4)
-    monkeypatch.setattr(keyword_index, "PART_WORDS", 90)
+    monkeypatch.setattr(keyword_index, "PART_BYTES", 900)
     key = {"int": int, "string": str}.get(kind, lambda i: (i // 9, str(i)))
     texts = [*documents(5, 150), (150, "w59 " * 120), (3, "w3 w4 twice"), (3, None), (7, "w0 twice"), (151, None), (152, "...")]
     asked = spark.createDataFrame([(str(q), t) for q, (_, t) in enumerate(documents(6, 12))] + [("x", None), (None, "w59 twice"), ("y", "nowhere")], "q string, text string")
